@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from .common import saved, word_count
 
 
+#: Up to so many sources their targets (some 60 bytes each) are broadcast; more are joined by source.
+BROADCAST_SOURCES = 50_000
+
+
 def source_targets(sized: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
     """source, n, source_size, target (double) for rows of source and size.
 
@@ -79,11 +83,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     sized = saved(sized.groupBy("doc_id", "source", "size", "text_hash").agg(F.count("*").cast("int").alias("rows")))
     sized = sized.select("*", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy"))
     per = saved(source_targets(sized, weights, share, cap))
+    most, sources = per.agg(F.max("n"), F.count("*")).first()
     named = per.withColumn("s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))  # null joins too
     fixed = ["s", "source", "source_size", "target", "whole"]
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = (
-        sized.withColumn("s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).drop("source").join(named, "s")
+        sized.withColumn("s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).drop("source").join(F.broadcast(named) if sources <= BROADCAST_SOURCES else named, "s")
         .withColumn("whole", F.floor(times).cast("int"))
         .withColumn("part", (times - F.floor(times)) * F.col("size"))
         .withColumn("key", F.struct("doc_id", "text_hash", "copy"))
@@ -95,8 +100,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         *fixed, F.pmod(F.xxhash64(F.lit(seed), "key"), groups).alias("bucket"),
         F.struct("key", F.col("size").cast("double").alias("size"), "part").cast(_ITEM).alias("item"),
     )
-    most = per.agg(F.max("n")).first()[0] or 0
-    depth = max(1, math.ceil(math.log(max(2, math.ceil(most / fan_in)), fan_in)) + 1)
+    depth = max(1, math.ceil(math.log(max(2, math.ceil((most or 0) / fan_in)), fan_in)) + 1)
     for k in range(depth):
         start = F.struct(F.lit(None).cast(_ITEM).alias("left"), F.array().cast("array<struct<key:struct<doc_id:bigint,text_hash:bigint,copy:int>,size:double,one:int>>").alias("done")).cast(_STATE)
         met = level.groupBy(*fixed, "bucket").agg(F.sort_array(F.collect_list("item")).alias("items"))

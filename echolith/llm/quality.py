@@ -1,6 +1,6 @@
 """Quality rules: base rules of each text, then robust multivariate outliers of its language and source.
 
-The statistics of a text (length, length of its words, of its lines, share of spaces and of punctuation, on scales on which they
+The statistics of a text (length, length of its words, of its lines, share of punctuation and of symbols, on scales on which they
 are about normal) form a vector. For every language and source the minimum covariance determinant is sought: starting at
 medians and median deviations, concentration steps take the given share of the vectors that lie nearest and estimate centre and covariance from these
 alone, so outliers (up to the rest) have no say in what counts as usual. A text is rejected if its Mahalanobis distance
@@ -19,11 +19,11 @@ from .common import SPACES, saved, table, words
 SYMBOLS = "#*$%&|<>"
 MARKS = ".,;:!?'\"()-"
 #: The vector's parts, and for each the least standard deviation that an estimate may have: below it, differences don't make a text odd.
-FLOORS = {"v_length": 0.25, "v_word": 0.05, "v_line": 0.25, "v_marks": 0.10}
-#: The chi-squared quantile for four parts beyond which about one of a hundred million usual texts would lie, and the factor that makes the covariance of the nearest three quarters consistent with the whole.
-CUTOFF = 43.0
+FLOORS = {"v_length": 0.25, "v_word": 0.05, "v_line": 0.25, "v_marks": 0.10, "v_symbols": 0.10}
+#: The chi-squared quantile for five parts beyond which about one of a hundred million usual texts would lie, and the factor that makes the covariance of the nearest three quarters consistent with the whole.
+CUTOFF = 45.0
 HALF = 0.75
-CONSISTENT = 1.0 / 0.62
+CONSISTENT = 1.0 / 0.66
 LEAST_ROWS = 40
 STEPS = 3
 
@@ -70,6 +70,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"),
         F.log1p("n_words").alias("v_length"), F.log1p(F.col("word_chars") / some).alias("v_word"),
         F.log1p(F.col("n_words") / F.greatest("n_lines", F.lit(1))).alias("v_line"), F.sqrt(F.col("marks") / some).alias("v_marks"),
+        F.sqrt(F.col("n_symbols") / some).alias("v_symbols"),
     )
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, url_filter
+from . import byte_bpe, mixing, quality, sharding, url_filter
 
 QUERIES = {
     "op3_url_filters": url_filter.op3_url_filters,
+    "op4_sharding": sharding.op4_sharding,
+    "op7_quality_rules": quality.op7_quality_rules,
     "op9_mixing": mixing.op9_mixing,
+    "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 
 ORACLE_SQL = {
     "op3_url_filters": url_filter.ORACLE_SQL,
+    "op4_sharding": sharding.ORACLE_SQL,
 }
