@@ -126,7 +126,10 @@ def _chunked(rows: DataFrame, chunk: int, overlap: int) -> DataFrame:
 
 
 def _boundaries(chunks: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """key, k, part, head, tail: pre-token starts in the overlap that the chunk begins with and in that which it ends with, as places in the text."""
+    """key, k, part, head, tail: pre-token boundaries in the overlap that the chunk begins with and in that which it ends with, as places in the text.
+
+    Only ends of pre-tokens that don't end in white space count: white space is split by what follows it, which a piece cut there would not see.
+    """
 
     def run(batches):
         find = regex.compile(pattern).finditer
@@ -134,7 +137,7 @@ def _boundaries(chunks: DataFrame, pattern: str, chunk: int, overlap: int) -> Da
             for part in _slices(batch):
                 heads, tails = [], []
                 for k, text in zip(part.column("k").to_pylist(), part.column("part").to_pylist(), strict=True):
-                    at = np.fromiter((m.end() for m in find(text)), np.int64)
+                    at = np.fromiter((e for m in find(text) if not text[(e := m.end()) - 1].isspace()), np.int64)
                     sure = at[at <= len(text) - MARGIN]
                     heads.append(sure[sure < overlap] + k * chunk)
                     tails.append(sure[sure >= chunk] + k * chunk)
