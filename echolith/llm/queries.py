@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, mixing, quality, sharding, url_filter
+from . import byte_bpe, chat, mixing, quality, sharding, topk, url_filter
 
 QUERIES = {
     "op3_url_filters": url_filter.op3_url_filters,
     "op4_sharding": sharding.op4_sharding,
+    "op5_exact_topk": topk.op5_exact_topk,
+    "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_quality_rules": quality.op7_quality_rules,
     "op9_mixing": mixing.op9_mixing,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
@@ -15,4 +17,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_url_filters": url_filter.ORACLE_SQL,
     "op4_sharding": sharding.ORACLE_SQL,
+    "op5_exact_topk": topk.ORACLE_SQL,
 }
