@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, mixing, quality, sharding, topk, url_filter
+from . import byte_bpe, chat, mixing, quality, sharding, topk, toxicity, url_filter
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_url_filters": url_filter.op3_url_filters,
     "op4_sharding": sharding.op4_sharding,
     "op5_exact_topk": topk.op5_exact_topk,
