@@ -10,14 +10,13 @@ Decoding concatenates the tokens' bytes.
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +26,6 @@ CHUNK = 32_768
 OVERLAP = 1_024
 #: A match that ends this near to a chunk's end may end elsewhere in the whole text (contractions look two characters ahead, white space one).
 MARGIN = 4
-#: A worker forgets its encoded pre-tokens when it holds so many.
-MEMO = 200_000
 ROWS = 256
 
 
@@ -44,48 +41,11 @@ def load_tokens(path: str) -> list[bytes]:
     return [by_rank.get(i, b"") for i in range(max(by_rank) + 1)]
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """The ids of one pre-token: the adjacent pair of lowest rank is merged, the leftmost first, until no pair has a rank."""
-    if piece in ranks:
-        return (ranks[piece],)
-    n = len(piece)
-    ends, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    alive = [True] * n
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, end = heapq.heappop(heap)
-        j = after[i] if alive[i] else n
-        if j >= n or ends[j] != end:
-            continue  # one of the two has been merged since
-        alive[j], ends[i], after[i] = False, end, after[j]
-        if after[j] < n:
-            before[after[j]] = i
-            if (r := ranks.get(piece[i : ends[after[j]]])) is not None:
-                heapq.heappush(heap, (r, i, ends[after[j]]))
-        if (h := before[i]) >= 0 and (r := ranks.get(piece[h:end])) is not None:
-            heapq.heappush(heap, (r, h, end))
-    return tuple(ranks[piece[i : ends[i]]] for i in range(n) if alive[i])
-
-
-class _Memo(dict):
-    """The ids of pre-tokens seen so far."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks = ranks
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= MEMO:
-            self.clear()
-        ids = self[piece] = merge(piece.encode("utf-8", "surrogatepass"), self.ranks)
-        return ids
-
-
 @lru_cache(maxsize=4)
 def _encoder(path: str, pattern: str):
-    memo, find = _Memo(load_ranks(path)), regex.compile(pattern).findall
-    return lambda text: np.fromiter(chain.from_iterable(map(memo.__getitem__, find(text))), np.int32)
+    """The ids of a piece: its pre-tokens' pairs of lowest rank merged until none is left."""
+    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+    return lambda text: np.array(encoding.encode_ordinary(text), np.int32)
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
