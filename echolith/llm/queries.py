@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, mixing, quality, sharding, topk, toxicity, url_filter
+from . import byte_bpe, chat, line_dedup, mixing, quality, sharding, topk, toxicity, url_filter
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_exact_topk": topk.op5_exact_topk,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
