@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, line_dedup, mixing, quality, sharding, topk, toxicity, url_filter
+from . import byte_bpe, chat, line_dedup, mixing, ngram_join, quality, sharding, topk, toxicity, url_filter
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_url_filters": url_filter.op3_url_filters,
     "op4_sharding": sharding.op4_sharding,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_ngram_join": ngram_join.ORACLE_SQL,
     "op3_url_filters": url_filter.ORACLE_SQL,
     "op4_sharding": sharding.ORACLE_SQL,
     "op5_exact_topk": topk.ORACLE_SQL,
