@@ -1,0 +1 @@
+"""Readers of encoded audio and of stored signatures."""
