@@ -1,10 +1,5 @@
 """The registered queries over the given tables, and equivalent DuckDB SQL."""
 
-from __future__ import annotations
+from echolith.plans.queries import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
