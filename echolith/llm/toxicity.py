@@ -93,46 +93,46 @@ def train(texts: list[str], labels: list[int], epochs: int = 15, rate: float = 0
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(seed)
-    rows_of: dict[str, int] = {}
-    bags: list[list[int]] = []
-    seen: list[list[np.ndarray]] = []
-    for text in texts:
+    y = np.array(labels)
+    bags: dict[str, np.ndarray] = {}
+    passages: list[tuple[np.ndarray, np.ndarray]] = []  # rows of the table and how often each
+    of_text: list[range] = []
+    for text, label in zip(texts, labels, strict=True):
         every = list(passages_of(text))
-        drawn = [every[i] for i in np.unique(np.linspace(0, len(every) - 1, SAMPLE_PASSAGES).astype(int))]
-        if len(every) > SAMPLE_PASSAGES and labels[len(seen)]:
-            drawn = every
-        seen.append([])
-        for words_ in map(sorted, drawn):
-            for w in words_:
-                if w not in rows_of:
-                    rows_of[w] = len(bags)
-                    bags.append(subwords(w))
-            seen[-1].append(np.array([rows_of[w] for w in words_], np.int32))
-    flat = [np.concatenate([np.array(bags[w], np.int32) for w in p]) if len(p) else np.zeros(0, np.int32) for ps in seen for p in ps]
-    owner = np.repeat(np.arange(len(seen)), [len(ps) for ps in seen])
-    del bags, rows_of, seen
-    y, sizes = np.array(labels), np.array([len(f) for f in flat])
-    weight, starts, every = 1 / np.maximum(sizes, LEAST), np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(flat)
-    alike = [(rows, times.astype(np.int16)) for rows, times in (np.unique(f, return_counts=True) for f in flat)]
-    del flat
+        drawn = every if label else [every[i] for i in np.unique(np.linspace(0, len(every) - 1, SAMPLE_PASSAGES).astype(int))]
+        of_text.append(range(len(passages), len(passages) + len(drawn)))
+        for words in drawn:
+            rows = []
+            for w in sorted(words):
+                if w not in bags:
+                    if len(bags) >= MEMO // 4:
+                        bags.clear()
+                    bags[w] = np.array(subwords(w), np.uint16)
+                rows.append(bags[w])
+            rows, times = np.unique(np.concatenate([np.zeros(0, np.uint16), *rows]), return_counts=True)
+            passages.append((rows, np.minimum(times, 255).astype(np.uint8)))
+    del bags
+    weight = np.array([1 / max(int(times.sum(dtype=np.int64)), LEAST) for _, times in passages])
     again = max(1, round((np.sum(y == 0) / np.sum(y == 1)) ** 0.5))  # the rarer label is shown more often
     table_ = (rng.standard_normal((BUCKETS, DIM)) / DIM).astype(np.float32)
     soft, bias = (rng.standard_normal((DIM, 2)) / DIM).astype(np.float32), np.log([1 - share, share]).astype(np.float32)
-    of_text = np.split(np.arange(len(owner)), np.cumsum(np.bincount(owner, minlength=len(y)))[:-1])
     for epoch in range(epochs):
         # A toxic text teaches by the passage that looks worst so far, a clean one by its worst and another.
-        pull = np.append(table_ @ (soft[:, 1] - soft[:, 0]), 0)
-        run = np.concatenate([[0], np.cumsum(pull[every], dtype=np.float64)])
-        logits = (run[starts[1:]] - run[starts[:-1]]) * weight
-        chosen = [p for i, own in enumerate(of_text) for p in ([own[np.argmax(logits[own])]] * again if y[i] else [own[np.argmax(logits[own])], rng.choice(own)])]
+        pull = table_ @ (soft[:, 1] - soft[:, 0])
+        logits = np.array([times @ pull[rows] for rows, times in passages]) * weight
+        chosen: list[tuple[int, int]] = []
+        for own, label in zip(of_text, labels, strict=True):
+            worst = own[int(np.argmax(logits[own.start : own.stop]))]
+            chosen += [(worst, 1)] * again if label else [(worst, 0), (int(rng.integers(own.start, own.stop)), 0)]
         slow = rate * (1 - epoch / epochs)
-        for p in rng.permutation(chosen):
-            rows, times = alike[p]
+        for at in rng.permutation(len(chosen)):
+            p, label = chosen[at]
+            rows, times = passages[p]
             mean = times @ table_[rows] * weight[p]
             z = mean @ soft + bias
             e = np.exp(z - z.max())
             error = e / e.sum()
-            error[y[owner[p]]] -= 1
+            error[label] -= 1
             to_mean = soft @ error
             soft -= slow * np.outer(mean, error)
             bias -= 0.1 * slow * error
