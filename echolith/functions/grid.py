@@ -48,7 +48,7 @@ def shape_error(rate: Column, channels: Column) -> Column:
 def window_error(window_ms: Column, interval_ms: Column) -> Column:
     n = samples_for_ms(window_ms)
     short = F.format_string(f"Window too short: %d samples, need at least {FRAME_SIZE}", n)
-    return F.when(n < FRAME_SIZE, _error("invalid", short)).when(samples_for_ms(interval_ms) == 0, _error("invalid", "Window interval too short"))
+    return F.when(n < FRAME_SIZE, _error("invalid", short)).when(samples_for_ms(interval_ms) == 0, _error("invalid", "Window interval must be greater than 0"))
 
 
 def status_of(code: Column) -> Column:

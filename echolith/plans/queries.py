@@ -157,7 +157,7 @@ def shape_errors(spark, sf_dir):
 
 
 @query("window_errors", """WITH o AS (SELECT o_orderkey, o_orderkey % 700 AS w, o_custkey % 3 AS i FROM orders)
-SELECT o_orderkey, CASE WHEN w * 11025 // 1000 < 4096 THEN 'Window too short: ' || (w * 11025 // 1000) || ' samples, need at least 4096' WHEN i * 11025 // 1000 = 0 THEN 'Window interval too short' END AS message FROM o""")
+SELECT o_orderkey, CASE WHEN w * 11025 // 1000 < 4096 THEN 'Window too short: ' || (w * 11025 // 1000) || ' samples, need at least 4096' WHEN i * 11025 // 1000 = 0 THEN 'Window interval must be greater than 0' END AS message FROM o""")
 def window_errors(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", grid.window_error(F.col("o_orderkey") % 700, F.col("o_custkey") % 3)["message"].alias("message"))
 

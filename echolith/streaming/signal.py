@@ -177,7 +177,7 @@ class WindowProcessor(_Processor):
         if self.length < FRAME_SIZE:
             raise SignalError("invalid", f"Window too short: {self.length} samples, need at least {FRAME_SIZE}")
         if self.step == 0:
-            raise SignalError("invalid", "Window interval too short")
+            raise SignalError("invalid", "Window interval must be greater than 0")
 
     def due(self, key: str, at: Signal) -> list[tuple]:
         return [(key, at.epoch, i, ms_for_samples(start), self.window_ms, h.tolist()) for i, start, h in at.take_windows(self.length, self.step)]
