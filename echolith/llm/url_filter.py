@@ -38,11 +38,9 @@ def site_rule(verdict: str, host: str, path: str) -> Rule:
     """A rule for a host with its subdomains and a path prefix. A prefix that breaks off inside a token gives that token no part in the index."""
     literal = host + path
     found = tokens_of(literal)
-    if found and re.search("[A-Za-z0-9]$", literal) and path:
+    if path and re.search("[A-Za-z0-9]$", path):
         found.pop()
-    elif not path:
-        pass
-    return Rule(literal.replace("/", "", 1) if path == "" else literal, verdict, rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}" if path else rf"^(?:[^/]*\.)?{re.escape(host)}(?:/|$)", tuple(found), 1_000 + len(literal))
+    return Rule(literal, verdict, rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(path) or '(?:/|$)'}", tuple(found), 1_000 + len(literal))
 
 
 def word_rule(word: str) -> Rule:
