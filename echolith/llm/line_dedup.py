@@ -1,8 +1,8 @@
 """Line dedup by winnowing.
 
 A text is a sequence of lines. So that a passage is found in the middle of a longer line too, lines are also broken after a sentence mark and after words whose hash
-says so; breaks depend on the words alone, so equal passages break alike. Every pair of neighbouring lines is hashed, and of each window of
-pairs the least hash is kept: texts that share WINDOW + 1 lines in a row share one of these fingerprints. Each fingerprint joins its later places to
+says so; breaks depend on the words alone, so equal passages break alike. At every line the gram of neighbouring
+lines that begins there is hashed, and of each window of grams the least hash is kept: texts that share WINDOW grams in a row share one of these fingerprints. Each fingerprint joins its later places to
 its first one (by doc_id, then place); from there the match is extended over equal lines both ways. Repeated runs are deleted
 where they come later; the first stays. What a line's first place holds is never deleted for it, so nothing is lost altogether.
 """
@@ -15,18 +15,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, table
-from .hashing import mix, powers, runs_hash, text_groups, word_hashes
+from .hashing import mix, powers, text_groups, word_hashes
 
 WINDOW = 3
 #: A word ends a line if its hash is a multiple of this.
 BREAK = 16
-#: A pair of lines shorter than this is no fingerprint: such pairs recur by chance.
-PAIR_WORDS = 8
+#: A gram is two lines or as many more as make up so many words: fewer recur by chance.
+GRAM_WORDS = 8
 #: A run is deleted if it has so many words, or is one of several shared with the same text that have twice as many together.
 RUN_WORDS = 25
 _MARKS = np.isin(np.arange(256), np.frombuffer(b".!?;:,", np.uint8))
 
 
+#: Up to so many rows (of ids, or a text's runs: some 100 bytes each at most) are broadcast, so that no text is shuffled; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
+#: The same for repeated fingerprints with their first places (some 50 bytes each).
+BROADCAST_FIRST = 2_000_000
+
+
+def _small(df: DataFrame, most: int | None = None) -> DataFrame:
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
+
+
 def lines_of(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """hash, words, text number and start of every line."""
     hashes, owner, starts, ends = word_hashes(offsets, data, lower=False)
@@ -44,18 +54,18 @@ def lines_of(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def fingerprints(lines: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and place of the window minima of one text."""
-    pairs = runs_hash(lines, 2)
-    if not len(pairs):
-        return pairs, np.zeros(0, np.int32)
-    short = words[:-1] + words[1:] < PAIR_WORDS
-    key = np.where(short, np.uint64(2**64 - 1), pairs)
-    if len(key) > WINDOW:
-        windows = np.lib.stride_tricks.sliding_window_view(key, WINDOW)
-        at = np.unique(np.arange(len(windows)) + windows.argmin(axis=1))
-    else:
-        at = np.arange(len(key))
-    at = at[~short[at]]
-    return pairs[at], at.astype(np.int32)
+    summed = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    ends = np.maximum(np.searchsorted(summed, summed[:-1] + GRAM_WORDS), np.arange(len(lines)) + 2)
+    ends = ends[ends <= len(lines)]
+    starts = np.arange(len(ends))
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines * powers(len(lines)), dtype=np.uint64)])
+    grams = mix((total[ends] - total[starts]) * powers(len(lines), True)[starts] + (ends - starts).astype(np.uint64))
+    if len(starts) > WINDOW:
+        windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
+        starts = np.unique(np.arange(len(windows)) + windows.argmin(axis=1))
+    return grams[starts], starts.astype(np.int32)
 
 
 def _sketches(rows: DataFrame) -> DataFrame:
@@ -70,7 +80,7 @@ def _sketches(rows: DataFrame) -> DataFrame:
                 out = {"lines": [], "words": [], "f": [], "p": []}
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     f, p = fingerprints(hashes[a:b], words[a:b])
-                    for name, x in (("lines", hashes[a:b].tobytes()), ("words", words[a:b].astype(np.int32).tobytes()), ("f", f.view(np.int64)), ("p", p)):
+                    for name, x in (("lines", hashes[a:b].tobytes()), ("words", np.minimum(words[a:b], 65_535).astype(np.uint16).tobytes()), ("f", f.view(np.int64)), ("p", p)):
                         out[name].append(x)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("d").slice(row, n), batch.column("h").slice(row, n), pa.array(out["lines"], pa.binary()), pa.array(out["words"], pa.binary()), pa.array(out["f"], pa.list_(pa.int64())), pa.array(out["p"], pa.list_(pa.int32()))],
@@ -93,7 +103,7 @@ def _reach(a: np.ndarray, b: np.ndarray) -> int:
 
 def extended(lines: np.ndarray, source: np.ndarray, anchors: list[tuple[int, int]], words: np.ndarray, run_words: int) -> list[tuple[int, int]]:
     """The runs (first line, end) of a text that repeat the source's lines around the anchors (place, place in the source)."""
-    runs, total, covered = [], np.concatenate([[0], np.cumsum(words)]), 0
+    runs, total, covered = [], np.concatenate([[0], np.cumsum(words, dtype=np.int64)]), 0
     for p, s in sorted(anchors):
         if p + 2 <= covered or not np.array_equal(lines[p : p + 2], source[s : s + 2]):
             continue
@@ -113,7 +123,7 @@ def _runs(pairs: DataFrame, run_words: int) -> DataFrame:
             for at in range(batch.num_rows):
                 row = {c: batch.column(c)[at].as_py() for c in ("d", "h", "lines", "words", "source", "anchors")}
                 lines, source = (np.frombuffer(row[c], np.uint64) for c in ("lines", "source"))
-                found = extended(lines, source, [(x["p"], x["s"]) for x in row["anchors"]], np.frombuffer(row["words"], np.int32), run_words)
+                found = extended(lines, source, [(x["p"], x["s"]) for x in row["anchors"]], np.frombuffer(row["words"], np.uint16), run_words)
                 n = len(found)
                 yield pa.RecordBatch.from_pydict({"d": pa.array([row["d"]] * n, pa.int64()), "h": pa.array([row["h"]] * n, pa.int64()), "start": pa.array([a for a, _ in found], pa.int32()), "end": pa.array([b for _, b in found], pa.int32())})
 
@@ -143,14 +153,16 @@ def dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """
     # Only these three columns take part until the end, so other columns may have any names.
     d, h = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64("text")
-    sketch = saved(_sketches(docs.select(d.alias("d"), h.alias("h"), "text")).dropDuplicates(["d", "h"]))
+    sketch = saved(_sketches(docs.select(d.alias("d"), h.alias("h"), "text")))
     places = sketch.select("d", "h", F.explode(F.arrays_zip("f", "p")).alias("x")).select("d", "h", "x.f", "x.p")
     first = places.groupBy("f").agg(F.min(F.struct("d", "h", "p")).alias("s"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = places.join(first, "f").filter("struct(d, h, p) > s")
-    pairs = later.groupBy("d", "h", F.col("s.d").alias("sd"), F.col("s.h").alias("sh")).agg(F.collect_list(F.struct("p", F.col("s.p").alias("s"))).alias("anchors"))
-    both = pairs.join(sketch.select("d", "h", "lines", "words"), ["d", "h"]).join(sketch.select(F.col("d").alias("sd"), F.col("h").alias("sh"), F.col("lines").alias("source")), ["sd", "sh"])
+    later = places.join(_small(saved(first), BROADCAST_FIRST), "f").filter("struct(d, h, p) > s")
+    pairs = saved(later.groupBy("d", "h", F.col("s.d").alias("sd"), F.col("s.h").alias("sh")).agg(F.collect_set(F.struct("p", F.col("s.p").alias("s"))).alias("anchors")))
+    met = saved(pairs.select("d", "h").union(pairs.select("sd", "sh")).distinct())
+    lines = sketch.join(_small(met), ["d", "h"]).select("d", "h", "lines", "words").dropDuplicates(["d", "h"])
+    both = pairs.join(lines, ["d", "h"]).join(lines.select(F.col("d").alias("sd"), F.col("h").alias("sh"), F.col("lines").alias("source")), ["sd", "sh"])
     runs = _runs(both.select("d", "h", "lines", "words", "source", "anchors"), run_words)
-    runs = runs.groupBy("d", "h").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+    runs = _small(saved(runs.groupBy("d", "h").agg(F.collect_set(F.struct("start", "end")).alias("runs"))))
     columns = [c for c in docs.columns if c not in ("n_words_before", "n_words_removed")]
     packed = docs.select(F.struct(*columns).alias("row"), d.alias("d"), h.alias("h"))
     joined = packed.join(runs, ["d", "h"], "left").select("row", "runs", F.col("row.text").alias("text"))
