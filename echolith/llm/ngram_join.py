@@ -3,13 +3,14 @@
 A document's set holds the hashes of its distinct five-word shingles; two documents link when 100 * |intersection| >= 80 * |union|.
 
 1. Documents of equal sets are one class. All that follows is between classes.
-2. Classes that share a minhash are compared with one of them. The links found make preliminary components, so that a large group of near copies is known as one
+2. Classes that share two of their minhashes are compared with one of them. The links found make preliminary components, so that a large group of near copies is known as one
    before anything is enumerated: two members of one component need no further comparison.
 3. Shingles are ordered by how many classes hold them, then by hash. Two documents that link share at least m of the first n - ceil(0.8 n) + m shingles, in that order, of each
    (n - ceil(8 n / 9) + m for the smaller of the two), and only shingles held by different components can lead to a new link. First the shingles of low hash, the same for
-   all documents, are counted: a document with n - ceil(0.8 n) + 1 of them that no other component holds has no further link, whatever its other shingles are. For the documents that stay open, the shingles of high hash are counted
-   too. Each picks the m of least estimated cost (places to read, and candidates to verify), and so lengthens its prefix; a pair is verified only if it shares the lesser m of the two in their prefixes.
-4. Candidates are verified on their whole sets. Links of both rounds give the components.
+   all documents, are counted: a document with n - ceil(0.8 n) + 1 of them that no other component holds has no further link, whatever its other shingles are, and is closed. The shingles of higher hash, range by range, are counted
+   for documents that are still open. Each document left then picks the m of least estimated cost (places to read, and candidates to verify), and so lengthens its prefix; a pair is verified only if it shares the lesser m of the two in their prefixes.
+4. For each shingle in prefixes, every document is compared with one that is drawn from another component, some rounds long; what is linked thus is one component from then on. Then all pairs of different
+   components that share enough are verified on their whole sets. All links give the components.
 
 Shingles and sets are known by 64-bit hashes.
 """
@@ -30,10 +31,12 @@ WORDS = 5
 SEEDS = 4
 #: The estimated cost of verifying a candidate, in places read; and the longest prefix tried.
 VERIFY_COST, MOST_MATCHES = 8, 8
-#: A shingle is of low hash below this share of all hashes; somewhat more than the prefix's fifth.
-LOW = int(0.26 * 2**63) * 2
+#: Rounds in which every document is compared with drawn ones only.
+ROUNDS = 3
+#: Where the ranges of hashes end; the first holds somewhat more than the prefix's fifth of all shingles.
+RANGES = [int(share * 2**63) * 2 for share in (0.25, 0.5)] + [2**64]
 #: Up to so many rows of two or three longs are broadcast; beyond it the same join is shuffled.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 2_000_000
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -84,22 +87,23 @@ def _sketches(rows: DataFrame) -> DataFrame:
                 out["c"].append(None if empty else int(whole[0].view(np.int64)))
                 out["n"].append(len(s))
                 out["mh"].append([] if empty else [int(m.min().view(np.int64)) for m in mixed])
-                out["least"].append(s[: np.searchsorted(s, np.uint64(LOW))].view(np.int64))
+                out["least"].append(s[: np.searchsorted(s, np.uint64(RANGES[0]))].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("h"), *[pa.array(out[k], t) for k, t in kinds]], names=["d", "h", *out])
 
     return rows.mapInArrow(run, "d long, h long, c long, n long, mh array<long>, least array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """c, shingles: the whole set, as bytes, of each wanted class (c, d, h), from one document of it."""
+    """wanted's columns and shingles (the whole set, as bytes) of each wanted class (c, d, h), from one document of it."""
+    names = wanted.columns
 
     def run(batches):
         for batch in batches:
             found = [s.tobytes() for s in shingle_sets(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(found, pa.binary())], names=["c", "shingles"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in names], pa.array(found, pa.binary())], names=[*names, "shingles"])
 
-    rows = _keyed(docs).join(_small(wanted), ["d", "h"]).select("c", "text")
-    return rows.mapInArrow(run, "c long, shingles binary").dropDuplicates(["c"])
+    rows = _keyed(docs).join(_small(wanted), ["d", "h"]).select(*names, "text")
+    return rows.mapInArrow(run, ", ".join(f"{k} long" for k in names) + ", shingles binary")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, where: DataFrame) -> DataFrame:
@@ -120,7 +124,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, where: DataFrame) -> DataFrame:
 
     ids = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
     wanted = saved(where.join(ids, "c").select("c", "d", "h"))
-    sets = saved(_sets(docs, wanted))
+    sets = saved(_sets(docs, wanted).dropDuplicates(["c"]))  # of equal rows one
     both = pairs.join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
@@ -152,10 +156,11 @@ def _close(a: Column, b: Column) -> Column:
 
 
 def _starred(classes: DataFrame) -> DataFrame:
-    """a, b: every class that shares a minhash, with the least class of those that share it."""
-    keys = classes.select("c", "n", F.posexplode("mh").alias("j", "v"))
-    centres = keys.groupBy("j", "v").agg(F.min(F.struct("c", "n")).alias("s"), F.count("*").alias("m")).filter("m > 1")
-    pairs = keys.join(centres, ["j", "v"]).filter((F.col("c") != F.col("s.c")) & _close(F.col("n"), F.col("s.n")))
+    """a, b: every class that shares two minhashes, with one of those that share them; each pair of minhashes draws its own, so a class meets several."""
+    two = F.array(*[F.xxhash64(F.lit(i * SEEDS + j), F.col("mh")[i], F.col("mh")[j]) for i in range(SEEDS) for j in range(i + 1, SEEDS)])
+    keys = classes.select("c", "n", F.explode(two).alias("v"))
+    centres = keys.groupBy("v").agg(F.min(F.struct(F.xxhash64("v", "c").alias("draw"), "c", "n")).alias("s"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    pairs = keys.join(centres, "v").filter((F.col("c") != F.col("s.c")) & _close(F.col("n"), F.col("s.n")))
     return pairs.select(F.col("s.c").alias("a"), F.col("c").alias("b")).distinct()
 
 
@@ -187,39 +192,70 @@ def _shared(held: DataFrame) -> DataFrame:
     return held.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("one"), F.max("label").alias("other")).filter("one < other").select("token", "df")
 
 
-def _candidates(docs: DataFrame, sketch: DataFrame, classes: DataFrame, where: DataFrame, labels: DataFrame) -> DataFrame:
-    """a, b: pairs of classes of different components that share enough of their prefixes."""
-    labelled = _labelled(classes.select("c", "n"), labels)
-    least = sketch.filter("c is not null").groupBy("c").agg(F.first("least").alias("least"))
-    held = labelled.join(least, "c").select("c", "label", F.explode("least").alias("token"))
-    shared = saved(_shared(held))
-    elsewhere = held.join(_small(shared), "token").groupBy("c").agg(F.count("*").alias("k"))
-    own = F.size("least") - F.coalesce("k", F.lit(0))
-    n = F.col("n")
-    open_ = saved(labelled.join(least, "c").join(elsewhere, "c", "left").filter(own < n - F.floor((4 * n + 4) / 5) + 1).select("c", "n", "label"))
+def _unpacked(whole: DataFrame, low: int, high: int) -> DataFrame:
+    """c, label, token of the shingles with low <= hash < high."""
 
-    def unpacked(batches):
+    def run(batches):
         for batch in batches:
-            for c, s in zip(batch.column("c").to_pylist(), batch.column("shingles"), strict=True):
-                tokens = np.frombuffer(s.as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), c, np.int64)), pa.array(tokens)], names=["c", "token"])
-
-    whole = saved(_sets(docs, saved(where.join(open_, "c").select("c", "d", "h"))))
-    mine = whole.mapInArrow(unpacked, "c long, token long")
-    high = F.shiftrightunsigned("token", 1) >= LOW // 2
-    shared = saved(shared.unionByName(_shared(mine.filter(high).join(open_.select("c", "label"), "c"))))
-    mine = mine.join(_small(shared), "token").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    rows = saved(_prefixes(open_.join(mine, "c")))
+            for c, label, s in zip(batch.column("c").to_pylist(), batch.column("label").to_pylist(), batch.column("shingles"), strict=True):
+                tokens = np.frombuffer(s.as_py(), np.uint64)
+                tokens = tokens[np.searchsorted(tokens, np.uint64(low)) : np.searchsorted(tokens, np.uint64(high - 1), "right")].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), c, np.int64)), pa.array(np.full(len(tokens), label, np.int64)), pa.array(tokens)], names=["c", "label", "token"])
+
+    return whole.select("c", "label", "shingles").mapInArrow(run, "c long, label long, token long")
+
+
+def _still_open(held: DataFrame, shared: DataFrame, before: DataFrame) -> DataFrame:
+    """c, n, label, own: the classes before, own increased by the tokens that no other component holds, if these don't fill the prefix yet."""
+    counted = held.join(_small(shared.select("token", F.lit(1).alias("s"))), "token", "left").groupBy("c").agg((F.count("*") - F.count("s")).alias("more"))
+    after = before.join(counted, "c", "left").withColumn("own", F.col("own") + F.coalesce("more", F.lit(0))).drop("more")
+    return after.filter(F.col("own") < F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1)
+
+
+def _prefix_rows(docs: DataFrame, sketch: DataFrame, where: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of _prefixes() for the classes that may have a link to another component."""
+    one = sketch.join(_small(where.select("c", "d", "h")), ["c", "d", "h"]).select("c", "least")  # a row of each class (or more, of equal rows)
+    labelled = one.join(_small(labels), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    held = labelled.select("c", "label", F.explode("least").alias("token"))
+    shared = [saved(_shared(held))]
+    every = where.join(_small(labels), "c", "left").select("c", "n", F.coalesce("label", "c").alias("label"), F.lit(0).cast("long").alias("own"))
+    open_ = saved(_still_open(held, shared[0], every))
+    whole = saved(_sets(docs, saved(where.select("c", "d", "h").join(_small(open_.select("c", "label")), "c").select("c", "d", "h", "label"))))
+    for low, high in zip(RANGES[:-1], RANGES[1:], strict=True):
+        held = _unpacked(whole.join(_small(open_.select(F.col("c"))), "c", "left_semi"), low, high)
+        shared.append(saved(_shared(held)))
+        open_ = saved(_still_open(held, shared[-1], open_)) if high < RANGES[-1] else open_
+    held = _unpacked(whole.join(_small(open_.select(F.col("c"))), "c", "left_semi"), 0, RANGES[-1])
+    known = saved(reduce(DataFrame.unionByName, shared))
+    mine = held.join(_small(known), "token").groupBy("c").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("shared"))
+    open_ = open_.select("c", "n", "label")
+    return saved(_prefixes(open_.join(mine, "c")))
+
+
+def _drawn(rows: DataFrame, salt: int) -> DataFrame:
+    """a, b: every row of a token that more than one component holds, with one row drawn from another component."""
+    centres = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "c", F.lit(salt)).alias("draw"), "c", "n", "label")).alias("s"), F.min("label").alias("one"), F.max("label").alias("other"))
+    centres = centres.filter("one < other").select("token", "s")
+    met = rows.join(centres, "token").filter((F.col("label") != F.col("s.label")) & _close(F.col("n"), F.col("s.n")))
+    return met.select(F.col("s.c").alias("a"), F.col("c").alias("b")).distinct()
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """a, b: pairs of classes of different components that share enough of their prefixes.
+
+    A pair of places at which no overlap of the size needed fits any more (what comes before both, and what follows both) is left out.
+    """
     a, b = rows.alias("a"), rows.alias("b")
-    n = F.col("a.n")
-    smaller = (F.struct("a.n", "a.c") < F.struct("b.n", "b.c")) & (F.col("a.label") != F.col("b.label")) & _close(n, F.col("b.n")) & (F.col("a.rank") < n - F.floor((8 * n + 8) / 9) + F.col("a.m"))
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & smaller)
+    n, m, i, j = (F.col(x) for x in ("a.n", "b.n", "a.rank", "b.rank"))
+    smaller = (F.struct("a.n", "a.c") < F.struct("b.n", "b.c")) & (F.col("a.label") != F.col("b.label")) & _close(n, m) & (i < n - F.floor((8 * n + 8) / 9) + F.col("a.m"))
+    fits = 9 * (F.least(i, j) + F.least(n - i, m - j)) >= 4 * (n + m)
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & smaller & fits)
     met = met.groupBy(F.col("a.c").alias("a"), F.col("b.c").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("a.m", "b.m")).alias("m"))
     return met.filter("k >= m").select("a", "b")
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """d, h, n_shingles, component (the least d of it), class_size, n_links of every row of docs (doc_id, text).
+    """d, h, n_shingles, component (the least d of it), class_size, n_links and label (the component's own number; null without words) of every row of docs (doc_id, text).
 
     d is doc_id with the least long for null, h the hash of the text; n_links counts the verified links of the row's class, which suffice to connect the component.
     A text of fewer than five words is one shingle; one without words has none, links with nothing (nor with another such text), and is its own component.
@@ -227,23 +263,31 @@ def join(docs: DataFrame) -> DataFrame:
     """
     sketch = saved(_sketches(_keyed(docs)))
     classes = saved(sketch.filter("c is not null").groupBy("c").agg(F.first("n").alias("n"), F.first("mh").alias("mh"), F.min(F.struct("d", "h")).alias("r"), F.count("*").alias("size")))
-    where = classes.select("c", "r.d", "r.h")
-    first = saved(_verified(docs, saved(_starred(classes)), where))
-    candidates = saved(_candidates(docs, sketch, classes.select("c", "n"), where, components(first)))
-    links = saved(reduce(DataFrame.unionByName, [first, _verified(docs, candidates, where)]))
+    where = saved(classes.select("c", "n", "r.d", "r.h"))
+    links = saved(_verified(docs, saved(_starred(classes)), where))
+    labels = components(links)
+    rows = _prefix_rows(docs, sketch, where, labels)
+    for salt in range(ROUNDS):
+        found = saved(_verified(docs, saved(_drawn(rows, salt)), where))
+        if found.isEmpty():
+            break
+        links = saved(links.unionByName(found))
+        labels = components(links)
+        rows = saved(_labelled(rows.drop("label"), labels))
+    links = saved(links.unionByName(_verified(docs, saved(_candidates(rows)), where)))
     labels = components(links)
     counts = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("c")).agg(F.count("*").alias("n_links"))
     of_class = _labelled(classes.select("c", "n", "size", "r"), labels)
     least = of_class.groupBy("label").agg(F.min("r.d").alias("component"))
-    of_class = of_class.join(least, "label").join(counts, "c", "left").select("c", "component", F.col("size").alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_class = of_class.join(least, "label").join(counts, "c", "left").select("c", "label", "component", F.col("size").alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = sketch.select("d", "h", "c", F.col("n").alias("n_shingles")).join(of_class, "c", "left")
-    return out.select("d", "h", "n_shingles", F.coalesce("component", "d").alias("component"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("d", "h", "n_shingles", F.coalesce("component", "d").alias("component"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "label")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that are the first of their component: of the least doc_id (then text hash). Of equal rows one stays; texts without words all stay."""
     found = join(docs.select("doc_id", "text"))
-    first = found.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct("d", "h")).alias("r")).select(F.col("r.d").alias("_d"), F.col("r.h").alias("_h"), F.lit(True).alias("_first"))
+    first = found.filter("n_shingles > 0").groupBy("label").agg(F.min(F.struct("d", "h")).alias("r")).select(F.col("r.d").alias("_d"), F.col("r.h").alias("_h"), F.lit(True).alias("_first"))
     rows = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_h": F.xxhash64("text")})
     kept = rows.join(first, ["_d", "_h"]).dropDuplicates(["_d", "_h"]).select(*docs.columns)
     blank = F.coalesce(F.trim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == ""
