@@ -204,7 +204,7 @@ def price_statistics(spark, sf_dir):
 
 
 #: The rate that a document's bytes are played at; a text of average length then lasts some seconds.
-BYTE_RATE = 1_000
+BYTE_RATE = 2_000
 
 
 def _waves(spark: SparkSession, sf_dir: str) -> DataFrame:
