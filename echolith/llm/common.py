@@ -34,4 +34,11 @@ def saved(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    # A checkpoint inherits what the optimizer has inferred about its columns; in loops that grows without end and planning takes longer than the work.
+    conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(key, "true")
+    conf.set(key, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        conf.set(key, before)
