@@ -212,15 +212,23 @@ def _still_open(held: DataFrame, shared: DataFrame, before: DataFrame) -> DataFr
     return after.filter(F.col("own") < F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1)
 
 
+def _once(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """rows (already computed) with one row of each class; only the classes of repeated (c), whose document stands several times, are shuffled."""
+    return rows.join(_small(repeated), "c", "left_anti").unionByName(rows.join(_small(repeated), "c", "left_semi").dropDuplicates(["c"]))
+
+
 def _prefix_rows(docs: DataFrame, sketch: DataFrame, where: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of _prefixes() for the classes that may have a link to another component."""
-    one = sketch.join(_small(where.select("c", "d", "h")), ["c", "d", "h"]).select("c", "least")  # a row of each class (or more, of equal rows)
+    one = sketch.join(_small(where.select("c", "d", "h")), ["c", "d", "h"]).select("c", "least")
+    repeated = saved(one.groupBy("c").count().filter("count > 1").select("c"))
+    one = _once(one, repeated)
     labelled = one.join(_small(labels), "c", "left").withColumn("label", F.coalesce("label", "c"))
     held = labelled.select("c", "label", F.explode("least").alias("token"))
     shared = [saved(_shared(held))]
     every = where.join(_small(labels), "c", "left").select("c", "n", F.coalesce("label", "c").alias("label"), F.lit(0).cast("long").alias("own"))
     open_ = saved(_still_open(held, shared[0], every))
     whole = saved(_sets(docs, saved(where.select("c", "d", "h").join(_small(open_.select("c", "label")), "c").select("c", "d", "h", "label"))))
+    whole = _once(whole, repeated)
     for low, high in zip(RANGES[:-1], RANGES[1:], strict=True):
         held = _unpacked(whole.join(_small(open_.select(F.col("c"))), "c", "left_semi"), low, high)
         shared.append(saved(_shared(held)))

@@ -121,6 +121,22 @@ def test_ngram_join_without_its_first_round(spark, monkeypatch):
     assert sorted((r.d, r.n_shingles, r.component) for r in got) == brute_components(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_ngram_join_repeated_rows(spark, monkeypatch, seed):
+    """Rows that stand several times don't close a document that links at 0.80 to 0.85."""
+    monkeypatch.setattr(ngram_join, "_starred", lambda classes: classes.select(F.col("c").alias("a"), F.col("c").alias("b")).limit(0))
+    rng, rows = random.Random(seed), []
+    for i in range(12):
+        n = rng.choice([13, 104, 204])
+        base = [f"r{i}x{k}" for k in range(n)]
+        own = (n - 4) // 9  # of n - 4 shingles of either: 8 of 10 shared, or a little more
+        near = base[own:] + [f"s{i}x{k}" for k in range(own)]
+        rows += [(2 * i, " ".join(base))] * 6 + [(2 * i + 1, " ".join(near))] * 6
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.d, r.n_shingles, r.component) for r in got) == brute_components(rows)
+    assert all(r.component % 2 == 0 for r in got)
+
+
 def test_ngram_join_odd(odd, none):
     low = -(1 << 63)
     got = ngram_join.join(odd).collect()
