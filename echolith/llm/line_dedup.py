@@ -1,10 +1,9 @@
 """Line dedup by winnowing.
 
-A text is a sequence of lines. So that a passage is found in the middle of a longer line too, lines are also broken after a sentence mark and after words whose hash
-says so; breaks depend on the words alone, so equal passages break alike. At every line the gram of neighbouring
-lines that begins there is hashed, and of each window of grams the least hash is kept: texts that share WINDOW grams in a row share one of these fingerprints. Each fingerprint joins its later places to
-its first one (by doc_id, then place); from there the match is extended over equal lines both ways. Repeated runs are deleted
-where they come later; the first stays. What a line's first place holds is never deleted for it, so nothing is lost altogether.
+A text is a sequence of words, whatever its marks and line feeds are. At every word the gram of GRAM_WORDS words that begins there is hashed, and of each window of WINDOW grams
+the least hash is kept: texts that share GRAM_WORDS + WINDOW - 1 words in a row, wherever these stand in their lines, share one of these fingerprints. Each fingerprint joins its later places to
+its first one (by doc_id, then place); from there the match is extended over equal words both ways. Repeated runs are deleted
+where they come later; the first stays. What a word's first place holds is never deleted for it, so nothing is lost altogether.
 """
 
 from __future__ import annotations
@@ -17,19 +16,16 @@ from pyspark.sql import functions as F
 from .common import saved, table
 from .hashing import mix, powers, text_groups, word_hashes
 
-WINDOW = 3
-#: A word ends a line if its hash is a multiple of this.
-BREAK = 16
-#: A gram is two lines or as many more as make up so many words: fewer recur by chance.
+WINDOW = 8
+#: A gram is so many words: fewer recur by chance. No gram is longer than a window, so that the grams kept from a run leave no word between them uncovered.
 GRAM_WORDS = 8
 #: A run is deleted if it has so many words, or is one of several shared with the same text that have twice as many together.
 RUN_WORDS = 25
-_MARKS = np.isin(np.arange(256), np.frombuffer(b".!?;:,", np.uint8))
 
 
 #: Up to so many rows (of ids, or a text's runs: some 100 bytes each at most) are broadcast, so that no text is shuffled; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
-#: The same for repeated fingerprints with their first places (some 50 bytes each).
+#: The same for repeated fingerprints (some 20 bytes each).
 BROADCAST_FIRST = 2_000_000
 
 
@@ -37,23 +33,8 @@ def _small(df: DataFrame, most: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
 
 
-def lines_of(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """hash, words, text number and start of every line."""
-    hashes, owner, starts, ends = word_hashes(offsets, data, lower=False)
-    if not len(hashes):
-        return hashes, owner, owner, starts
-    feeds = np.cumsum(data == 10)[starts]
-    stops = _MARKS[data[ends - 1]] | (hashes % np.uint64(BREAK) == 0)
-    new = np.concatenate([[True], stops[:-1] | (feeds[1:] != feeds[:-1]) | (owner[1:] != owner[:-1])])
-    at = np.flatnonzero(new)
-    words = np.diff(np.append(at, len(hashes)))
-    place = np.arange(len(hashes)) - np.repeat(at, words)
-    summed = np.add.reduceat(hashes * powers(len(hashes))[place], at)
-    return mix(summed + words.astype(np.uint64)), words, owner[at], starts[at]
-
-
 def fingerprints(lines: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and place of the window minima of one text."""
+    """Hash and place of the window minima of one text, given the hashes of its units (words, for the query) and the words of each."""
     summed = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
     ends = np.maximum(np.searchsorted(summed, summed[:-1] + GRAM_WORDS), np.arange(len(lines)) + 2)
     ends = ends[ends <= len(lines)]
@@ -62,32 +43,32 @@ def fingerprints(lines: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.n
         return np.zeros(0, np.uint64), np.zeros(0, np.int32)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines * powers(len(lines)), dtype=np.uint64)])
     grams = mix((total[ends] - total[starts]) * powers(len(lines), True)[starts] + (ends - starts).astype(np.uint64))
-    if len(starts) > WINDOW:
+    if len(starts) >= WINDOW:
         windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
         starts = np.unique(np.arange(len(windows)) + windows.argmin(axis=1))
     return grams[starts], starts.astype(np.int32)
 
 
 def _sketches(rows: DataFrame) -> DataFrame:
-    """d, h, lines, words, f, p: each text's line hashes and word counts (as bytes), and its fingerprints with their places."""
+    """d, h, words, f, p: each text's word hashes (32 bits each, as bytes), and its fingerprints with their places."""
 
     def run(batches):
         for batch in batches:
             for row, offsets, data in text_groups(batch.column("text")):
                 n = len(offsets) - 1
-                hashes, words, owner, _ = lines_of(offsets, data)
+                hashes, owner, _, _ = word_hashes(offsets, data, lower=False)
                 cuts = np.searchsorted(owner, np.arange(n + 1))
-                out = {"lines": [], "words": [], "f": [], "p": []}
+                out = {"words": [], "f": [], "p": []}
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    f, p = fingerprints(hashes[a:b], words[a:b])
-                    for name, x in (("lines", hashes[a:b].tobytes()), ("words", np.minimum(words[a:b], 65_535).astype(np.uint16).tobytes()), ("f", f.view(np.int64)), ("p", p)):
+                    f, p = fingerprints(hashes[a:b], np.ones(b - a, np.int64))
+                    for name, x in (("words", hashes[a:b].astype(np.uint32).tobytes()), ("f", f.view(np.int64)), ("p", p)):
                         out[name].append(x)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("d").slice(row, n), batch.column("h").slice(row, n), pa.array(out["lines"], pa.binary()), pa.array(out["words"], pa.binary()), pa.array(out["f"], pa.list_(pa.int64())), pa.array(out["p"], pa.list_(pa.int32()))],
-                    names=["d", "h", "lines", "words", "f", "p"],
+                    [batch.column("d").slice(row, n), batch.column("h").slice(row, n), pa.array(out["words"], pa.binary()), pa.array(out["f"], pa.list_(pa.int64())), pa.array(out["p"], pa.list_(pa.int32()))],
+                    names=["d", "h", "words", "f", "p"],
                 )
 
-    return rows.mapInArrow(run, "d long, h long, lines binary, words binary, f array<long>, p array<int>")
+    return rows.mapInArrow(run, "d long, h long, words binary, f array<long>, p array<int>")
 
 
 def _reach(a: np.ndarray, b: np.ndarray) -> int:
@@ -101,18 +82,17 @@ def _reach(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
-def extended(lines: np.ndarray, source: np.ndarray, anchors: list[tuple[int, int]], words: np.ndarray, run_words: int) -> list[tuple[int, int]]:
-    """The runs (first line, end) of a text that repeat the source's lines around the anchors (place, place in the source)."""
-    runs, total, covered = [], np.concatenate([[0], np.cumsum(words, dtype=np.int64)]), 0
+def extended(words: np.ndarray, source: np.ndarray, anchors: list[tuple[int, int]], run_words: int) -> list[tuple[int, int]]:
+    """The runs (first word, end) of a text that repeat the source's words around the anchors (place, place in the source)."""
+    runs, covered = [], 0
     for p, s in sorted(anchors):
-        if p + 2 <= covered or not np.array_equal(lines[p : p + 2], source[s : s + 2]):
+        if p + GRAM_WORDS <= covered or not np.array_equal(words[p : p + GRAM_WORDS], source[s : s + GRAM_WORDS]):
             continue
-        back, on = _reach(lines[:p][::-1], source[:s][::-1]), _reach(lines[p:], source[s:])
+        back, on = _reach(words[:p][::-1], source[:s][::-1]), _reach(words[p:], source[s:])
         runs.append((p - back, p + on))
         covered = max(covered, p + on)
-    sizes = [int(total[b] - total[a]) for a, b in runs]
-    every = sum(sizes) >= 2 * run_words
-    return [r for r, n in zip(runs, sizes, strict=True) if every or n >= run_words]
+    every = sum(b - a for a, b in runs) >= 2 * run_words
+    return [r for r in runs if every or r[1] - r[0] >= run_words]
 
 
 def _runs(pairs: DataFrame, run_words: int) -> DataFrame:
@@ -121,9 +101,9 @@ def _runs(pairs: DataFrame, run_words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for at in range(batch.num_rows):
-                row = {c: batch.column(c)[at].as_py() for c in ("d", "h", "lines", "words", "source", "anchors")}
-                lines, source = (np.frombuffer(row[c], np.uint64) for c in ("lines", "source"))
-                found = extended(lines, source, [(x["p"], x["s"]) for x in row["anchors"]], np.frombuffer(row["words"], np.uint16), run_words)
+                row = {c: batch.column(c)[at].as_py() for c in ("d", "h", "words", "source", "anchors")}
+                words, source = (np.frombuffer(row[c], np.uint32) for c in ("words", "source"))
+                found = extended(words, source, [(x["p"], x["s"]) for x in row["anchors"]], run_words)
                 n = len(found)
                 yield pa.RecordBatch.from_pydict({"d": pa.array([row["d"]] * n, pa.int64()), "h": pa.array([row["h"]] * n, pa.int64()), "start": pa.array([a for a, _ in found], pa.int32()), "end": pa.array([b for _, b in found], pa.int32())})
 
@@ -131,9 +111,9 @@ def _runs(pairs: DataFrame, run_words: int) -> DataFrame:
 
 
 def without(text: str, runs: list[dict]) -> tuple[str, int]:
-    """The text without the lines of the runs, and how many words went. What stood before and after a run stays as it was; white space after a run goes with it."""
+    """The text without the words of the runs, and how many words went. What stood before and after a run stays as it was; white space after a run goes with it."""
     raw = text.encode("utf-8", "surrogatepass")
-    _, words, _, starts = lines_of(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8))
+    _, _, starts, _ = word_hashes(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8), lower=False)
     gone = np.zeros(len(starts) + 1, bool)
     for r in runs:
         gone[r["start"] : r["end"]] = True
@@ -142,11 +122,11 @@ def without(text: str, runs: list[dict]) -> tuple[str, int]:
     for a, b in zip([0, *change], [*change, len(starts)], strict=True):
         if b > a and not gone[a]:
             out.append(raw[edges[a] : edges[b]])
-    return b"".join(out).decode("utf-8", "surrogatepass"), int(words[gone[:-1]].sum())
+    return b"".join(out).decode("utf-8", "surrogatepass"), int(gone[:-1].sum())
 
 
 def dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """All columns of docs with text shortened by the runs of lines that it repeats, then n_words_before and n_words_removed (long; named so even if docs has them).
+    """All columns of docs with text shortened by the runs of words that it repeats, then n_words_before and n_words_removed (long; named so even if docs has them).
 
     docs needs doc_id and text. Runs repeated within a text go too. A text that repeats earlier ones throughout becomes empty; null texts stay null. Rows equal in id and text are one document and
     get the same result; rows of one id with different texts are documents of their own, in the order of a hash. Null ids come first. An empty table gives an empty result.
@@ -154,14 +134,17 @@ def dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     # Only these three columns take part until the end, so other columns may have any names.
     d, h = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64("text")
     sketch = saved(_sketches(docs.select(d.alias("d"), h.alias("h"), "text")))
+    # Most fingerprints stand once: these go by the hash alone, before any place is shuffled.
+    repeated = saved(sketch.select(F.explode("f").alias("f")).groupBy("f").count().filter("count > 1").select("f"))
     places = sketch.select("d", "h", F.explode(F.arrays_zip("f", "p")).alias("x")).select("d", "h", "x.f", "x.p")
-    first = places.groupBy("f").agg(F.min(F.struct("d", "h", "p")).alias("s"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    places = saved(places.join(_small(repeated, BROADCAST_FIRST), "f"))
+    first = places.groupBy("f").agg(F.min(F.struct("d", "h", "p")).alias("s"))
     later = places.join(_small(saved(first), BROADCAST_FIRST), "f").filter("struct(d, h, p) > s")
     pairs = saved(later.groupBy("d", "h", F.col("s.d").alias("sd"), F.col("s.h").alias("sh")).agg(F.collect_set(F.struct("p", F.col("s.p").alias("s"))).alias("anchors")))
     met = saved(pairs.select("d", "h").union(pairs.select("sd", "sh")).distinct())
-    lines = sketch.join(_small(met), ["d", "h"]).select("d", "h", "lines", "words").dropDuplicates(["d", "h"])
-    both = pairs.join(lines, ["d", "h"]).join(lines.select(F.col("d").alias("sd"), F.col("h").alias("sh"), F.col("lines").alias("source")), ["sd", "sh"])
-    runs = _runs(both.select("d", "h", "lines", "words", "source", "anchors"), run_words)
+    lines = sketch.join(_small(met), ["d", "h"]).select("d", "h", "words").dropDuplicates(["d", "h"])
+    both = pairs.join(lines, ["d", "h"]).join(lines.select(F.col("d").alias("sd"), F.col("h").alias("sh"), F.col("words").alias("source")), ["sd", "sh"])
+    runs = _runs(both.select("d", "h", "words", "source", "anchors"), run_words)
     runs = _small(saved(runs.groupBy("d", "h").agg(F.collect_set(F.struct("start", "end")).alias("runs"))))
     columns = [c for c in docs.columns if c not in ("n_words_before", "n_words_removed")]
     packed = docs.select(F.struct(*columns).alias("row"), d.alias("d"), h.alias("h"))

@@ -348,6 +348,19 @@ def test_line_dedup_guarantee():
         assert found[0] & found[1]
 
 
+def test_line_dedup_without_marks(spark):
+    """A passage of 50 words inside longer lines without marks goes whole, wherever it stands; so does one of 25."""
+    rng = random.Random(12)
+    fresh = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(n))
+    passages = [fresh(n) for n in [50] * 40 + [25] * 20]
+    texts = [f"{fresh(rng.randrange(5, 60))} {p} {fresh(rng.randrange(5, 60))}" for _ in range(2) for p in passages]
+    got = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, p in enumerate(passages):
+        assert got[i].text == texts[i]
+        k = i + len(passages)
+        assert got[k].n_words_removed == len(p.split()) and got[k].text.split() == texts[k].replace(p, "").split()
+
+
 def test_line_dedup_odd(odd, none):
     out = line_dedup.dedup(odd)
     assert out.columns == [*odd.columns, "n_words_before", "n_words_removed"]
