@@ -2,8 +2,8 @@
 
 A text is a sequence of words, whatever its marks and line feeds are. At every word the gram of GRAM_WORDS words that begins there is hashed, and of each window of WINDOW grams
 the least hash is kept: texts that share GRAM_WORDS + WINDOW - 1 words in a row, wherever these stand in their lines, share one of these fingerprints. Each fingerprint joins its later places to
-its first one (by doc_id, then place); from there the match is extended over equal words both ways. Repeated runs are deleted
-where they come later; the first stays. What a word's first place holds is never deleted for it, so nothing is lost altogether.
+its first one (by doc_id, then place); from there the match is extended over equal words both ways. The runs of all sources of a text are joined, and what is long enough together is deleted
+where it comes later; the first stays. What a word's first place holds is never deleted for it, so nothing is lost altogether.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from .hashing import mix, powers, text_groups, word_hashes
 WINDOW = 8
 #: A gram is so many words: fewer recur by chance. No gram is longer than a window, so that the grams kept from a run leave no word between them uncovered.
 GRAM_WORDS = 8
-#: A run is deleted if it has so many words, or is one of several shared with the same text that have twice as many together.
+#: A stretch of adjacent or overlapping runs, of whatever sources, is deleted if it has so many words; so is a run that is one of several shared with the same text that have twice as many together.
 RUN_WORDS = 25
 
 
@@ -82,7 +82,7 @@ def _reach(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
-def extended(words: np.ndarray, source: np.ndarray, anchors: list[tuple[int, int]], run_words: int) -> list[tuple[int, int]]:
+def extended(words: np.ndarray, source: np.ndarray, anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The runs (first word, end) of a text that repeat the source's words around the anchors (place, place in the source)."""
     runs, covered = [], 0
     for p, s in sorted(anchors):
@@ -91,23 +91,47 @@ def extended(words: np.ndarray, source: np.ndarray, anchors: list[tuple[int, int
         back, on = _reach(words[:p][::-1], source[:s][::-1]), _reach(words[p:], source[s:])
         runs.append((p - back, p + on))
         covered = max(covered, p + on)
-    every = sum(b - a for a, b in runs) >= 2 * run_words
-    return [r for r in runs if every or r[1] - r[0] >= run_words]
+    return runs
 
 
 def _runs(pairs: DataFrame, run_words: int) -> DataFrame:
-    """d, h, start, end: the runs to delete."""
+    """d, h, start, end, sure: the runs that a text shares with each source; those that are sure go however short they are."""
 
     def run(batches):
         for batch in batches:
             for at in range(batch.num_rows):
                 row = {c: batch.column(c)[at].as_py() for c in ("d", "h", "words", "source", "anchors")}
                 words, source = (np.frombuffer(row[c], np.uint32) for c in ("words", "source"))
-                found = extended(words, source, [(x["p"], x["s"]) for x in row["anchors"]], run_words)
-                n = len(found)
-                yield pa.RecordBatch.from_pydict({"d": pa.array([row["d"]] * n, pa.int64()), "h": pa.array([row["h"]] * n, pa.int64()), "start": pa.array([a for a, _ in found], pa.int32()), "end": pa.array([b for _, b in found], pa.int32())})
+                found = extended(words, source, [(x["p"], x["s"]) for x in row["anchors"]])
+                n, sure = len(found), sum(b - a for a, b in found) >= 2 * run_words
+                yield pa.RecordBatch.from_pydict({"d": pa.array([row["d"]] * n, pa.int64()), "h": pa.array([row["h"]] * n, pa.int64()), "start": pa.array([a for a, _ in found], pa.int32()), "end": pa.array([b for _, b in found], pa.int32()), "sure": pa.array([sure] * n, pa.bool_())})
 
-    return pairs.mapInArrow(run, "d long, h long, start int, end int")
+    return pairs.mapInArrow(run, "d long, h long, start int, end int, sure boolean")
+
+
+def stretches(runs: list[dict], run_words: int) -> list[dict]:
+    """What is to go, given the runs of all sources: adjacent and overlapping ones joined, if so many words together; and the sure ones."""
+    out = [(r["start"], r["end"]) for r in runs if r["sure"]]
+    start = end = 0
+    for a, b in [*sorted((r["start"], r["end"]) for r in runs), (1 << 31, 1 << 31)]:
+        if a > end:
+            if end - start >= run_words:
+                out.append((start, end))
+            start = a
+        end = max(end, b)
+    return [{"start": a, "end": b} for a, b in out]
+
+
+def _joined(runs: DataFrame, run_words: int) -> DataFrame:
+    """d, h, runs: the stretches to delete from each text that has some."""
+
+    def run(batches):
+        for batch in batches:
+            found = [stretches(r, run_words) for r in batch.column("runs").to_pylist()]
+            out = pa.RecordBatch.from_arrays([batch.column("d"), batch.column("h"), pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["d", "h", "runs"])
+            yield out.filter(pa.array([bool(x) for x in found], pa.bool_()))
+
+    return runs.groupBy("d", "h").agg(F.collect_set(F.struct("start", "end", "sure")).alias("runs")).mapInArrow(run, "d long, h long, runs array<struct<start:int,end:int>>")
 
 
 def without(text: str, runs: list[dict]) -> tuple[str, int]:
@@ -144,8 +168,7 @@ def dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     met = saved(pairs.select("d", "h").union(pairs.select("sd", "sh")).distinct())
     lines = sketch.join(_small(met), ["d", "h"]).select("d", "h", "words").dropDuplicates(["d", "h"])
     both = pairs.join(lines, ["d", "h"]).join(lines.select(F.col("d").alias("sd"), F.col("h").alias("sh"), F.col("words").alias("source")), ["sd", "sh"])
-    runs = _runs(both.select("d", "h", "words", "source", "anchors"), run_words)
-    runs = _small(saved(runs.groupBy("d", "h").agg(F.collect_set(F.struct("start", "end")).alias("runs"))))
+    runs = _small(saved(_joined(_runs(both.select("d", "h", "words", "source", "anchors"), run_words), run_words)))
     columns = [c for c in docs.columns if c not in ("n_words_before", "n_words_removed")]
     packed = docs.select(F.struct(*columns).alias("row"), d.alias("d"), h.alias("h"))
     joined = packed.join(runs, ["d", "h"], "left").select("row", "runs", F.col("row.text").alias("text"))

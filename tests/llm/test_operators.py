@@ -361,6 +361,23 @@ def test_line_dedup_without_marks(spark):
         assert got[k].n_words_removed == len(p.split()) and got[k].text.split() == texts[k].replace(p, "").split()
 
 
+def test_line_dedup_of_several_sources(spark):
+    """Paragraphs of 20 to 24 words that began in different texts, repeated together by two later ones."""
+    rng = random.Random(13)
+    fresh = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(n))
+    texts, last = [], []
+    for _ in range(30):
+        parts = [fresh(rng.randrange(20, 25)) for _ in range(3)]
+        texts += [f"{fresh(30)} {p} {fresh(30)}" for p in parts]
+        last += [(f"{fresh(20)}\n{' '.join(parts)}\n{fresh(20)}", " ".join(parts)) for _ in range(2)]
+    rows = list(enumerate(texts + [t for t, _ in last]))
+    got = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    left = [(got[len(texts) + i], t, p) for i, (t, p) in enumerate(last)]
+    assert all(r.n_words_removed >= len(p.split()) - 2 * (line_dedup.WINDOW - 1) for r, _, p in left)
+    assert all(not Counter(words(t)) - Counter(words(p)) - Counter(words(r.text)) for r, t, p in left), "only the passage goes"
+    assert set(" ".join(t for _, t in rows).split()) == set(" ".join(r.text for r in got.values()).split())
+
+
 def test_line_dedup_odd(odd, none):
     out = line_dedup.dedup(odd)
     assert out.columns == [*odd.columns, "n_words_before", "n_words_removed"]
