@@ -3,7 +3,8 @@
 The statistics of a text (length, length of its words, of its lines, share of punctuation and of symbols, on scales on which they
 are about normal) form a vector. For every language and source the minimum covariance determinant is sought: starting at
 medians and median deviations, concentration steps take the given share of the vectors that lie nearest and estimate centre and covariance from these
-alone, so outliers (up to the rest) have no say in what counts as usual. A text is rejected if its Mahalanobis distance
+alone, so outliers (up to the rest) have no say in what counts as usual. The same is sought for every language and for all rows; a group's centre and covariance are
+drawn towards those of its language, and these towards those of all rows, the more the fewer texts there are, so groups of every size are judged. A text is rejected if its Mahalanobis distance
 to that estimate is beyond a chi-squared quantile.
 """
 
@@ -24,7 +25,10 @@ FLOORS = {"v_length": 0.25, "v_word": 0.05, "v_line": 0.25, "v_marks": 0.10, "v_
 CUTOFF = 45.0
 HALF = 0.75
 CONSISTENT = 1.0 / 0.66
-LEAST_ROWS = 40
+#: An estimate of so many texts (besides as many as there are parts) counts as much as that of the level above it.
+PRIOR_ROWS = 40
+#: Up to so many groups' estimates (some 200 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 STEPS = 3
 
 
@@ -74,18 +78,54 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
 
 
-def _moments(rows: DataFrame, group: list[str], parts: list[str], factor: float) -> DataFrame:
-    """The group's centre m_i and the Cholesky factor l_i_j of its covariance, never narrower than the floors."""
-    p = range(len(parts))
-    cov = [F.covar_pop(parts[i], parts[j]).alias(f"c_{i}_{j}") for i in p for j in range(i + 1)]
-    out = rows.groupBy(*group).agg(*[F.avg(x).alias(f"m_{i}") for i, x in enumerate(parts)], *cov)
-    for i in p:
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _columns(parts: list[str]) -> list[str]:
+    """The names of a centre's parts and of a covariance's."""
+    return [f"m_{i}" for i in range(len(parts))] + [f"c_{i}_{j}" for i in range(len(parts)) for j in range(i + 1)]
+
+
+def _moments(rows: DataFrame, key: str, parts: list[str], factor: float) -> DataFrame:
+    """The group's centre m_i and its covariance c_i_j, never narrower than the floors."""
+    cov = [(F.coalesce(F.covar_pop(x, parts[j]), F.lit(0.0)) * factor + (FLOORS[x] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i, x in enumerate(parts) for j in range(i + 1)]
+    return rows.groupBy(key).agg(*[F.avg(x).alias(f"m_{i}") for i, x in enumerate(parts)], *cov)
+
+
+def _factored(estimate: DataFrame, parts: list[str]) -> DataFrame:
+    """estimate with the Cholesky factor l_i_j of its covariance."""
+    for i, x in enumerate(parts):
         for j in range(i + 1):
-            c = F.coalesce(F.col(f"c_{i}_{j}"), F.lit(0.0)) * factor + (FLOORS[parts[i]] ** 2 if i == j else 0.0)
-            done = reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}"), range(j), c)  # noqa: B023
-            least = F.lit(FLOORS[parts[i]] ** 2 / 4)
-            out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(done, least)) if i == j else done / F.col(f"l_{j}_{j}"))
-    return out.select(*group, *[f"m_{i}" for i in p], *[f"l_{i}_{j}" for i in p for j in range(i + 1)])
+            done = reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}"), range(j), F.col(f"c_{i}_{j}"))  # noqa: B023
+            least = F.lit(FLOORS[x] ** 2 / 4)
+            estimate = estimate.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(done, least)) if i == j else done / F.col(f"l_{j}_{j}"))
+    return estimate
+
+
+def _estimate(fit: DataFrame, key: str, parts: list[str], half: float, steps: int) -> DataFrame:
+    """key, n and the robust centre and covariance of every group of fit."""
+    rows, p = fit.select(key, *parts), range(len(parts))
+    middle = _small(saved(rows.groupBy(key).agg(F.count("*").alias("n"), *[F.percentile_approx(x, 0.5, 1000).alias(f"m_{i}") for i, x in enumerate(parts)])))
+    spread = rows.join(middle, key).groupBy(key).agg(F.first("n").alias("n"), *[F.first(f"m_{i}").alias(f"m_{i}") for i in p], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 1000).alias(f"s_{i}") for i, x in enumerate(parts)])
+    lower = {f"l_{i}_{j}": F.greatest(1.4826 * F.col(f"s_{i}"), F.lit(FLOORS[x])) if i == j else F.lit(0.0) for i, x in enumerate(parts) for j in range(i + 1)}
+    estimate = saved(spread.withColumns(lower).select(key, "n", *[f"m_{i}" for i in p], *lower))
+    sizes = estimate.select(key, "n")
+    for _ in range(steps):
+        far = rows.join(_small(estimate.drop("n")), key).withColumn("d", _distance(parts)).select(key, *parts, "d")
+        edge = saved(far.groupBy(key).agg(F.percentile_approx("d", half, 1000).alias("edge")))
+        moments = saved(_moments(far.join(_small(edge), key).filter("d <= edge"), key, parts, CONSISTENT))
+        estimate = saved(_factored(moments, parts))
+    return saved(moments.join(sizes, key))
+
+
+def _drawn(estimate: DataFrame, above: DataFrame, key: str, parts: list[str], prior_rows: int) -> DataFrame:
+    """estimate with centre and covariance drawn towards those of the level above (by its key)."""
+    names = _columns(parts)
+    more = F.greatest(F.col("n") - len(parts), F.lit(0))  # so many texts as parts, or fewer, have no covariance of their own
+    own = more / (more + prior_rows)
+    joined = estimate.join(_small(above.select(key, *[F.col(x).alias(f"a_{x}") for x in names])), key)
+    return saved(joined.select(*[c for c in estimate.columns if c not in names], *[(own * F.col(x) + (1 - own) * F.col(f"a_{x}")).alias(x) for x in names]))
 
 
 def _distance(parts: list[str]) -> Column:
@@ -97,27 +137,24 @@ def _distance(parts: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [y * y for y in solved])
 
 
-def judge(docs: DataFrame, cutoff: float = CUTOFF, half: float = HALF, steps: int = STEPS, least_rows: int = LEAST_ROWS) -> DataFrame:
+def judge(docs: DataFrame, cutoff: float = CUTOFF, half: float = HALF, steps: int = STEPS, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance and kept of every row of docs (doc_id, text, lang, source).
 
     A null text is an empty one, and fails the base rules. Only texts that pass these enter the estimate of their language and source (null is one of
-    each). In a group of fewer than least_rows texts, distance is null and the base rules alone decide. The share half of a
+    each). The estimate of a group of prior_rows texts counts as much as that of its language, a smaller one less; so every text that passes the base rules has a distance (null only where no text of the group passes them). The share half of a
     group, taken by approximate percentile, is concentrated in the given number of steps. Equal distances go in together. Other columns are ignored; repeated rows count as often as they occur; an
     empty table gives an empty result.
     """
-    parts, group = list(FLOORS), ["g"]
-    stats = saved(statistics(docs).withColumn("g", F.xxhash64(F.struct("lang", "source"), F.col("lang").isNull(), F.col("source").isNull())))
-    fit = stats.filter(~F.col("base_failed")).select("g", *parts)
-    middle = fit.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(x, 0.5, 1000).alias(f"m_{i}") for i, x in enumerate(parts)])
-    spread = fit.join(middle, "g").groupBy("g").agg(F.first("n").alias("n"), *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(len(parts))], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 1000).alias(f"s_{i}") for i, x in enumerate(parts)])
-    spread = spread.filter(F.col("n") >= least_rows)
-    lower = {f"l_{i}_{j}": F.greatest(1.4826 * F.col(f"s_{i}"), F.lit(FLOORS[x])) if i == j else F.lit(0.0) for i, x in enumerate(parts) for j in range(i + 1)}
-    estimate = saved(spread.withColumns(lower).select("g", *[f"m_{i}" for i in range(len(parts))], *lower))
-    for _ in range(steps):
-        far = fit.join(estimate, "g").withColumn("d", _distance(parts)).select("g", *parts, "d")
-        edge = far.groupBy("g").agg(F.percentile_approx("d", half, 1000).alias("edge"))
-        estimate = saved(_moments(far.join(edge, "g").filter("d <= edge"), group, parts, CONSISTENT))
-    judged = stats.join(estimate, "g", "left").withColumn("distance", _distance(parts))
+    parts = list(FLOORS)
+    stats = statistics(docs).withColumns({"g": F.xxhash64(F.struct("lang", "source"), F.col("lang").isNull(), F.col("source").isNull()), "l": F.xxhash64("lang", F.col("lang").isNull()), "a": F.lit(0)})
+    stats = saved(stats)
+    fit = stats.filter(~F.col("base_failed")).select("g", "l", "a", *parts)
+    levels = saved(fit.select("g", "l", "a").distinct())
+    of_all = _estimate(fit, "a", parts, half, steps)
+    of_lang = _estimate(fit, "l", parts, half, steps).join(_small(saved(levels.select("l", "a").distinct())), "l")
+    of_lang = _drawn(of_lang, of_all, "a", parts, prior_rows)
+    of_group = _drawn(_estimate(fit, "g", parts, half, steps).join(_small(levels.select("g", "l")), "g"), of_lang, "l", parts, prior_rows)
+    judged = stats.join(_small(saved(_factored(of_group, parts).drop("l", "n"))), "g", "left").withColumn("distance", _distance(parts))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
         (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"),

@@ -311,6 +311,19 @@ def test_quality_outliers(spark):
     assert sum(got[i] for i in range(300)) >= 297
 
 
+@pytest.mark.parametrize("n", [5, 39])
+def test_quality_small_groups(spark, n):
+    """A source of any size is judged: its odd text goes, its usual ones stay."""
+    rng = random.Random(n)
+    usual = lambda: "\n".join(" ".join("x" * rng.randrange(2, 9) + rng.choice(["", "", ".", ","]) + str(rng.random()) for _ in range(12)) for _ in range(rng.randrange(4, 12)))
+    odd_text = "\n".join(" ".join(f"{rng.random()}$$$" for _ in range(12)) for _ in range(6))
+    rows = [(i, usual(), "en", "big") for i in range(300)] + [(1000 + i, usual(), "en", "small") for i in range(n - 1)] + [(2000, odd_text, "en", "small"), (3000, odd_text, "de", "other"), (3001, usual(), "de", "other")]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows) and all(r.base_failed or r.distance is not None for r in got.values())
+    assert not got[2000].kept and not got[3000].kept and got[3001].kept
+    assert sum(got[1000 + i].kept for i in range(n - 1)) >= n - 2 and sum(got[i].kept for i in range(300)) >= 297
+
+
 # 8 line dedup
 
 
