@@ -16,7 +16,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -25,7 +25,7 @@ TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Strings that chat models commonly treat as control.
 CONTROL = (TURN, TEXT, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|system|>", "<|user|>", "<|assistant|>")
 BUDGET, HISTORY = 1_024, 256
-#: Turns of one conversation are dealt by such ranges of turn numbers, so that the longest conversation is spread too; windows don't cross them.
+#: Turns of one conversation are dealt by such ranges of turn numbers, so that the longest conversation is spread too; new turns of a window don't cross them, the system turn and the history do.
 SEGMENT = 1_024
 MARKUP = 4
 
@@ -68,6 +68,12 @@ class _Windows:
         self.system = (role, text, token_count(role, text))
         self.start = self.sum = self.system[2]
 
+    def remember(self, role: str, text: str) -> None:
+        """A turn of an earlier segment, as history; these come in order, and the last that fit stay."""
+        self.past.append((role, text, token_count(role, text)))
+        while self.past and sum(t for *_, t in self.past) > self.limit:
+            self.past.popleft()
+
     def add(self, role: str, text: str) -> dict | None:
         """Take the turn; what it closes is returned."""
         tokens = token_count(role, text)
@@ -109,6 +115,20 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([r | {"loss": [{"start": a, "end": b} for a, b in r["loss"]]} for r in rows], schema=_SCHEMA)
 
 
+def _history(rows: DataFrame, most: int) -> DataFrame:
+    """conv_id, segment, turn, role, text: for every segment but the first, the last turns (up to most) of the segments before it."""
+    of_conv, order = Window.partitionBy("conv_id"), [F.desc(c) for c in ("turn", "role", "text")]
+    sizes = rows.groupBy("conv_id", "segment").agg(F.least(F.count("*"), F.lit(most)).alias("n"))
+    sizes = sizes.withColumn("end", F.sum("n").over(of_conv.orderBy("segment").rowsBetween(Window.unboundedPreceding, 0)))
+    following = F.collect_list(F.struct("segment", (F.col("end") - F.col("n")).alias("start"))).over(of_conv.orderBy("segment").rowsBetween(1, most))
+    # Of a segment's last turns those are needed that, with all turns between, are no more than most.
+    needed = sizes.select("conv_id", F.col("segment").alias("part"), F.filter(following, lambda x: x["start"] - F.col("end") < most).alias("to"), "end").filter(F.size("to") > 0)
+    last = rows.withColumn("r", F.row_number().over(Window.partitionBy("conv_id", "segment").orderBy(*order))).filter(F.col("r") <= most)
+    met = last.join(needed.withColumnRenamed("conv_id", "id"), F.col("conv_id").eqNullSafe(F.col("id")) & (F.col("segment") == F.col("part")))
+    met = met.select("conv_id", "turn", "role", "text", "r", "end", F.explode("to").alias("x")).filter(F.col("x.start") - F.col("end") + F.col("r") <= most)
+    return met.select("conv_id", "x.segment", "turn", "role", "text")
+
+
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, segment: int = SEGMENT) -> DataFrame:
     """conv_id, segment, window, text, new_at, loss and tokens: the windows of all conversations (conv_id, turn, role, text).
 
@@ -117,12 +137,21 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     one new turn alone makes it so. The system turn is the first of that role; the history is the last turns that fit its limit. Turns go by turn number, then by role and text (nulls first);
     repeated rows are turns of their own, null roles and texts are empty, a null conv_id is one conversation. Other columns are ignored; an empty table gives an empty result.
     """
+    most = history // MARKUP  # no turn has fewer tokens
     kept = F.coalesce(F.floor(F.col("turn") / segment), F.lit(0))
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), kept.alias("segment"), F.lit(1).alias("own"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    later = rows.groupBy("conv_id").agg(F.min("segment").alias("first"), F.max("segment").alias("last"), F.min(F.when(F.col("role") == "system", F.struct("segment", "turn", "role", "text"))).alias("s")).filter("last > first and s is not null")
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), kept.alias("segment"), F.lit(2).alias("own"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    long = rows.groupBy("conv_id").agg(F.min("segment").alias("first"), F.max("segment").alias("last"), F.min(F.when(F.col("role") == "system", F.struct("segment", "turn", "role", "text"))).alias("s")).filter("last > first")
+    long = long.select(F.col("conv_id").alias("id"), "s")
+    same = F.col("conv_id").eqNullSafe(F.col("id"))
     segments = rows.select("conv_id", "segment").distinct()
-    carried = segments.join(later.select(F.col("conv_id").alias("id"), "s"), F.col("conv_id").eqNullSafe(F.col("id"))).filter("segment > s.segment")
-    rows = rows.unionByName(carried.select("conv_id", "segment", F.lit(0).alias("own"), "s.turn", "s.role", "s.text"))
+    carried = segments.join(long, same).filter("segment > s.segment").select("conv_id", "segment", F.lit(0).alias("own"), "s.turn", "s.role", "s.text")
+    if most:
+        of_long = rows.join(long.select("id"), same, "left_semi").select("conv_id", "segment", "turn", "role", "text")
+        past = _history(of_long, most).join(long, same)
+        # The history begins after the system turn, which stands before it.
+        past = past.filter(F.col("s").isNull() | (F.col("segment") <= F.col("s.segment")) | (F.struct("turn", "role", "text") > F.struct("s.turn", "s.role", "s.text")))
+        carried = carried.unionByName(past.select("conv_id", "segment", F.lit(1).alias("own"), "turn", "role", "text"))
+    rows = rows.unionByName(carried)
 
     def run(batches):
         at, done = None, []
@@ -132,8 +161,10 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
                     if at and (last := at.close()):
                         done.append(last)
                     at = _Windows((conv_id, part), budget, history)
-                if not own:
+                if own == 0:
                     at.carry(role, text)
+                elif own == 1:
+                    at.remember(role, text)
                 elif full := at.add(role, text):
                     done.append(full)
                 if len(done) >= 256:

@@ -282,6 +282,25 @@ def test_chat(spark, budget, history, segment):
     assert chat.digests(chat.windows(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("step, system", [(1, None), (1, 0), (1, 9), (5, 0)])
+def test_chat_history_crosses_segments(spark, step, system):
+    """A later segment's first window begins with the last turns before it that fit, also where segments hold few turns."""
+    rng = random.Random(6)
+    turns = [(i * step, "system" if i == system else ("user", "assistant")[i % 2], " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(5)))) for i in range(40)]
+    df = spark.createDataFrame([(c, *t) for c in (1, None) for t in turns], "conv_id long, turn long, role string, text string")
+    budget, history, segment = 60, 25, 7
+    firsts = [w for w in chat.windows(df, budget, history, segment).collect() if w.window == 0]
+    assert len(firsts) == 2 * len({t // segment for t, *_ in turns})
+    for w in firsts:
+        before, want, room = [x for x in turns if x[0] < w.segment * segment], [], history
+        head = next((x for x in before if x[1] == "system"), None)
+        for x in reversed(before):
+            if x is head or (room := room - chat.token_count(x[1], x[2])) < 0:
+                break
+            want.insert(0, x[1:])
+        assert list(chat.read_back(w.text[: w.new_at])) == ([head[1:]] if head else []) + want
+
+
 # 7 quality rules
 
 
