@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ngram_join
 from .common import saved, table
 from .hashing import mix, powers, text_groups, word_hashes
 
@@ -149,11 +150,51 @@ def without(text: str, runs: list[dict]) -> tuple[str, int]:
     return b"".join(out).decode("utf-8", "surrogatepass"), int(gone[:-1].sum())
 
 
-def dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+def _first(places: DataFrame) -> DataFrame:
+    """f, s (its first place: d, h, p) of every fingerprint."""
+    return saved(places.groupBy("f").agg(F.min(F.struct("d", "h", "p")).alias("s")))
+
+
+def _pairs(places: DataFrame, first: DataFrame) -> DataFrame:
+    """d, h, sd, sh, anchors: the texts that share fingerprints with the texts where these stand first."""
+    later = places.join(_small(first, BROADCAST_FIRST), "f").filter("struct(d, h, p) > s")
+    return saved(later.groupBy("d", "h", F.col("s.d").alias("sd"), F.col("s.h").alias("sh")).agg(F.collect_set(F.struct("p", F.col("s.p").alias("s"))).alias("anchors")))
+
+
+def _both(sketch: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs with words and source, the word hashes of either text."""
+    met = saved(pairs.select("d", "h").union(pairs.select("sd", "sh")).distinct())
+    lines = sketch.join(_small(met), ["d", "h"]).select("d", "h", "words").dropDuplicates(["d", "h"])
+    both = pairs.join(lines, ["d", "h"]).join(lines.select(F.col("d").alias("sd"), F.col("h").alias("sh"), F.col("words").alias("source")), ["sd", "sh"])
+    return both
+
+
+def _copies(docs: DataFrame, both: DataFrame) -> DataFrame:
+    """d, h of the texts that link, by the n-gram join's measure, with a single earlier text that holds half of their words in shared runs or more."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for words, source, anchors in zip(batch.column("words"), batch.column("source"), batch.column("anchors"), strict=True):
+                words = np.frombuffer(words.as_py(), np.uint32)
+                found = extended(words, np.frombuffer(source.as_py(), np.uint32), [(x["p"], x["s"]) for x in anchors.as_py()])
+                keep.append(2 * sum(b - a for a, b in found) >= len(words))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("d", "h", "sd", "sh")], names=["d", "h", "sd", "sh"]).filter(pa.array(keep, pa.bool_()))
+
+    others = both.filter("struct(d, h) <> struct(sd, sh)").select("d", "h", "sd", "sh", "words", "source", "anchors")
+    near = saved(others.mapInArrow(run, "d long, h long, sd long, sh long"))
+    key = lambda d, h: F.xxhash64(d, h)
+    where = saved(near.select("d", "h").union(near.select("sd", "sh")).distinct().select(key("d", "h").alias("c"), "d", "h"))
+    links = ngram_join._verified(docs.select("doc_id", "text"), near.select(key("sd", "sh").alias("a"), key("d", "h").alias("b")), where)
+    return saved(where.join(links.select(F.col("b").alias("c")).distinct(), "c").select("d", "h"))
+
+
+def dedup(docs: DataFrame, run_words: int = RUN_WORDS, copies: bool = True) -> DataFrame:
     """All columns of docs with text shortened by the runs of words that it repeats, then n_words_before and n_words_removed (long; named so even if docs has them).
 
     docs needs doc_id and text. Runs repeated within a text go too. A text that repeats earlier ones throughout becomes empty; null texts stay null. Rows equal in id and text are one document and
     get the same result; rows of one id with different texts are documents of their own, in the order of a hash. Null ids come first. An empty table gives an empty result.
+    Without copies, rows of texts that are near duplicates of a single earlier text are left out, and nothing is deleted elsewhere because such a text holds it.
     """
     # Only these three columns take part until the end, so other columns may have any names.
     d, h = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64("text")
@@ -162,15 +203,17 @@ def dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     repeated = saved(sketch.select(F.explode("f").alias("f")).groupBy("f").count().filter("count > 1").select("f"))
     places = sketch.select("d", "h", F.explode(F.arrays_zip("f", "p")).alias("x")).select("d", "h", "x.f", "x.p")
     places = saved(places.join(_small(repeated, BROADCAST_FIRST), "f"))
-    first = places.groupBy("f").agg(F.min(F.struct("d", "h", "p")).alias("s"))
-    later = places.join(_small(saved(first), BROADCAST_FIRST), "f").filter("struct(d, h, p) > s")
-    pairs = saved(later.groupBy("d", "h", F.col("s.d").alias("sd"), F.col("s.h").alias("sh")).agg(F.collect_set(F.struct("p", F.col("s.p").alias("s"))).alias("anchors")))
-    met = saved(pairs.select("d", "h").union(pairs.select("sd", "sh")).distinct())
-    lines = sketch.join(_small(met), ["d", "h"]).select("d", "h", "words").dropDuplicates(["d", "h"])
-    both = pairs.join(lines, ["d", "h"]).join(lines.select(F.col("d").alias("sd"), F.col("h").alias("sh"), F.col("words").alias("source")), ["sd", "sh"])
+    both, gone = _both(sketch, _pairs(places, _first(places))), None
+    if not copies:
+        both = saved(both)
+        gone = _copies(docs, both)
+        places = places.join(_small(gone), ["d", "h"], "left_anti")
+        both = _both(sketch, _pairs(places, _first(places)))
     runs = _small(saved(_joined(_runs(both.select("d", "h", "words", "source", "anchors"), run_words), run_words)))
     columns = [c for c in docs.columns if c not in ("n_words_before", "n_words_removed")]
     packed = docs.select(F.struct(*columns).alias("row"), d.alias("d"), h.alias("h"))
+    if gone is not None:
+        packed = packed.join(_small(gone), ["d", "h"], "left_anti")
     joined = packed.join(runs, ["d", "h"], "left").select("row", "runs", F.col("row.text").alias("text"))
 
     def run(batches):
