@@ -3,19 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 #: Texts are hashed together up to so many bytes; a longer text is hashed by itself.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 _R = np.uint64(0x9E3779B97F4A7C15)
-_R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
+#: The low n bytes of a 64-bit word.
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,15 +21,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=8)
-def _powers(n: int, inverse: bool = False) -> np.ndarray:
-    out = np.full(n, _R_INVERSE if inverse else _R)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    return _powers(1 << max(20, (n - 1).bit_length()), inverse)[:n]
+#: Odd factors, one for each place in a run of up to 32 words.
+_FACTORS = np.array([pow(0x9E3779B97F4A7C15, 2 * j + 3, 1 << 64) | 1 for j in range(32)], np.uint64)
 
 
 def text_groups(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -53,17 +42,23 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray, lower: bool) -> tuple[np.
     if not len(data):
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, none
-    solid = ~_SPACE[data]
+    solid = (data != 0x20) & (data - np.uint8(9) > 4)
     bounds = np.unique(offsets[(offsets > 0) & (offsets < len(data))])
-    first = solid & np.concatenate([[True], ~solid[:-1]])
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1]
     first[bounds] = solid[bounds]
-    last = solid & np.concatenate([~solid[1:], [True]])
+    last[:-1] &= ~solid[1:]
     last[bounds - 1] = solid[bounds - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    values = (_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)
-    total = np.cumsum(values * powers(len(data)), dtype=np.uint64)
-    before = np.where(starts > 0, total[starts - 1], np.uint64(0))
-    hashes = mix((total[ends - 1] - before) * powers(len(data), True)[starts])
+    folded = data + ((data - np.uint8(0x41) < 26).view(np.uint8) << 5) if lower else data
+    eights = np.ndarray(len(data) + 1, "<u8", np.concatenate([folded, np.zeros(8, np.uint8)]), strides=(1,))
+    left = ends - starts
+    hashes, at, some = left.astype(np.uint64) * _R, starts, slice(None)
+    while len(left):
+        hashes[some] = mix(hashes[some] ^ (eights[at] & _MASKS[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        some = more if isinstance(some, slice) else some[more]
+        at, left = at[more] + 8, left[more] - 8
     return hashes, np.searchsorted(offsets, starts, "right") - 1, starts, ends
 
 
@@ -72,5 +67,5 @@ def runs_hash(hashes: np.ndarray, size: int) -> np.ndarray:
     n = max(0, len(hashes) - size + 1)
     out = np.zeros(n, np.uint64)
     for j in range(size):
-        out += hashes[j : j + n] * (powers(64)[2 * j + 3] | np.uint64(1))
+        out += hashes[j : j + n] * _FACTORS[j]
     return mix(out)

@@ -1,8 +1,8 @@
 """Line dedup by winnowing.
 
-A text is a sequence of words, whatever its marks and line feeds are. At every word the gram of GRAM_WORDS words that begins there is hashed, and of each window of WINDOW grams
-the least hash is kept: texts that share GRAM_WORDS + WINDOW - 1 words in a row, wherever these stand in their lines, share one of these fingerprints. Each fingerprint joins its later places to
-its first one (by doc_id, then place); from there the match is extended over equal words both ways. The runs of all sources of a text are joined, and what is long enough together is deleted
+A text is a sequence of words, whatever its marks and line feeds are. At every word the gram of GRAM_WORDS words that begins there is hashed, and of each window of WINDOW grams the least hash is
+kept: texts that share GRAM_WORDS + WINDOW - 1 words in a row, wherever these stand in their lines, share one of these fingerprints. Each fingerprint joins its later places to its first one (by
+doc_id, then place) and to the one before; from there the match is extended over equal words both ways. The runs of all sources of a text are joined, and what is long enough together is deleted
 where it comes later; the first stays. What a word's first place holds is never deleted for it, so nothing is lost altogether.
 """
 
@@ -13,63 +13,87 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import ngram_join
 from .common import saved, table
-from .hashing import mix, powers, text_groups, word_hashes
+from .hashing import runs_hash, text_groups, word_hashes
 
-WINDOW = 8
-#: A gram is so many words: fewer recur by chance. No gram is longer than a window, so that the grams kept from a run leave no word between them uncovered.
+#: A gram is so many words: fewer recur by chance.
 GRAM_WORDS = 8
+WINDOW = 12
 #: A stretch of adjacent or overlapping runs, of whatever sources, is deleted if it has so many words; so is a run that is one of several shared with the same text that have twice as many together.
 RUN_WORDS = 25
+#: A text is held against a single earlier one as a near duplicate if it shares this part of its fingerprints with it; those that link share far more.
+COPY_PART = 1 / 3
+#: A fingerprint counts as frequent if one text in SAMPLED holds it so often or more, and holds more than one in SAMPLED_PART of the places seen: so at most SAMPLED_PART are.
+SAMPLED, SAMPLED_LEAST, SAMPLED_PART = 16, 100, 20_000
+#: The places of a frequent fingerprint are dealt to so many groups; a source that more texts quote than QUOTED is sent to several groups of them.
+SALTS, QUOTED = 64, 256
+#: Up to so many rows (of ids, or a text's runs: some 100 bytes each) are broadcast, so that no text is shuffled; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+_KEY = ["d", "h"]
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df (already computed), to be broadcast if it is within the bound."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _sliding(pick, x: np.ndarray, size: int) -> np.ndarray:
+    """pick (np.minimum or np.maximum) over every size neighbours, by doubling."""
+    done = 1
+    while done < size:
+        step = min(done, size - done)
+        x, done = pick(x[:-step], x[step:]), done + step
+    return x
+
+
+def fingerprints(hashes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text number and place of the window minima (all of them, where equal), given word hashes and where each text's begin; a text with fewer grams than a window is one window."""
+    grams = np.maximum(np.diff(cuts) - GRAM_WORDS + 1, 0)
+    text = np.repeat(np.arange(len(grams)), grams)
+    place = np.arange(len(text)) - (np.cumsum(grams) - grams)[text]
+    # Between texts lie WINDOW slots that no gram takes, so that no window sees two texts.
+    slot = np.arange(len(text)) + text * WINDOW
+    own = runs_hash(hashes, GRAM_WORDS)[cuts[text] + place]
+    x = np.full(len(text) + (len(grams) + 1) * WINDOW, ~np.uint64(0))
+    x[slot] = own
+    least, whole = _sliding(np.minimum, x, WINDOW), np.zeros(len(x) - WINDOW + 1, bool)
+    whole[slot[place < np.maximum(grams - WINDOW + 1, 1)[text]]] = True
+    least = np.concatenate([np.zeros(WINDOW - 1, np.uint64), np.where(whole, least, np.uint64(0))])
+    chosen = np.flatnonzero(own == _sliding(np.maximum, least, WINDOW)[slot])
+    return own[chosen], text[chosen], place[chosen]
+
+
+def _hashed(column: pa.Array):
+    """first row, number of rows, word hashes and where each text's begin (one more than texts), group by group."""
+    for row, offsets, data in text_groups(column):
+        hashes, owner, _, _ = word_hashes(offsets, data, lower=False)
+        yield row, len(offsets) - 1, hashes, np.searchsorted(owner, np.arange(len(offsets)))
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    """f, d, h, p: the fingerprints of each text with their places."""
 
+    def run(batches):
+        for batch in batches:
+            for row, _, hashes, cuts in _hashed(batch.column("text")):
+                f, text, p = fingerprints(hashes, cuts)
+                keys = batch.select(_KEY).take(pa.array(text + row))
+                yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), *keys.columns, pa.array(p.astype(np.int32))], names=["f", *_KEY, "p"])
 
-#: Up to so many rows (of ids, or a text's runs: some 100 bytes each at most) are broadcast, so that no text is shuffled; more are joined by shuffle.
-BROADCAST_ROWS = 500_000
-#: The same for repeated fingerprints (some 20 bytes each).
-BROADCAST_FIRST = 2_000_000
-
-
-def _small(df: DataFrame, most: int | None = None) -> DataFrame:
-    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
-
-
-def fingerprints(lines: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and place of the window minima of one text, given the hashes of its units (words, for the query) and the words of each."""
-    summed = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
-    ends = np.maximum(np.searchsorted(summed, summed[:-1] + GRAM_WORDS), np.arange(len(lines)) + 2)
-    ends = ends[ends <= len(lines)]
-    starts = np.arange(len(ends))
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines * powers(len(lines)), dtype=np.uint64)])
-    grams = mix((total[ends] - total[starts]) * powers(len(lines), True)[starts] + (ends - starts).astype(np.uint64))
-    if len(starts) >= WINDOW:
-        windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-        starts = np.unique(np.arange(len(windows)) + windows.argmin(axis=1))
-    return grams[starts], starts.astype(np.int32)
+    return rows.select(*_KEY, "text").mapInArrow(run, "f long, d long, h long, p int")
 
 
-def _sketches(rows: DataFrame) -> DataFrame:
-    """d, h, words, f, p: each text's word hashes (32 bits each, as bytes), and its fingerprints with their places."""
+def _words(rows: DataFrame) -> DataFrame:
+    """d, h, words: each text's word hashes (32 bits each, as bytes)."""
 
     def run(batches):
         for batch in batches:
-            for row, offsets, data in text_groups(batch.column("text")):
-                n = len(offsets) - 1
-                hashes, owner, _, _ = word_hashes(offsets, data, lower=False)
-                cuts = np.searchsorted(owner, np.arange(n + 1))
-                out = {"words": [], "f": [], "p": []}
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    f, p = fingerprints(hashes[a:b], np.ones(b - a, np.int64))
-                    for name, x in (("words", hashes[a:b].astype(np.uint32).tobytes()), ("f", f.view(np.int64)), ("p", p)):
-                        out[name].append(x)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("d").slice(row, n), batch.column("h").slice(row, n), pa.array(out["words"], pa.binary()), pa.array(out["f"], pa.list_(pa.int64())), pa.array(out["p"], pa.list_(pa.int32()))],
-                    names=["d", "h", "words", "f", "p"],
-                )
-
-    return rows.mapInArrow(run, "d long, h long, words binary, f array<long>, p array<int>")
+            for row, n, hashes, cuts in _hashed(batch.column("text")):
+                short = hashes.astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(row, n) for c in _KEY], pa.array([short[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=[*_KEY, "words"])
+
+    return rows.mapInArrow(run, "d long, h long, words binary")
 
 
 def _reach(a: np.ndarray, b: np.ndarray) -> int:
@@ -83,31 +107,48 @@ def _reach(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
-def extended(words: np.ndarray, source: np.ndarray, anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def extended(words: np.ndarray, source: np.ndarray, places: np.ndarray, source_places: np.ndarray) -> list[tuple[int, int]]:
     """The runs (first word, end) of a text that repeat the source's words around the anchors (place, place in the source)."""
-    runs, covered = [], 0
-    for p, s in sorted(anchors):
-        if p + GRAM_WORDS <= covered or not np.array_equal(words[p : p + GRAM_WORDS], source[s : s + GRAM_WORDS]):
+    runs, k, order = [], 0, np.lexsort((source_places, places))
+    places, source_places = places[order], source_places[order]
+    while k < len(places):
+        p, s = int(places[k]), int(source_places[k])
+        on = _reach(words[p:], source[s:])
+        if on < GRAM_WORDS:  # hashes that are equal by chance
+            k += 1
             continue
-        back, on = _reach(words[:p][::-1], source[:s][::-1]), _reach(words[p:], source[s:])
-        runs.append((p - back, p + on))
-        covered = max(covered, p + on)
+        runs.append((p - _reach(words[:p][::-1], source[:s][::-1]), p + on))
+        # The next anchor of which a word is not covered yet.
+        k = max(k + 1, int(np.searchsorted(places, p + on - GRAM_WORDS, "right")))
     return runs
 
 
-def _runs(pairs: DataFrame, run_words: int) -> DataFrame:
+def _compared(batch: pa.RecordBatch):
+    """row number, words, source and anchors (places, places in the source) of the rows of a batch of _both()."""
+    anchors = batch.column("anchors")
+    ends, flat = anchors.offsets.to_numpy(), anchors.values
+    p, s = (flat.field(k).to_numpy() for k in ("p", "s"))
+    for at, (words, source) in enumerate(zip(batch.column("words"), batch.column("source"), strict=True)):
+        a, b = ends[at], ends[at + 1]
+        yield at, np.frombuffer(words.as_buffer(), np.uint32), np.frombuffer(source.as_buffer(), np.uint32), p[a:b], s[a:b]
+
+
+def _runs(both: DataFrame, run_words: int) -> DataFrame:
     """d, h, start, end, sure: the runs that a text shares with each source; those that are sure go however short they are."""
 
     def run(batches):
         for batch in batches:
-            for at in range(batch.num_rows):
-                row = {c: batch.column(c)[at].as_py() for c in ("d", "h", "words", "source", "anchors")}
-                words, source = (np.frombuffer(row[c], np.uint32) for c in ("words", "source"))
-                found = extended(words, source, [(x["p"], x["s"]) for x in row["anchors"]])
-                n, sure = len(found), sum(b - a for a, b in found) >= 2 * run_words
-                yield pa.RecordBatch.from_pydict({"d": pa.array([row["d"]] * n, pa.int64()), "h": pa.array([row["h"]] * n, pa.int64()), "start": pa.array([a for a, _ in found], pa.int32()), "end": pa.array([b for _, b in found], pa.int32()), "sure": pa.array([sure] * n, pa.bool_())})
+            at, starts, ends, sure = [], [], [], []
+            for k, words, source, p, s in _compared(batch):
+                found = extended(words, source, p, s)
+                at += [k] * len(found)
+                starts += [a for a, _ in found]
+                ends += [b for _, b in found]
+                sure += [sum(b - a for a, b in found) >= 2 * run_words] * len(found)
+            keys = batch.select(_KEY).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(sure, pa.bool_())], names=[*_KEY, "start", "end", "sure"])
 
-    return pairs.mapInArrow(run, "d long, h long, start int, end int, sure boolean")
+    return both.mapInArrow(run, "d long, h long, start int, end int, sure boolean")
 
 
 def stretches(runs: list[dict], run_words: int) -> list[dict]:
@@ -129,16 +170,18 @@ def _joined(runs: DataFrame, run_words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             found = [stretches(r, run_words) for r in batch.column("runs").to_pylist()]
-            out = pa.RecordBatch.from_arrays([batch.column("d"), batch.column("h"), pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["d", "h", "runs"])
+            out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in _KEY], pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=[*_KEY, "runs"])
             yield out.filter(pa.array([bool(x) for x in found], pa.bool_()))
 
-    return runs.groupBy("d", "h").agg(F.collect_set(F.struct("start", "end", "sure")).alias("runs")).mapInArrow(run, "d long, h long, runs array<struct<start:int,end:int>>")
+    return runs.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "end", "sure")).alias("runs")).mapInArrow(run, "d long, h long, runs array<struct<start:int,end:int>>")
 
 
 def without(text: str, runs: list[dict]) -> tuple[str, int]:
     """The text without the words of the runs, and how many words went. What stood before and after a run stays as it was; white space after a run goes with it."""
     raw = text.encode("utf-8", "surrogatepass")
-    _, _, starts, _ = word_hashes(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8), lower=False)
+    solid = np.frombuffer(raw, np.uint8)
+    solid = (solid != 0x20) & (solid - np.uint8(9) > 4)
+    starts = np.flatnonzero(solid & np.concatenate([[True], ~solid[:-1]]))
     gone = np.zeros(len(starts) + 1, bool)
     for r in runs:
         gone[r["start"] : r["end"]] = True
@@ -150,85 +193,140 @@ def without(text: str, runs: list[dict]) -> tuple[str, int]:
     return b"".join(out).decode("utf-8", "surrogatepass"), int(gone[:-1].sum())
 
 
-def _first(places: DataFrame) -> DataFrame:
-    """f, s (its first place: d, h, p) of every fingerprint."""
-    return saved(places.groupBy("f").agg(F.min(F.struct("d", "h", "p")).alias("s")))
+def _frequent(docs: DataFrame) -> DataFrame:
+    """f: the frequent fingerprints (2 * SAMPLED_PART at most, so they may be broadcast). They are known by a sample of texts, which only decides whose places are dealt to several groups."""
+    seen = saved(_places(docs.filter(F.pmod(F.xxhash64("d", "h"), F.lit(SAMPLED)) == 0)).groupBy("f").agg(F.count("*").alias("n")).filter(F.col("n") > 1))
+    least = max(SAMPLED_LEAST, (seen.agg(F.sum("n")).first()[0] or 0) // SAMPLED_PART)
+    return saved(seen.filter(F.col("n") >= least).select("f"))
+
+
+def _earlier(places: DataFrame) -> DataFrame:
+    """d, h, p, sd, sh, s, f: every place with the first one of its group (g) and with the one before it; of groups with f, which are some of several, the first place too, without sd, sh and s.
+
+    places: g, f, d, h, p, ordered by g. Within a group they are put in order here; a group is as small as _pairs() makes it.
+    """
+
+    def found(g, f, d, h, p) -> pa.RecordBatch:
+        order = np.lexsort((p, h, d, g))
+        g, f, now = g[order], f.take(pa.array(order)), [x[order] for x in (d, h, p)]
+        begins = np.concatenate([[True], g[1:] != g[:-1]])
+        at, index = np.maximum.accumulate(np.where(begins, np.arange(len(g)), 0)), np.arange(len(g))
+        same = lambda i, j: np.logical_and.reduce([x[i] == x[j] for x in now])
+        later = index[~begins]
+        by_last = later[~same(later, later - 1)]
+        by_first = later[(at[later] < later - 1) & ~same(later, at[later]) & ~same(later - 1, at[later])]
+        heads = index[begins & f.is_valid().to_numpy(zero_copy_only=False)]
+        of, source = np.concatenate([by_last, by_first, heads]), np.concatenate([by_last - 1, at[by_first], heads])
+        given = [pa.array(x[source], mask=np.arange(len(of)) >= len(of) - len(heads)) for x in now]
+        return pa.RecordBatch.from_arrays([*[pa.array(x[of]) for x in now], *given, f.take(pa.array(of))], names=["d", "h", "p", "sd", "sh", "s", "f"])
+
+    def run(batches):
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if kept is not None:
+                batch = pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
+            g = batch.column("g").to_numpy()
+            cut = int(np.searchsorted(g, g[-1]))  # the last group may go on
+            kept = batch.slice(cut)
+            if cut:
+                yield found(g[:cut], batch.column("f").slice(0, cut), *[batch.column(c).slice(0, cut).to_numpy() for c in ("d", "h", "p")])
+        if kept is not None:
+            yield found(kept.column("g").to_numpy(), kept.column("f"), *[kept.column(c).to_numpy() for c in ("d", "h", "p")])
+
+    return places.mapInArrow(run, "d long, h long, p int, sd long, sh long, s int, f long")
 
 
-def _pairs(places: DataFrame, first: DataFrame) -> DataFrame:
-    """d, h, sd, sh, anchors: the texts that share fingerprints with the texts where these stand first."""
-    later = places.join(_small(first, BROADCAST_FIRST), "f").filter("struct(d, h, p) > s")
-    return saved(later.groupBy("d", "h", F.col("s.d").alias("sd"), F.col("s.h").alias("sh")).agg(F.collect_set(F.struct("p", F.col("s.p").alias("s"))).alias("anchors")))
+def _pairs(docs: DataFrame, frequent: DataFrame) -> DataFrame:
+    """d, h, sd, sh, anchors: texts with the texts where their fingerprints stand first, or before them.
+
+    A frequent fingerprint's places are dealt to SALTS groups; the first places of these meet in turn.
+    """
+    places = _places(docs).withColumnRenamed("f", "g").join(F.broadcast(frequent.select(F.col("f").alias("g"), "f")), "g", "left")
+    salt = F.pmod(F.xxhash64("d", "h"), F.lit(SALTS))
+    places = places.select(F.when(F.col("f").isNull(), F.col("g")).otherwise(F.xxhash64("f", salt)).alias("g"), "f", "d", "h", "p")
+    met = saved(_earlier(places.repartition("g").sortWithinPartitions("g")))
+    heads = met.filter("f is not null and sd is null").select("f", F.struct("d", "h", "p").alias("at"))
+    heads = heads.join(F.broadcast(heads.groupBy("f").agg(F.min("at").alias("first"))), "f").filter("first < at")
+    met = met.filter("sd is not null").drop("f").unionByName(heads.select("at.d", "at.h", "at.p", F.col("first.d").alias("sd"), F.col("first.h").alias("sh"), F.col("first.p").alias("s")))
+    return saved(met.groupBy("d", "h", "sd", "sh").agg(F.collect_set(F.struct("p", "s")).alias("anchors")))
+
+
+def _both(docs: DataFrame, pairs: DataFrame, share: float = 0.0) -> DataFrame:
+    """pairs with words and source, the word hashes of either text, of those that share at least this part of a text's fingerprints. docs: d, h, text.
+
+    A source that many texts quote is sent to several groups of these.
+    """
+    met = _small(saved(pairs.select(*_KEY).union(pairs.select("sd", "sh")).distinct()))
+    words = saved(_words(docs.join(met, _KEY, "left_semi")).dropDuplicates(_KEY))
+    if share:
+        usual = F.greatest(F.lit(1.0), (F.octet_length("words") / 4 - GRAM_WORDS + 1) * 2 / (WINDOW + 1))
+        pairs = saved(pairs.join(words.select(*_KEY, usual.alias("n")), _KEY).filter(F.size("anchors") >= share * F.col("n")).drop("n"))
+    quoted = saved(pairs.groupBy("sd", "sh").agg(F.count("*").alias("n")).filter(F.col("n") > QUOTED).select("sd", "sh", F.ceil(F.col("n") / QUOTED).alias("parts")))
+    part = F.pmod(F.xxhash64(*_KEY), F.coalesce("parts", F.lit(1))).alias("part")
+    sources = words.select(F.col("d").alias("sd"), F.col("h").alias("sh"), F.col("words").alias("source")).join(_small(quoted), ["sd", "sh"], "left")
+    sources = sources.select("sd", "sh", "source", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    dealt = pairs.join(_small(quoted), ["sd", "sh"], "left").select(*_KEY, "sd", "sh", "anchors", part)
+    return dealt.join(words, _KEY).join(sources, ["sd", "sh", "part"]).select(*_KEY, "sd", "sh", "words", "source", "anchors")
 
 
-def _both(sketch: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs with words and source, the word hashes of either text."""
-    met = saved(pairs.select("d", "h").union(pairs.select("sd", "sh")).distinct())
-    lines = sketch.join(_small(met), ["d", "h"]).select("d", "h", "words").dropDuplicates(["d", "h"])
-    both = pairs.join(lines, ["d", "h"]).join(lines.select(F.col("d").alias("sd"), F.col("h").alias("sh"), F.col("words").alias("source")), ["sd", "sh"])
-    return both
+def _shingles(words: np.ndarray) -> np.ndarray:
+    """The different five-word shingles; fewer words are one."""
+    return np.unique(runs_hash(words.astype(np.uint64), min(5, len(words)))) if len(words) else np.zeros(0, np.uint64)
 
 
-def _copies(docs: DataFrame, both: DataFrame) -> DataFrame:
-    """d, h of the texts that link, by the n-gram join's measure, with a single earlier text that holds half of their words in shared runs or more."""
+def _copies(both: DataFrame) -> DataFrame:
+    """d, h of the texts that are near duplicates (shingles of five words, 0.8) of one single earlier text."""
 
     def run(batches):
         for batch in batches:
             keep = []
-            for words, source, anchors in zip(batch.column("words"), batch.column("source"), batch.column("anchors"), strict=True):
-                words = np.frombuffer(words.as_py(), np.uint32)
-                found = extended(words, np.frombuffer(source.as_py(), np.uint32), [(x["p"], x["s"]) for x in anchors.as_py()])
-                keep.append(2 * sum(b - a for a, b in found) >= len(words))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("d", "h", "sd", "sh")], names=["d", "h", "sd", "sh"]).filter(pa.array(keep, pa.bool_()))
+            for _, words, source, _, _ in _compared(batch):
+                x, y = _shingles(words), _shingles(source)
+                shared = len(x) + len(y) - len(np.union1d(x, y))
+                keep.append(100 * shared >= 80 * (len(x) + len(y) - shared))
+            yield batch.select(_KEY).filter(pa.array(keep, pa.bool_()))
 
-    others = both.filter("struct(d, h) <> struct(sd, sh)").select("d", "h", "sd", "sh", "words", "source", "anchors")
-    near = saved(others.mapInArrow(run, "d long, h long, sd long, sh long"))
-    key = lambda d, h: F.xxhash64(d, h)
-    where = saved(near.select("d", "h").union(near.select("sd", "sh")).distinct().select(key("d", "h").alias("c"), "d", "h"))
-    links = ngram_join._verified(docs.select("doc_id", "text"), near.select(key("sd", "sh").alias("a"), key("d", "h").alias("b")), where)
-    return saved(where.join(links.select(F.col("b").alias("c")).distinct(), "c").select("d", "h"))
+    return both.mapInArrow(run, "d long, h long").distinct()
 
 
 def dedup(docs: DataFrame, run_words: int = RUN_WORDS, copies: bool = True) -> DataFrame:
-    """All columns of docs with text shortened by the runs of words that it repeats, then n_words_before and n_words_removed (long; named so even if docs has them).
+    """All columns of docs with text shortened by the runs of words that it repeats, then n_words_removed (long; named so even if docs has it).
 
     docs needs doc_id and text. Runs repeated within a text go too. A text that repeats earlier ones throughout becomes empty; null texts stay null. Rows equal in id and text are one document and
     get the same result; rows of one id with different texts are documents of their own, in the order of a hash. Null ids come first. An empty table gives an empty result.
     Without copies, rows of texts that are near duplicates of a single earlier text are left out, and nothing is deleted elsewhere because such a text holds it.
     """
     # Only these three columns take part until the end, so other columns may have any names.
-    d, h = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64("text")
-    sketch = saved(_sketches(docs.select(d.alias("d"), h.alias("h"), "text")))
-    # Most fingerprints stand once: these go by the hash alone, before any place is shuffled.
-    repeated = saved(sketch.select(F.explode("f").alias("f")).groupBy("f").count().filter("count > 1").select("f"))
-    places = sketch.select("d", "h", F.explode(F.arrays_zip("f", "p")).alias("x")).select("d", "h", "x.f", "x.p")
-    places = saved(places.join(_small(repeated, BROADCAST_FIRST), "f"))
-    both, gone = _both(sketch, _pairs(places, _first(places))), None
+    d, h = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))), F.xxhash64(docs["text"])
+    rest, gone = docs.select(d.alias("d"), h.alias("h"), "text"), None
+    frequent = _frequent(rest)
+    pairs = _pairs(rest, frequent)
     if not copies:
-        both = saved(both)
-        gone = _copies(docs, both)
-        places = places.join(_small(gone), ["d", "h"], "left_anti")
-        both = _both(sketch, _pairs(places, _first(places)))
-    runs = _small(saved(_joined(_runs(both.select("d", "h", "words", "source", "anchors"), run_words), run_words)))
-    columns = [c for c in docs.columns if c not in ("n_words_before", "n_words_removed")]
-    packed = docs.select(F.struct(*columns).alias("row"), d.alias("d"), h.alias("h"))
-    if gone is not None:
-        packed = packed.join(_small(gone), ["d", "h"], "left_anti")
-    joined = packed.join(runs, ["d", "h"], "left").select("row", "runs", F.col("row.text").alias("text"))
+        gone = _small(saved(_copies(_both(rest, pairs.filter("sd <> d or sh <> h"), COPY_PART))))
+        rest = rest.join(gone, _KEY, "left_anti")
+        pairs = _pairs(rest, frequent)
+    runs = _small(saved(_joined(_runs(_both(rest, pairs), run_words), run_words)))
+    same = (d == runs["d"]) & (h == runs["h"])
+    kept = docs if gone is None else docs.join(gone, (d == gone["d"]) & (h == gone["h"]), "left_anti")
+    others = [c for c in docs.columns if c not in ("text", "n_words_removed")]
+    # Texts without such runs never leave the JVM.
+    whole = kept.join(runs, same, "left_anti").select(*others, "text", F.lit(0).cast("long").alias("n_words_removed"))
+    cut = kept.join(runs, same).select(F.struct(*[docs[c] for c in others]).alias("row"), docs["text"], runs["runs"])
 
     def run(batches):
         for batch in batches:
-            texts, before, removed = [], [], []
+            texts, removed = [], []
             for text, found in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                before.append(len((text or "").encode("utf-8", "surrogatepass").split()))
-                text, n = without(text, found) if found else (text, 0)
+                text, n = without(text, found)
                 texts.append(text)
                 removed.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(before, pa.int64()), pa.array(removed, pa.int64())], names=["row", "text", "n_words_before", "n_words_removed"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=["row", "text", "n_words_removed"])
 
-    schema = f"row {joined.schema['row'].dataType.simpleString()}, text string, n_words_before long, n_words_removed long"
-    done = joined.mapInArrow(run, schema)
-    return done.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns], "n_words_before", "n_words_removed")
+    cut = cut.mapInArrow(run, f"row {cut.schema['row'].dataType.simpleString()}, text string, n_words_removed long")
+    out = whole.unionByName(cut.select(*[F.col("row").getField(c).alias(c) for c in others], "text", "n_words_removed"))
+    return out.select(*[c for c in docs.columns if c != "n_words_removed"], "n_words_removed")
 
 
 def op8_line_dedup(spark, sf_dir):

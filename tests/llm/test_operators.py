@@ -346,10 +346,13 @@ def test_quality_small_groups(spark, n):
 # 8 line dedup
 
 
-@pytest.mark.parametrize("broadcast", [500_000, 0])
-def test_line_dedup(spark, monkeypatch, broadcast):
+@pytest.mark.parametrize("broadcast, often, quoted", [(500_000, 100, 256), (0, 2, 3)])
+def test_line_dedup(spark, monkeypatch, broadcast, often, quoted):
+    """Also with everything shuffled, frequent fingerprints split, and quoted sources sent to several groups."""
     monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", broadcast)
-    monkeypatch.setattr(line_dedup, "BROADCAST_FIRST", broadcast)
+    monkeypatch.setattr(line_dedup, "SAMPLED", 1 if often == 2 else 16)
+    monkeypatch.setattr(line_dedup, "SAMPLED_LEAST", often)
+    monkeypatch.setattr(line_dedup, "QUOTED", quoted)
     rng = random.Random(6)
     fresh = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" + rng.choice(["", "", "", ".", ",", "\n"]) for _ in range(n))
     passage, own = fresh(70), [fresh(rng.randrange(20, 200)) for _ in range(40)]
@@ -369,15 +372,54 @@ def test_line_dedup(spark, monkeypatch, broadcast):
 
 
 def test_line_dedup_guarantee():
-    """Runs that hold WINDOW grams share a fingerprint, wherever they stand."""
+    """Runs of GRAM_WORDS + WINDOW - 1 words share a fingerprint, wherever they stand and whatever stands beside them."""
     import numpy as np
 
     rng = random.Random(1)
     for _ in range(200):
-        shared = [rng.randrange(2**60) for _ in range(line_dedup.WINDOW + 1)]
-        sides = [[rng.randrange(2**60) for _ in range(rng.randrange(6))] + shared + [rng.randrange(2**60) for _ in range(rng.randrange(6))] for _ in range(2)]
-        found = [set(line_dedup.fingerprints(np.array(s, np.uint64), np.full(len(s), 9))[0].tolist()) for s in sides]
-        assert found[0] & found[1]
+        shared = [rng.randrange(2**60) for _ in range(line_dedup.GRAM_WORDS + line_dedup.WINDOW - 1)]
+        sides = [[rng.randrange(2**60) for _ in range(rng.randrange(60))] + shared + [rng.randrange(2**60) for _ in range(rng.randrange(60))] for _ in range(2)]
+        cuts = np.cumsum([0, *map(len, sides)])
+        f, text, _ = line_dedup.fingerprints(np.array(sides[0] + sides[1], np.uint64), cuts)
+        assert set(f[text == 0].tolist()) & set(f[text == 1].tolist())
+        alone = [line_dedup.fingerprints(np.array(x, np.uint64), np.array([0, len(x)])) for x in sides]
+        assert [x.tolist() for x in alone[0][::2]] == [f[text == 0].tolist(), line_dedup.fingerprints(np.array(sides[0] + sides[1], np.uint64), cuts)[2][text == 0].tolist()]
+    few = np.arange(8, dtype=np.uint64)
+    assert len(line_dedup.fingerprints(few, np.array([0, 0, 8, 8]))[0]) == 1 and len(line_dedup.fingerprints(few[:7], np.array([0, 7]))[0]) == 0
+
+
+def repeated_words(texts, n=25):
+    """For every text, which of its words lie in a run of n words that stands earlier (in an earlier text, or earlier in it)."""
+    seen, out = set(), []
+    for t in texts:
+        w, gone = words(t), set()
+        for i in range(len(w) - n + 1):
+            if (run := tuple(w[i : i + n])) in seen:
+                gone.update(range(i, i + n))
+            seen.add(run)
+        out.append([x for i, x in enumerate(w) if i not in gone])
+    return out
+
+
+@pytest.mark.parametrize("marks", [True, False])
+def test_line_dedup_recall(spark, marks):
+    """Against brute force: passages of 25 to 90 words of three earlier texts, whole or in parts, cut and joined anew."""
+    rng = random.Random(21 + marks)
+    fresh = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" + rng.choice(["", "", ".", ",", "\n"] if marks else [""]) for _ in range(n))
+    texts = [fresh(rng.randrange(30, 200)) for _ in range(60)]
+    for _ in range(140):
+        own = []
+        for _ in range(rng.randrange(1, 4)):
+            w, n = rng.choice(texts).split(" "), rng.choice([25, 26, 40, 60, 90])
+            at = rng.randrange(max(1, len(w) - n))
+            own += [fresh(rng.randrange(10, 40)), " ".join(w[at : at + n])]
+        texts.append(" ".join([*own, fresh(20)]))
+    got = {r.doc_id: words(r.text) for r in line_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = repeated_words(texts)
+    left = sum(len(got[i]) for i in got) - sum(sum((Counter(got[i]) & Counter(want[i])).values()) for i in got)
+    repeats = sum(len(words(t)) - len(w) for t, w in zip(texts, want, strict=True))
+    assert left <= 0.02 * repeats, (left, repeats)
+    assert set(" ".join(texts).split()) == {w for x in got.values() for w in x}, "nothing is lost altogether"
 
 
 def test_line_dedup_without_marks(spark):
@@ -405,14 +447,14 @@ def test_line_dedup_of_several_sources(spark):
     rows = list(enumerate(texts + [t for t, _ in last]))
     got = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     left = [(got[len(texts) + i], t, p) for i, (t, p) in enumerate(last)]
-    assert all(r.n_words_removed >= len(p.split()) - 2 * (line_dedup.WINDOW - 1) for r, _, p in left)
+    assert all(r.n_words_removed >= len(p.split()) - 14 for r, _, p in left)
     assert all(not Counter(words(t)) - Counter(words(p)) - Counter(words(r.text)) for r, t, p in left), "only the passage goes"
     assert set(" ".join(t for _, t in rows).split()) == set(" ".join(r.text for r in got.values()).split())
 
 
 def test_line_dedup_odd(odd, none):
     out = line_dedup.dedup(odd)
-    assert out.columns == [*odd.columns, "n_words_before", "n_words_removed"]
+    assert out.columns == [*odd.columns, "n_words_removed"]
     got = out.collect()
     assert len(got) == len(ODD) and sum(r.text is None for r in got) == 1
     by = {r.doc_id: r for r in got}
