@@ -21,8 +21,11 @@ GRAM_WORDS = 8
 WINDOW = 12
 #: A stretch of adjacent or overlapping runs, of whatever sources, is deleted if it has so many words; so is a run that is one of several shared with the same text that have twice as many together.
 RUN_WORDS = 25
-#: A text is held against a single earlier one as a near duplicate if it shares this part of its fingerprints with it; those that link share far more.
-COPY_PART = 1 / 3
+#: A text is held against a single earlier one as a near duplicate if it shares this part of its least fingerprints with it; those that link share far more.
+COPY_LEAST, COPY_PART = 8, 1 / 3
+#: Aligned places with so many words between them at most speak for the same source.
+NEAR = 24
+AROUND = 64
 #: A fingerprint counts as frequent if one text in SAMPLED holds it so often or more, and holds more than one in SAMPLED_PART of the places seen: so at most SAMPLED_PART are.
 SAMPLED, SAMPLED_LEAST, SAMPLED_PART = 16, 100, 20_000
 #: The places of a frequent fingerprint are dealt to so many groups; a source that more texts quote than QUOTED is sent to several groups of them.
@@ -71,17 +74,21 @@ def _hashed(column: pa.Array):
         yield row, len(offsets) - 1, hashes, np.searchsorted(owner, np.arange(len(offsets)))
 
 
-def _places(rows: DataFrame) -> DataFrame:
-    """f, d, h, p: the fingerprints of each text with their places."""
+def _places(rows: DataFrame, least: int | None = None) -> DataFrame:
+    """f, d, h, p: the fingerprints of each text with their places; or the least ones alone, so many of each text."""
 
     def run(batches):
         for batch in batches:
             for row, _, hashes, cuts in _hashed(batch.column("text")):
                 f, text, p = fingerprints(hashes, cuts)
+                if least:
+                    order = np.lexsort((p, f, text))
+                    order = order[np.arange(len(order)) - np.searchsorted(text, text[order]) < least]
+                    f, text, p = f[order], text[order], p[order]
                 keys = batch.select(_KEY).take(pa.array(text + row))
                 yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), *keys.columns, pa.array(p.astype(np.int32))], names=["f", *_KEY, "p"])
 
-    return rows.select(*_KEY, "text").mapInArrow(run, "f long, d long, h long, p int")
+    return rows.select(*_KEY, "text").mapInArrow(run, "f long, d long, h int, p int")
 
 
 def _words(rows: DataFrame) -> DataFrame:
@@ -93,7 +100,7 @@ def _words(rows: DataFrame) -> DataFrame:
                 short = hashes.astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(row, n) for c in _KEY], pa.array([short[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=[*_KEY, "words"])
 
-    return rows.mapInArrow(run, "d long, h long, words binary")
+    return rows.mapInArrow(run, "d long, h int, words binary")
 
 
 def _reach(a: np.ndarray, b: np.ndarray) -> int:
@@ -124,13 +131,13 @@ def extended(words: np.ndarray, source: np.ndarray, places: np.ndarray, source_p
 
 
 def _compared(batch: pa.RecordBatch):
-    """row number, words, source and anchors (places, places in the source) of the rows of a batch of _both()."""
+    """row number, which word the words begin with, words, source and anchors (places among these words, and in the source) of the rows of a batch of _both()."""
     anchors = batch.column("anchors")
     ends, flat = anchors.offsets.to_numpy(), anchors.values
     p, s = (flat.field(k).to_numpy() for k in ("p", "s"))
-    for at, (words, source) in enumerate(zip(batch.column("words"), batch.column("source"), strict=True)):
+    for at, (words, begin, source) in enumerate(zip(batch.column("words"), batch.column("begin").to_pylist(), batch.column("source"), strict=True)):
         a, b = ends[at], ends[at + 1]
-        yield at, np.frombuffer(words.as_buffer(), np.uint32), np.frombuffer(source.as_buffer(), np.uint32), p[a:b], s[a:b]
+        yield at, begin, np.frombuffer(words.as_buffer(), np.uint32), np.frombuffer(source.as_buffer(), np.uint32), p[a:b] - begin, s[a:b]
 
 
 def _runs(both: DataFrame, run_words: int) -> DataFrame:
@@ -139,16 +146,16 @@ def _runs(both: DataFrame, run_words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             at, starts, ends, sure = [], [], [], []
-            for k, words, source, p, s in _compared(batch):
+            for k, begin, words, source, p, s in _compared(batch):
                 found = extended(words, source, p, s)
                 at += [k] * len(found)
-                starts += [a for a, _ in found]
-                ends += [b for _, b in found]
+                starts += [begin + a for a, _ in found]
+                ends += [begin + b for _, b in found]
                 sure += [sum(b - a for a, b in found) >= 2 * run_words] * len(found)
             keys = batch.select(_KEY).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(sure, pa.bool_())], names=[*_KEY, "start", "end", "sure"])
 
-    return both.mapInArrow(run, "d long, h long, start int, end int, sure boolean")
+    return both.mapInArrow(run, "d long, h int, start int, end int, sure boolean")
 
 
 def stretches(runs: list[dict], run_words: int) -> list[dict]:
@@ -173,7 +180,7 @@ def _joined(runs: DataFrame, run_words: int) -> DataFrame:
             out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in _KEY], pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=[*_KEY, "runs"])
             yield out.filter(pa.array([bool(x) for x in found], pa.bool_()))
 
-    return runs.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "end", "sure")).alias("runs")).mapInArrow(run, "d long, h long, runs array<struct<start:int,end:int>>")
+    return runs.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "end", "sure")).alias("runs")).mapInArrow(run, "d long, h int, runs array<struct<start:int,end:int>>")
 
 
 def without(text: str, runs: list[dict]) -> tuple[str, int]:
@@ -235,40 +242,91 @@ def _earlier(places: DataFrame) -> DataFrame:
         if kept is not None:
             yield found(kept.column("g").to_numpy(), kept.column("f"), *[kept.column(c).to_numpy() for c in ("d", "h", "p")])
 
-    return places.mapInArrow(run, "d long, h long, p int, sd long, sh long, s int, f long")
+    return places.mapInArrow(run, "d long, h int, p int, sd long, sh int, s int, f long")
 
 
-def _pairs(docs: DataFrame, frequent: DataFrame) -> DataFrame:
+def _supported(of_text: DataFrame) -> DataFrame:
+    """d, h, sd, sh, anchors, f: the anchors of each text (d, h, x: p, sd, sh, s, f) by source, with f for those without source.
+
+    Of the two sources of a place that one counts with which more places nearby are aligned (NEAR words); where one or two are, both count at a tie, else the first of them.
+    """
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column("x").values
+            valid = x.field("sd").is_valid().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("x").offsets.to_numpy()))
+            p, sd, sh, s = (x.field(k).fill_null(0).to_numpy().astype(np.int64) for k in ("p", "sd", "sh", "s"))
+            order = np.lexsort((p, p - s, sh, sd, valid, row))
+            row, p, sd, sh, s, valid = row[order], p[order], sd[order], sh[order], s[order], valid[order]
+            f, n = x.field("f").take(pa.array(order)), len(order)
+            # Places on one diagonal, with no more than NEAR words from each to the next, support each other.
+            new = np.ones(n, bool)
+            new[1:] = (row[1:] != row[:-1]) | (sd[1:] != sd[:-1]) | (sh[1:] != sh[:-1]) | (p[1:] - s[1:] != p[:-1] - s[:-1]) | (p[1:] - p[:-1] > NEAR) | ~valid[1:]
+            block = np.cumsum(new) - 1
+            support = np.bincount(block)[block] if n else block
+            order = np.lexsort((sh, sd, -support, valid, p, row))
+            keep = np.ones(n, bool)
+            keep[1:] = (row[order][1:] != row[order][:-1]) | (p[order][1:] != p[order][:-1]) | ~valid[order][:-1] | ((support[order][1:] == support[order][:-1]) & (support[order][1:] <= 2))
+            order = np.sort(order[keep])
+            row, p, sd, sh, s, valid, f = row[order], p[order], sd[order], sh[order], s[order], valid[order], f.take(pa.array(order))
+            new = np.ones(len(order), bool)
+            new[1:] = (row[1:] != row[:-1]) | (sd[1:] != sd[:-1]) | (sh[1:] != sh[:-1]) | ~valid[1:]
+            begins = np.flatnonzero(new)
+            first, ends = pa.array(begins), np.append(begins, len(order)).astype(np.int32)
+            anchors = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(p.astype(np.int32)), pa.array(s.astype(np.int32))], names=["p", "s"]))
+            source = [pa.array(v[begins], t, mask=~valid[begins]) for v, t in ((sd, pa.int64()), (sh.astype(np.int32), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.select(_KEY).take(pa.array(row[begins])).columns, *source, anchors, f.take(first)], names=[*_KEY, "sd", "sh", "anchors", "f"])
+
+    return of_text.mapInArrow(run, "d long, h int, sd long, sh int, anchors array<struct<p:int,s:int>>, f long")
+
+
+def _pairs(docs: DataFrame, frequent: DataFrame, least: int | None = None) -> DataFrame:
     """d, h, sd, sh, anchors: texts with the texts where their fingerprints stand first, or before them.
 
     A frequent fingerprint's places are dealt to SALTS groups; the first places of these meet in turn.
     """
-    places = _places(docs).withColumnRenamed("f", "g").join(F.broadcast(frequent.select(F.col("f").alias("g"), "f")), "g", "left")
+    places = _places(docs, least).withColumnRenamed("f", "g").join(F.broadcast(frequent.select(F.col("f").alias("g"), "f")), "g", "left")
     salt = F.pmod(F.xxhash64("d", "h"), F.lit(SALTS))
     places = places.select(F.when(F.col("f").isNull(), F.col("g")).otherwise(F.xxhash64("f", salt)).alias("g"), "f", "d", "h", "p")
-    met = saved(_earlier(places.repartition("g").sortWithinPartitions("g")))
-    heads = met.filter("f is not null and sd is null").select("f", F.struct("d", "h", "p").alias("at"))
+    met = _earlier(places.repartition("g").sortWithinPartitions("g"))
+    found = saved(_supported(met.groupBy("d", "h").agg(F.collect_list(F.struct("p", "sd", "sh", "s", "f")).alias("x"))))
+    heads = found.filter("sd is null").select("f", F.struct("d", "h", F.col("anchors")[0]["p"].alias("p")).alias("at"))
     heads = heads.join(F.broadcast(heads.groupBy("f").agg(F.min("at").alias("first"))), "f").filter("first < at")
-    met = met.filter("sd is not null").drop("f").unionByName(heads.select("at.d", "at.h", "at.p", F.col("first.d").alias("sd"), F.col("first.h").alias("sh"), F.col("first.p").alias("s")))
-    return saved(met.groupBy("d", "h", "sd", "sh").agg(F.collect_set(F.struct("p", "s")).alias("anchors")))
+    again = heads.groupBy("at.d", "at.h", F.col("first.d").alias("sd"), F.col("first.h").alias("sh")).agg(F.collect_set(F.struct("at.p", F.col("first.p").alias("s"))).alias("anchors"))
+    return found.filter("sd is not null").drop("f").unionByName(again)
 
 
-def _both(docs: DataFrame, pairs: DataFrame, share: float = 0.0) -> DataFrame:
-    """pairs with words and source, the word hashes of either text, of those that share at least this part of a text's fingerprints. docs: d, h, text.
+def _words_of(docs: DataFrame, keys: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """d, h, words of the texts with these keys (d, h), one row of each; repeated: the keys of rows that stand several times, if there are any."""
+    words = _words(docs.join(_small(saved(keys.distinct())), _KEY, "left_semi"))
+    if repeated is None:
+        return words
+    return words.join(_small(repeated), _KEY, "left_anti").unionByName(words.join(_small(repeated), _KEY, "left_semi").dropDuplicates(_KEY))
 
+
+def _both(docs: DataFrame, pairs: DataFrame, repeated: DataFrame | None, share: tuple[int, float] | None = None) -> DataFrame:
+    """pairs with words (from the word begin on) and source, the word hashes of either text. docs: d, h, text.
+
+    With share (n, part) the pairs that share at least this part of a text's n least fingerprints, with all its words; else all pairs, with the words up to AROUND words off the outermost anchors.
     A source that many texts quote is sent to several groups of these.
     """
-    met = _small(saved(pairs.select(*_KEY).union(pairs.select("sd", "sh")).distinct()))
-    words = saved(_words(docs.join(met, _KEY, "left_semi")).dropDuplicates(_KEY))
-    if share:
-        usual = F.greatest(F.lit(1.0), (F.octet_length("words") / 4 - GRAM_WORDS + 1) * 2 / (WINDOW + 1))
-        pairs = saved(pairs.join(words.select(*_KEY, usual.alias("n")), _KEY).filter(F.size("anchors") >= share * F.col("n")).drop("n"))
     quoted = saved(pairs.groupBy("sd", "sh").agg(F.count("*").alias("n")).filter(F.col("n") > QUOTED).select("sd", "sh", F.ceil(F.col("n") / QUOTED).alias("parts")))
     part = F.pmod(F.xxhash64(*_KEY), F.coalesce("parts", F.lit(1))).alias("part")
-    sources = words.select(F.col("d").alias("sd"), F.col("h").alias("sh"), F.col("words").alias("source")).join(_small(quoted), ["sd", "sh"], "left")
+    dealt = pairs.join(_small(quoted), ["sd", "sh"], "left").select(*_KEY, "sd", "sh", "anchors", part).join(_words_of(docs, pairs.select(*_KEY), repeated), _KEY)
+    if not share:
+        # Of a long text the words around the anchors are enough: what is repeated further off has anchors of its own.
+        begin = F.greatest(F.array_min("anchors.p") - AROUND, F.lit(0))
+        length = F.array_max("anchors.p") + GRAM_WORDS + AROUND - F.col("begin")
+        dealt = dealt.withColumn("begin", begin).withColumn("words", F.substring("words", 4 * F.col("begin") + 1, 4 * length))
+    else:
+        dealt = dealt.withColumn("begin", F.lit(0))
+        usual = F.least(F.lit(share[0]), F.greatest(F.lit(1.0), (F.octet_length("words") / 4 - GRAM_WORDS + 1) * 2 / (WINDOW + 1)))
+        dealt = dealt.filter(F.size("anchors") >= share[1] * usual)
+    sources = _words_of(docs, pairs.select(F.col("sd").alias("d"), F.col("sh").alias("h")), repeated).select(F.col("d").alias("sd"), F.col("h").alias("sh"), F.col("words").alias("source"))
+    sources = sources.join(_small(quoted), ["sd", "sh"], "left")
     sources = sources.select("sd", "sh", "source", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-    dealt = pairs.join(_small(quoted), ["sd", "sh"], "left").select(*_KEY, "sd", "sh", "anchors", part)
-    return dealt.join(words, _KEY).join(sources, ["sd", "sh", "part"]).select(*_KEY, "sd", "sh", "words", "source", "anchors")
+    return dealt.join(sources, ["sd", "sh", "part"]).select(*_KEY, "sd", "sh", "begin", "words", "source", "anchors")
 
 
 def _shingles(words: np.ndarray) -> np.ndarray:
@@ -282,13 +340,13 @@ def _copies(both: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             keep = []
-            for _, words, source, _, _ in _compared(batch):
+            for _, _, words, source, _, _ in _compared(batch):
                 x, y = _shingles(words), _shingles(source)
                 shared = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(100 * shared >= 80 * (len(x) + len(y) - shared))
             yield batch.select(_KEY).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "d long, h long").distinct()
+    return both.mapInArrow(run, "d long, h int").distinct()
 
 
 def dedup(docs: DataFrame, run_words: int = RUN_WORDS, copies: bool = True) -> DataFrame:
@@ -299,15 +357,18 @@ def dedup(docs: DataFrame, run_words: int = RUN_WORDS, copies: bool = True) -> D
     Without copies, rows of texts that are near duplicates of a single earlier text are left out, and nothing is deleted elsewhere because such a text holds it.
     """
     # Only these three columns take part until the end, so other columns may have any names.
-    d, h = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))), F.xxhash64(docs["text"])
+    # h tells texts of one id apart, so 32 bits do.
+    d, h = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))), F.hash(docs["text"])
     rest, gone = docs.select(d.alias("d"), h.alias("h"), "text"), None
     frequent = _frequent(rest)
-    pairs = _pairs(rest, frequent)
+    repeated = saved(rest.groupBy(*_KEY).count().filter("count > 1").select(*_KEY))
+    repeated = None if repeated.isEmpty() else repeated
     if not copies:
-        gone = _small(saved(_copies(_both(rest, pairs.filter("sd <> d or sh <> h"), COPY_PART))))
+        close = saved(_pairs(rest, frequent, COPY_LEAST).filter("sd <> d or sh <> h"))
+        gone = _small(saved(_copies(_both(rest, close, repeated, (COPY_LEAST, COPY_PART)))))
         rest = rest.join(gone, _KEY, "left_anti")
-        pairs = _pairs(rest, frequent)
-    runs = _small(saved(_joined(_runs(_both(rest, pairs), run_words), run_words)))
+    pairs = _pairs(rest, frequent)
+    runs = _small(saved(_joined(_runs(_both(rest, pairs, repeated), run_words), run_words)))
     same = (d == runs["d"]) & (h == runs["h"])
     kept = docs if gone is None else docs.join(gone, (d == gone["d"]) & (h == gone["h"]), "left_anti")
     others = [c for c in docs.columns if c not in ("text", "n_words_removed")]
