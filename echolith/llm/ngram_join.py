@@ -3,22 +3,21 @@
 A document's set holds the hashes of its distinct five-word shingles; two documents link when 100 * |intersection| >= 80 * |union|.
 
 1. Documents of equal sets are one class. All that follows is between classes.
-2. Classes that share two of their minhashes are compared with one of them. The links found make preliminary components, so that a large group of near copies is known as one
-   before anything is enumerated: two members of one component need no further comparison.
-3. Shingles are ordered by how many classes hold them, then by hash. Two documents that link share at least m of the first n - ceil(0.8 n) + m shingles, in that order, of each
-   (n - ceil(8 n / 9) + m for the smaller of the two), and only shingles held by different components can lead to a new link. First the shingles of low hash, the same for
-   all documents, are counted: a document with n - ceil(0.8 n) + 1 of them that no other component holds has no further link, whatever its other shingles are, and is closed. The shingles of higher hash, range by range, are counted
-   for documents that are still open. Each document left then picks the m of least estimated cost (places to read, and candidates to verify), and so lengthens its prefix; a pair is verified only if it shares the lesser m of the two in their prefixes.
-4. For each shingle in prefixes, every document is compared with one that is drawn from another component, some rounds long; what is linked thus is one component from then on. Then all pairs of different
+2. Two documents that link share at least m of the first n - ceil(0.8 n) + m shingles of each (n - ceil(8 n / 9) + m for the smaller of the two), in any order that is the same for all. In an order that puts
+   shingles held by a single class first, a class with n - ceil(0.8 n) + 1 of them has no link. Shingles of low hash are counted for all classes; whoever has as many own ones among these alone is closed. Of the
+   rest (LOW is somewhat more than the prefix's fifth, so these are classes with something in common with others) the sets are made, once.
+3. Open classes that share two of their minhashes are compared with one of them. The links found make preliminary components, so that a large group of near copies is known as one before anything is
+   enumerated: two members of one component need no further comparison, and a shingle held by one component alone is an own one. So more classes are closed, again by shingles of low hash first.
+4. The shingles that several components hold are ordered by how many classes hold them, then by hash. Each class picks the m of least estimated cost (places to read, and candidates to verify), and so
+   lengthens its prefix; a pair is verified only if it shares the lesser m of the two in their prefixes.
+5. For each shingle in prefixes, every document is compared with one that is drawn from another component, some rounds long; what is linked thus is one component from then on. Then all pairs of different
    components that share enough are verified on their whole sets. All links give the components.
 
-Shingles and sets are known by 64-bit hashes.
+Shingles and sets are known by 64-bit hashes: of ten thousand million different sets some three pairs may be taken for equal.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,10 +32,10 @@ SEEDS = 4
 VERIFY_COST, MOST_MATCHES = 8, 8
 #: Rounds in which every document is compared with drawn ones only.
 ROUNDS = 3
-#: Where the ranges of hashes end; the first holds somewhat more than the prefix's fifth of all shingles.
-RANGES = [int(share * 2**63) * 2 for share in (0.25, 0.5)] + [2**64]
+#: Where the low hashes end: a quarter of all.
+LOW = 1 << 62
 #: Up to so many rows of two or three longs are broadcast; beyond it the same join is shuffled.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 150_000
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -87,45 +86,42 @@ def _sketches(rows: DataFrame) -> DataFrame:
                 out["c"].append(None if empty else int(whole[0].view(np.int64)))
                 out["n"].append(len(s))
                 out["mh"].append([] if empty else [int(m.min().view(np.int64)) for m in mixed])
-                out["least"].append(s[: np.searchsorted(s, np.uint64(RANGES[0]))].view(np.int64))
+                out["least"].append(s[: np.searchsorted(s, np.uint64(LOW))].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("h"), *[pa.array(out[k], t) for k, t in kinds]], names=["d", "h", *out])
 
     return rows.mapInArrow(run, "d long, h long, c long, n long, mh array<long>, least array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted's columns and shingles (the whole set, as bytes) of each wanted class (c, d, h), from one document of it."""
-    names = wanted.columns
+    """c, n, shingles (the whole set, as bytes), n_low (how many are low) of each wanted class (c, n, d, h), from one document of it."""
 
     def run(batches):
         for batch in batches:
-            found = [s.tobytes() for s in shingle_sets(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in names], pa.array(found, pa.binary())], names=[*names, "shingles"])
+            found = list(shingle_sets(batch.column("text")))
+            low = [int(np.searchsorted(x, np.uint64(LOW))) for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("n"), pa.array([x.tobytes() for x in found], pa.binary()), pa.array(low, pa.int64())], names=["c", "n", "shingles", "n_low"])
 
-    rows = _keyed(docs).join(_small(wanted), ["d", "h"]).select(*names, "text")
-    return rows.mapInArrow(run, ", ".join(f"{k} long" for k in names) + ", shingles binary")
+    rows = _keyed(docs).join(_small(wanted), ["d", "h"]).select("c", "n", "text")
+    return rows.mapInArrow(run, "c long, n long, shingles binary, n_low long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, where: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b; already computed) of classes that link. The class that is in many pairs should be a: its set is read once for them."""
 
     def run(batches):
         for batch in batches:
-            keep, cached, last = [], None, None
+            keep, large, last = [], None, None
             for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
                 if a != last:
-                    cached, last = np.frombuffer(x.as_py(), np.uint64), a
-                other = np.frombuffer(y.as_py(), np.uint64)
-                small, large = (cached, other) if len(cached) <= len(other) else (other, cached)
+                    large, last = np.frombuffer(x.as_buffer(), np.uint64), a
+                small = np.frombuffer(y.as_buffer(), np.uint64)
                 at = np.minimum(np.searchsorted(large, small), max(0, len(large) - 1))
                 shared = int((large[at] == small).sum())
                 keep.append(100 * shared >= 80 * (len(small) + len(large) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    wanted = saved(where.join(ids, "c").select("c", "d", "h"))
-    sets = saved(_sets(docs, wanted).dropDuplicates(["c"]))  # of equal rows one
-    both = pairs.join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("x")), "a")
+    centres = sets.join(_small(saved(pairs.select(F.col("a").alias("c")).distinct())), "c", "left_semi").select(F.col("c").alias("a"), F.col("shingles").alias("x"))
+    both = sets.select(F.col("c").alias("b"), F.col("shingles").alias("y")).join(_small(pairs), "b").join(centres, "a")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -156,12 +152,13 @@ def _close(a: Column, b: Column) -> Column:
 
 
 def _starred(classes: DataFrame) -> DataFrame:
-    """a, b: every class that shares two minhashes, with one of those that share them; each pair of minhashes draws its own, so a class meets several."""
+    """a, b: every class with one of those that share two minhashes with it: the one that it meets most often, as each pair of minhashes draws its own."""
     two = F.array(*[F.xxhash64(F.lit(i * SEEDS + j), F.col("mh")[i], F.col("mh")[j]) for i in range(SEEDS) for j in range(i + 1, SEEDS)])
-    keys = classes.select("c", "n", F.explode(two).alias("v"))
-    centres = keys.groupBy("v").agg(F.min(F.struct(F.xxhash64("v", "c").alias("draw"), "c", "n")).alias("s"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    pairs = keys.join(centres, "v").filter((F.col("c") != F.col("s.c")) & _close(F.col("n"), F.col("s.n")))
-    return pairs.select(F.col("s.c").alias("a"), F.col("c").alias("b")).distinct()
+    keys = saved(classes.select("c", "n", F.explode(two).alias("v")))
+    centres = keys.groupBy("v").agg(F.min(F.struct(F.xxhash64("v", "c").alias("draw"), "c", "n")).alias("s"), F.count("*").alias("m")).filter("m > 1")
+    centres = saved(centres.select("v", F.col("s.c").alias("a"), F.col("s.n").alias("m")))
+    pairs = keys.join(_small(centres), "v").filter((F.col("c") != F.col("a")) & _close(F.col("n"), F.col("m"))).groupBy("c", "a").agg(F.count("*").alias("k"))
+    return pairs.groupBy(F.col("c").alias("b")).agg(F.max(F.struct("k", "a")).alias("best")).select("best.a", "b")
 
 
 def _prefixes(rows: DataFrame) -> DataFrame:
@@ -172,79 +169,75 @@ def _prefixes(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = {k: [] for k in ("token", "c", "n", "label", "m", "rank")}
-            for c, n, label, shared in zip(*(batch.column(k).to_pylist() for k in ("c", "n", "label", "shared")), strict=True):
-                before = n - len(shared)
-                read = np.concatenate([[0], np.cumsum([x["df"] for x in shared])])
+            flat, ends = batch.column("shared").values, batch.column("shared").offsets.to_numpy()
+            df, token = (flat.field(k).to_numpy() for k in ("df", "token"))
+            ns, picked, best, ranks = batch.column("n").to_pylist(), [], [], []
+            for n, a, b in zip(ns, ends[:-1], ends[1:], strict=True):
+                before, read = n - (b - a), np.concatenate([[0], np.cumsum(df[a:b])])
                 ms = np.arange(1, min(MOST_MATCHES, (4 * n + 4) // 5) + 1)
-                inside = np.clip(prefix_length(n, ms) - before, 0, len(shared))
+                inside = np.clip(prefix_length(n, ms) - before, 0, b - a)
                 m = int(np.argmin(read[inside] * (1 + VERIFY_COST / ms)))
-                for i in range(int(inside[m])):
-                    for k, v in zip(out, (shared[i]["token"], c, n, label, m + 1, before + i), strict=True):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
+                picked.append(np.arange(a, a + inside[m]))
+                best.append(m + 1)
+                ranks.append(before + np.arange(inside[m]))
+            row = np.repeat(np.arange(len(ns)), [len(x) for x in picked])
+            at = np.concatenate([np.zeros(0, np.int64), *picked]).astype(np.int64)
+            own = [batch.column(k).take(pa.array(row)) for k in ("c", "n", "label")]
+            yield pa.RecordBatch.from_arrays([pa.array(token[at]), *own, pa.array(np.array(best, np.int64)[row]), pa.array(np.concatenate([np.zeros(0, np.int64), *ranks]).astype(np.int64))], names=["token", "c", "n", "label", "m", "rank"])
 
     return rows.mapInArrow(run, "token long, c long, n long, label long, m long, rank long")
 
 
-def _shared(held: DataFrame) -> DataFrame:
-    """token and df (the classes that hold it) of the tokens that different components hold; held: token, label."""
-    return held.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("one"), F.max("label").alias("other")).filter("one < other").select("token", "df")
-
-
-def _unpacked(whole: DataFrame, low: int, high: int) -> DataFrame:
+def _unpacked(sets: DataFrame, low: int, high: int) -> DataFrame:
     """c, label, token of the shingles with low <= hash < high."""
 
     def run(batches):
         for batch in batches:
-            for c, label, s in zip(batch.column("c").to_pylist(), batch.column("label").to_pylist(), batch.column("shingles"), strict=True):
-                tokens = np.frombuffer(s.as_py(), np.uint64)
-                tokens = tokens[np.searchsorted(tokens, np.uint64(low)) : np.searchsorted(tokens, np.uint64(high - 1), "right")].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), c, np.int64)), pa.array(np.full(len(tokens), label, np.int64)), pa.array(tokens)], names=["c", "label", "token"])
+            found = []
+            for s in batch.column("shingles"):
+                x = np.frombuffer(s.as_buffer(), np.uint64)
+                found.append(x[np.searchsorted(x, np.uint64(low)) : np.searchsorted(x, np.uint64(high - 1), "right")].view(np.int64))
+            row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays([batch.column("c").take(row), batch.column("label").take(row), pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["c", "label", "token"])
+
+    return sets.select("c", "label", "shingles").mapInArrow(run, "c long, label long, token long")
 
-    return whole.select("c", "label", "shingles").mapInArrow(run, "c long, label long, token long")
 
+def _open(sketch: DataFrame, classes: DataFrame) -> DataFrame:
+    """The classes whose own low shingles don't fill their prefix."""
+    held = sketch.filter("c is not null").select("c", F.explode("least").alias("token")).groupBy("token").agg(F.min("c").alias("c"), F.max("c").alias("other"))
+    own = held.filter("c = other").groupBy("c").agg(F.count("*").alias("own"))
+    return classes.join(own, "c", "left").filter(_needs_more(F.col("n"), F.coalesce("own", F.lit(0)))).drop("own")
 
-def _still_open(held: DataFrame, shared: DataFrame, before: DataFrame) -> DataFrame:
-    """c, n, label, own: the classes before, own increased by the tokens that no other component holds, if these don't fill the prefix yet."""
-    counted = held.join(_small(shared.select("token", F.lit(1).alias("s"))), "token", "left").groupBy("c").agg((F.count("*") - F.count("s")).alias("more"))
-    after = before.join(counted, "c", "left").withColumn("own", F.col("own") + F.coalesce("more", F.lit(0))).drop("more")
-    return after.filter(F.col("own") < F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1)
 
+def _needs_more(n: Column, own: Column) -> Column:
+    return own < n - F.floor((4 * n + 4) / 5) + 1
 
-def _once(rows: DataFrame, repeated: DataFrame) -> DataFrame:
-    """rows (already computed) with one row of each class; only the classes of repeated (c), whose document stands several times, are shuffled."""
-    return rows.join(_small(repeated), "c", "left_anti").unionByName(rows.join(_small(repeated), "c", "left_semi").dropDuplicates(["c"]))
 
+def _held(sets: DataFrame, low: int, high: int) -> DataFrame:
+    """c, shared: of every class with any, the shingles in the range that several components hold, each with how many classes (of sets: c, label, shingles) hold it."""
+    held = _unpacked(sets, low, high)
+    shared = held.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("one"), F.max("label").alias("other")).filter("one < other").select("token", "df")
+    return saved(held.join(_small(saved(shared)), "token").groupBy("c").agg(F.collect_set(F.struct("df", "token")).alias("shared")))
 
-def _prefix_rows(docs: DataFrame, sketch: DataFrame, where: DataFrame, labels: DataFrame) -> DataFrame:
+
+def _prefix_rows(sets: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of _prefixes() for the classes that may have a link to another component."""
-    one = sketch.join(_small(where.select("c", "d", "h")), ["c", "d", "h"]).select("c", "least")
-    repeated = saved(one.groupBy("c").count().filter("count > 1").select("c"))
-    one = _once(one, repeated)
-    labelled = one.join(_small(labels), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    held = labelled.select("c", "label", F.explode("least").alias("token"))
-    shared = [saved(_shared(held))]
-    every = where.join(_small(labels), "c", "left").select("c", "n", F.coalesce("label", "c").alias("label"), F.lit(0).cast("long").alias("own"))
-    open_ = saved(_still_open(held, shared[0], every))
-    whole = saved(_sets(docs, saved(where.select("c", "d", "h").join(_small(open_.select("c", "label")), "c").select("c", "d", "h", "label"))))
-    whole = _once(whole, repeated)
-    for low, high in zip(RANGES[:-1], RANGES[1:], strict=True):
-        held = _unpacked(whole.join(_small(open_.select(F.col("c"))), "c", "left_semi"), low, high)
-        shared.append(saved(_shared(held)))
-        open_ = saved(_still_open(held, shared[-1], open_)) if high < RANGES[-1] else open_
-    held = _unpacked(whole.join(_small(open_.select(F.col("c"))), "c", "left_semi"), 0, RANGES[-1])
-    known = saved(reduce(DataFrame.unionByName, shared))
-    mine = held.join(_small(known), "token").groupBy("c").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("shared"))
-    open_ = open_.select("c", "n", "label")
-    return saved(_prefixes(open_.join(mine, "c")))
+    labelled = _labelled(sets, labels)
+    low = _held(labelled, 0, LOW)
+    left = labelled.select("c", "n", "n_low", "label").join(low, "c", "left")
+    left = saved(left.filter(_needs_more(F.col("n"), F.col("n_low") - F.when(F.col("shared").isNull(), 0).otherwise(F.size("shared")))).drop("n_low"))
+    high = _held(labelled.join(_small(left.select("c")), "c", "left_semi"), LOW, 1 << 64)
+    none = F.array().cast("array<struct<df:bigint,token:bigint>>")
+    mine = left.join(high.withColumnRenamed("shared", "more"), "c", "left").select("c", "n", "label", F.sort_array(F.concat(F.coalesce("shared", none), F.coalesce("more", none))).alias("shared"))
+    return saved(_prefixes(mine.filter(F.size("shared") > 0)))
 
 
 def _drawn(rows: DataFrame, salt: int) -> DataFrame:
     """a, b: every row of a token that more than one component holds, with one row drawn from another component."""
     centres = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "c", F.lit(salt)).alias("draw"), "c", "n", "label")).alias("s"), F.min("label").alias("one"), F.max("label").alias("other"))
-    centres = centres.filter("one < other").select("token", "s")
-    met = rows.join(centres, "token").filter((F.col("label") != F.col("s.label")) & _close(F.col("n"), F.col("s.n")))
+    centres = saved(centres.filter("one < other").select("token", "s"))
+    met = rows.join(_small(centres), "token").filter((F.col("label") != F.col("s.label")) & _close(F.col("n"), F.col("s.n")))
     return met.select(F.col("s.c").alias("a"), F.col("c").alias("b")).distinct()
 
 
@@ -263,43 +256,59 @@ def _candidates(rows: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """d, h, n_shingles, component (the least d of it), class_size, n_links and label (the component's own number; null without words) of every row of docs (doc_id, text).
+    """d, h, n_shingles, component (the least d of it), class_size, n_verified and label (the component's own number; null without words) of every row of docs (doc_id, text).
 
-    d is doc_id with the least long for null, h the hash of the text; n_links counts the verified links of the row's class, which suffice to connect the component.
+    d is doc_id with the least long for null, h the hash of the text; n_verified counts the links of the row's class that were verified, which suffice to connect the component.
     A text of fewer than five words is one shingle; one without words has none, links with nothing (nor with another such text), and is its own component.
     Repeated rows are equal texts and so one class. Other columns are ignored; an empty table gives an empty result.
     """
     sketch = saved(_sketches(_keyed(docs)))
-    classes = saved(sketch.filter("c is not null").groupBy("c").agg(F.first("n").alias("n"), F.first("mh").alias("mh"), F.min(F.struct("d", "h")).alias("r"), F.count("*").alias("size")))
-    where = saved(classes.select("c", "n", "r.d", "r.h"))
-    links = saved(_verified(docs, saved(_starred(classes)), where))
+    classes = sketch.filter("c is not null").groupBy("c").agg(F.first("n").alias("n"), F.first("mh").alias("mh"), F.min(F.struct("d", "h")).alias("r"), F.count("*").alias("size"))
+    classes = saved(classes.select("c", "n", "mh", "r.d", "r.h", "size"))
+    open_ = saved(_open(sketch, classes))
+    sets = saved(_sets(docs, open_.select("c", "n", "d", "h")))
+    # A document that stands several times gave its class as many rows.
+    repeated = saved(sets.groupBy("c").count().filter("count > 1").select("c"))
+    if not repeated.isEmpty():
+        sets = saved(sets.join(_small(repeated), "c", "left_anti").unionByName(sets.join(_small(repeated), "c", "left_semi").dropDuplicates(["c"])))
+    links = saved(_verified(saved(_starred(open_)), sets))
     labels = components(links)
-    rows = _prefix_rows(docs, sketch, where, labels)
+    rows = _prefix_rows(sets, labels)
     for salt in range(ROUNDS):
-        found = saved(_verified(docs, saved(_drawn(rows, salt)), where))
+        found = saved(_verified(saved(_drawn(rows, salt)), sets))
         if found.isEmpty():
             break
         links = saved(links.unionByName(found))
         labels = components(links)
         rows = saved(_labelled(rows.drop("label"), labels))
-    links = saved(links.unionByName(_verified(docs, saved(_candidates(rows)), where)))
+    links = saved(links.unionByName(_verified(saved(_candidates(rows)), sets)))
     labels = components(links)
-    counts = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("c")).agg(F.count("*").alias("n_links"))
-    of_class = _labelled(classes.select("c", "n", "size", "r"), labels)
-    least = of_class.groupBy("label").agg(F.min("r.d").alias("component"))
-    of_class = of_class.join(least, "label").join(counts, "c", "left").select("c", "label", "component", F.col("size").alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    counts = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("c")).agg(F.count("*").alias("n_verified"))
+    of_class = _labelled(classes.select("c", "n", "size", "d"), labels)
+    least = of_class.groupBy("label").agg(F.min("d").alias("component"))
+    of_class = of_class.join(least, "label").join(counts, "c", "left").select("c", "label", "component", F.col("size").alias("class_size"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
     out = sketch.select("d", "h", "c", F.col("n").alias("n_shingles")).join(of_class, "c", "left")
-    return out.select("d", "h", "n_shingles", F.coalesce("component", "d").alias("component"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "label")
+    return out.select("d", "h", "n_shingles", F.coalesce("component", "d").alias("component"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"), "label")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are the first of their component: of the least doc_id (then text hash). Of equal rows one stays; texts without words all stay."""
-    found = join(docs.select("doc_id", "text"))
-    first = found.filter("n_shingles > 0").groupBy("label").agg(F.min(F.struct("d", "h")).alias("r")).select(F.col("r.d").alias("_d"), F.col("r.h").alias("_h"), F.lit(True).alias("_first"))
-    rows = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_h": F.xxhash64("text")})
-    kept = rows.join(first, ["_d", "_h"]).dropDuplicates(["_d", "_h"]).select(*docs.columns)
-    blank = F.coalesce(F.trim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == ""
-    return kept.unionByName(docs.filter(blank))
+    """The rows of docs that are the first of their component: of the least doc_id (then text hash). Texts without words all stay.
+
+    Of rows equal in doc_id and text one stays; if they differ elsewhere, the one of the least hash.
+    """
+    found = saved(join(docs.select("doc_id", "text")).select("d", "h", "n_shingles", "label"))
+    some = found.filter("n_shingles > 0")
+    first = some.groupBy("label").agg(F.min(F.struct("d", "h")).alias("r"))
+    gone = _small(saved(some.join(first, "label").filter(F.struct("d", "h") != F.col("r")).select("d", "h").distinct()))
+    again = saved(some.groupBy("d", "h").count().filter("count > 1").select("d", "h"))
+    d, h = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))), F.xxhash64(docs["text"])
+    kept = docs.join(gone, (d == gone["d"]) & (h == gone["h"]), "left_anti")
+    if again.isEmpty():
+        return kept
+    again = _small(again)
+    same, row = (d == again["d"]) & (h == again["h"]), F.struct(*[docs[c] for c in docs.columns])
+    one = kept.join(again, same).groupBy(again["d"], again["h"]).agg(F.min_by(row, F.xxhash64(*[docs[c] for c in docs.columns])).alias("row"))
+    return kept.join(again, same, "left_anti").unionByName(one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
 
 
 def op1_ngram_join(spark, sf_dir):
