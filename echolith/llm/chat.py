@@ -78,6 +78,8 @@ class _Windows:
         """Take the turn; what it closes is returned."""
         tokens = token_count(role, text)
         closed = self.close() if self.new and self.sum + tokens - self.start + self.overhead() > self.budget else None
+        while self.past and not self.new and tokens + self.overhead() > self.budget:
+            self.past.popleft()  # a long turn leaves less room for history
         self.new.append((role, text, tokens))
         self.sum += tokens
         return closed
@@ -134,7 +136,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
 
     text is the formatted window; turns from the character new_at on are new in it, those before repeat; loss holds the start and
     end of the new assistant texts; tokens counts words and marks with MARKUP per turn. A window has more than budget tokens only if
-    one new turn alone makes it so. The system turn is the first of that role; the history is the last turns that fit its limit. Turns go by turn number, then by role and text (nulls first);
+    one new turn makes it so together with the system turn alone; history gives way to it. The system turn is the first of that role; the history is the last turns that fit its limit. Turns go by turn number, then by role and text (nulls first);
     repeated rows are turns of their own, null roles and texts are empty, a null conv_id is one conversation. Other columns are ignored; an empty table gives an empty result.
     """
     most = history // MARKUP  # no turn has fewer tokens

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, word_count
+from .common import numbered, saved, table, times, word_count
 
 
 #: Up to so many sources their targets (some 60 bytes each) are broadcast; more are joined by source.
@@ -73,24 +73,24 @@ def _pair(state: Column, item: Column, salt: str) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, fan_in: int = 32, seed: str = "mix") -> DataFrame:
-    """doc_id, text_hash, source, size, source_size, target, copies and taken (copies times size, in words) of every row of docs.
+    """doc_id, text_hash, row (its number among rows equal in these and the source), source, size, source_size, target, copies and taken (copies times size, in words) of every row of docs.
 
     docs needs doc_id, text and source; other columns are ignored, whatever their names. A null text has size 0, a null source is a
     source of its own (the last). Documents without words are never copied. Repeated rows are decided one by one. An empty table gives
     an empty result. Decisions depend on doc_id, text and seed only, so reruns agree. fan_in is how many documents meet in a group.
     """
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
-    sized = saved(sized.groupBy("doc_id", "source", "size", "text_hash").agg(F.count("*").cast("int").alias("rows")))
-    sized = sized.select("*", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy"))
+    sized = saved(sized.groupBy("doc_id", "source", "size", "text_hash").agg(F.count("*").alias("rows")))
+    sized = times(sized, "rows", "copy")
     per = saved(source_targets(sized, weights, share, cap))
     most, sources = per.agg(F.max("n"), F.count("*")).first()
     named = per.withColumn("s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))  # null joins too
     fixed = ["s", "source", "source_size", "target", "whole"]
-    times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = (
         sized.withColumn("s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).drop("source").join(F.broadcast(named) if sources <= BROADCAST_SOURCES else named, "s")
-        .withColumn("whole", F.floor(times).cast("int"))
-        .withColumn("part", (times - F.floor(times)) * F.col("size"))
+        .withColumn("whole", F.floor(wanted).cast("int"))
+        .withColumn("part", (wanted - F.floor(wanted)) * F.col("size"))
         .withColumn("key", F.struct("doc_id", "text_hash", "copy"))
     )
     plain = F.col("part") == 0
@@ -116,21 +116,27 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         out = out.unionByName(part)
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("one")).otherwise(0)
     return out.select(
-        "key.doc_id", "key.text_hash", "source", F.col("size").cast("long").alias("size"), "source_size", "target",
+        "key.doc_id", "key.text_hash", F.col("key.copy").alias("row"), "source", F.col("size").cast("long").alias("size"), "source_size", "target",
         copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"),
     )
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs as often as mix() takes them; columns and their order are kept. Equal rows share what they are given."""
-    taken = mix(docs, **how).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.sum("copies").cast("int").alias("_copies")).filter("_copies > 0")
-    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64("text")}).dropDuplicates(["_id", "_hash", "source"])
-    joined = rows.join(taken, (rows["_hash"] == taken["_hash"]) & rows["_id"].eqNullSafe(taken["_id"]), "inner")
-    return joined.select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "_copies")).alias("_again")).drop("_again")
+    """The rows of docs as often as mix() takes them; columns and their order are kept, whatever their names. Rows equal in id, text and source are numbered, and each gets what its number is given."""
+    taken = mix(docs, **how).filter("copies > 0").select(F.col("doc_id").alias("t_id"), F.col("text_hash").alias("t_hash"), F.col("row").alias("t_row"), F.col("source").alias("t_source"), F.col("copies").cast("int").alias("copies"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"]).alias("hash"), docs["source"].alias("of"))
+    # Only rows that are equal need numbers; there are few of them, or they are many of a kind.
+    equal = saved(rows.groupBy("id", "hash", "of").count().filter("count > 1").select(F.col("id").alias("e_id"), F.col("hash").alias("e_hash"), F.col("of").alias("e_of")))
+    if equal.isEmpty():
+        rows = rows.withColumn("number", F.lit(1))
+    else:
+        same = F.col("id").eqNullSafe(F.col("e_id")) & (F.col("hash") == F.col("e_hash")) & F.col("of").eqNullSafe(F.col("e_of"))
+        rows = rows.join(equal, same, "left_anti").withColumn("number", F.lit(1)).unionByName(numbered(rows.join(equal, same, "left_semi"), ["id", "hash", "of"], "number"))
+    joined = rows.join(taken, (F.col("hash") == F.col("t_hash")) & (F.col("number") == F.col("t_row")) & F.col("id").eqNullSafe(F.col("t_id")) & F.col("of").eqNullSafe(F.col("t_source")))
+    again = joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("again"))
+    return again.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op9_mixing(spark, sf_dir):
     """Every document of the table with the words that the mix takes of it."""
-    from .common import table
-
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")

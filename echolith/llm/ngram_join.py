@@ -162,7 +162,7 @@ def _starred(classes: DataFrame) -> DataFrame:
 
 
 def _prefixes(rows: DataFrame) -> DataFrame:
-    """token, c, n, label, m, rank for the shared shingles in each class's prefix, with the m that costs least.
+    """token, c, n, label, own, m, rank for the shared shingles in each class's prefix, with the m that costs least; own counts the others, which no other component holds.
 
     rows: c, n, label and shared (the class's shingles that other components hold, as structs of df and token, ascending); all others come before these in the order.
     """
@@ -171,7 +171,7 @@ def _prefixes(rows: DataFrame) -> DataFrame:
         for batch in batches:
             flat, ends = batch.column("shared").values, batch.column("shared").offsets.to_numpy()
             df, token = (flat.field(k).to_numpy() for k in ("df", "token"))
-            ns, picked, best, ranks = batch.column("n").to_pylist(), [], [], []
+            ns, picked, best, ranks, owns = batch.column("n").to_pylist(), [], [], [], []
             for n, a, b in zip(ns, ends[:-1], ends[1:], strict=True):
                 before, read = n - (b - a), np.concatenate([[0], np.cumsum(df[a:b])])
                 ms = np.arange(1, min(MOST_MATCHES, (4 * n + 4) // 5) + 1)
@@ -179,13 +179,14 @@ def _prefixes(rows: DataFrame) -> DataFrame:
                 m = int(np.argmin(read[inside] * (1 + VERIFY_COST / ms)))
                 picked.append(np.arange(a, a + inside[m]))
                 best.append(m + 1)
+                owns.append(before)
                 ranks.append(before + np.arange(inside[m]))
             row = np.repeat(np.arange(len(ns)), [len(x) for x in picked])
             at = np.concatenate([np.zeros(0, np.int64), *picked]).astype(np.int64)
             own = [batch.column(k).take(pa.array(row)) for k in ("c", "n", "label")]
-            yield pa.RecordBatch.from_arrays([pa.array(token[at]), *own, pa.array(np.array(best, np.int64)[row]), pa.array(np.concatenate([np.zeros(0, np.int64), *ranks]).astype(np.int64))], names=["token", "c", "n", "label", "m", "rank"])
+            yield pa.RecordBatch.from_arrays([pa.array(token[at]), *own, pa.array(np.array(owns, np.int64)[row]), pa.array(np.array(best, np.int64)[row]), pa.array(np.concatenate([np.zeros(0, np.int64), *ranks]).astype(np.int64))], names=["token", "c", "n", "label", "own", "m", "rank"])
 
-    return rows.mapInArrow(run, "token long, c long, n long, label long, m long, rank long")
+    return rows.mapInArrow(run, "token long, c long, n long, label long, own long, m long, rank long")
 
 
 def _unpacked(sets: DataFrame, low: int, high: int) -> DataFrame:
@@ -233,23 +234,30 @@ def _prefix_rows(sets: DataFrame, labels: DataFrame) -> DataFrame:
     return saved(_prefixes(mine.filter(F.size("shared") > 0)))
 
 
+def _enough(overlap: Column, n: Column, m: Column) -> Column:
+    """Whether so many shared shingles make sets of n and m link."""
+    return 9 * overlap >= 4 * (n + m)
+
+
 def _drawn(rows: DataFrame, salt: int) -> DataFrame:
-    """a, b: every row of a token that more than one component holds, with one row drawn from another component."""
-    centres = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "c", F.lit(salt)).alias("draw"), "c", "n", "label")).alias("s"), F.min("label").alias("one"), F.max("label").alias("other"))
+    """a, b: every row of a token that more than one component holds, with one row from another component: first the one of fewest own shingles, which is in the middle of its like, later one drawn at random."""
+    order = F.struct(F.col("own") if salt == 0 else F.lit(0), F.xxhash64("token", "c", F.lit(salt)).alias("draw"), "c", "n", "label", F.col("own").alias("o"))
+    centres = rows.groupBy("token").agg(F.min(order).alias("s"), F.min("label").alias("one"), F.max("label").alias("other"))
     centres = saved(centres.filter("one < other").select("token", "s"))
-    met = rows.join(_small(centres), "token").filter((F.col("label") != F.col("s.label")) & _close(F.col("n"), F.col("s.n")))
+    fits = _enough(F.least(F.col("n") - F.col("own"), F.col("s.n") - F.col("s.o")), F.col("n"), F.col("s.n"))
+    met = rows.join(_small(centres), "token").filter((F.col("label") != F.col("s.label")) & _close(F.col("n"), F.col("s.n")) & fits)
     return met.select(F.col("s.c").alias("a"), F.col("c").alias("b")).distinct()
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
     """a, b: pairs of classes of different components that share enough of their prefixes.
 
-    A pair of places at which no overlap of the size needed fits any more (what comes before both, and what follows both) is left out.
+    A pair of places at which no overlap of the size needed fits any more (what comes before both, but for own shingles, and what follows both) is left out.
     """
     a, b = rows.alias("a"), rows.alias("b")
     n, m, i, j = (F.col(x) for x in ("a.n", "b.n", "a.rank", "b.rank"))
     smaller = (F.struct("a.n", "a.c") < F.struct("b.n", "b.c")) & (F.col("a.label") != F.col("b.label")) & _close(n, m) & (i < n - F.floor((8 * n + 8) / 9) + F.col("a.m"))
-    fits = 9 * (F.least(i, j) + F.least(n - i, m - j)) >= 4 * (n + m)
+    fits = _enough(F.least(i - F.col("a.own"), j - F.col("b.own")) + F.least(n - i, m - j), n, m)
     met = a.join(b, (F.col("a.token") == F.col("b.token")) & smaller & fits)
     met = met.groupBy(F.col("a.c").alias("a"), F.col("b.c").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("a.m", "b.m")).alias("m"))
     return met.filter("k >= m").select("a", "b")

@@ -43,6 +43,28 @@ def site_rule(verdict: str, host: str, path: str) -> Rule:
     return Rule(literal, verdict, rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(path) or '(?:/|$)'}", tuple(found), 1_000 + len(literal))
 
 
+def parsed_rule(line: str) -> Rule:
+    """A rule of host + path in the syntax of block lists, letter case of A-Z aside: * stands for anything, ^ for a separator or the end, || for the beginning of a host or subdomain, | for either end, @@ before all for an exception."""
+    verdict, body = ("allow", line[2:]) if line.startswith("@@") else ("block", line)
+    start = re.match(r"\|{0,2}", body)[0]
+    body, end = body[len(start) :], body.endswith("|")
+    body = body[:-1] if end else body
+    separator = "(?:[^A-Za-z0-9_.%-]|$)"
+    pattern = "".join(".*" if c == "*" else separator if c == "^" else re.escape(c) for c in body)
+    head = {"": "", "|": "^", "||": r"^(?:[^/]*\.)?"}[start]
+    # A token at an open end may go on in the URL, so it has no part in the index.
+    inner = re.split(r"[*]", body)
+    found = []
+    for k, piece in enumerate(inner):
+        runs = [(m[0], m.start(), m.end()) for m in re.finditer("[A-Za-z0-9]+", piece)]
+        for token, at, to in runs:
+            opens = at == 0 and not (k == 0 and start)
+            closes = to == len(piece) and not (k == len(inner) - 1 and end)
+            if not opens and not closes:
+                found += tokens_of(token)
+    return Rule(line, verdict, f"(?is){head}{pattern}{'$' if end else ''}", tuple(found), 500 if verdict == "allow" else 0)
+
+
 def word_rule(word: str) -> Rule:
     return Rule(f"*{word}*", "block", rf"(?i)(?:^|[^a-z0-9]){re.escape(word)}(?:[^a-z0-9]|$)", (word,), 0)
 
@@ -61,31 +83,33 @@ def path_of(url: Column) -> Column:
 
 
 def judge(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict and matched_word of every row of pages (page_id, url).
+    """page_id, host, path, rule, verdict and matched_rule of every row of pages (page_id, url).
 
-    The site rule of the longest host and path that fits gives rule and verdict. Where none fits, rule is null and the word
-    rules decide: block if any fits (matched_word names the first), else allow. A null url, or one without ://, has an empty host and path and is allowed
-    unless a rule without tokens fits. Repeated rows each get their verdict; other columns are ignored; an empty table gives an empty result. Host case is
-    folded for A-Z alone, paths keep theirs. The rules are a list held by the driver, so the joined index is bounded by it.
+    The site rule of the longest host and path that fits gives rule and verdict. Where none fits, rule is null and the other
+    rules decide: an exception before a block (matched_rule names the first of those that fit), else allow. A null url, or one without ://, has an empty host and path and is allowed
+    unless a rule without tokens fits. Repeated rows each get their verdict; other columns are ignored; an empty table gives an empty result. Letter case is
+    folded for A-Z alone. The rules are a list held by the driver, so the joined index is bounded by it.
     """
     spark = pages.sparkSession
     rules = default_rules() if rules is None else rules
-    split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    distinct = split.groupBy("host", "path").agg(F.count("*").alias("n"))  # a URL is judged once, however often it occurs
+    # row keeps a page's own tokens together: each page is one group of its own, so a URL of many pages is no hot key.
+    split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.monotonically_increasing_id().alias("row"))
     target = F.concat("host", "path")
-    token = F.explode(F.array_union(F.array_distinct(F.split(F.lower(target), "[^a-z0-9]+")), F.array(F.lit("")))).alias("token")
+    folded = F.translate(target, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    token = F.explode(F.array_union(F.array_distinct(F.split(folded, "[^a-z0-9]+")), F.array(F.lit("")))).alias("token")
     indexable = sorted({t for r in rules for t in r.tokens})
     known = F.broadcast(spark.createDataFrame([(t,) for t in indexable], "token string"))
     counts = {r["token"]: r["n"] for r in split.select(token).join(known, "token").groupBy("token").agg(F.count("*").alias("n")).collect()}
     index = [(min(r.tokens, key=lambda t: (counts.get(t, 0), t)) if r.tokens else "", r.name, r.verdict, r.pattern, r.rank) for r in rules]
     index = F.broadcast(spark.createDataFrame(index, "token string, name string, says string, pattern string, rank int"))
-    fits = distinct.select("host", "path", target.alias("target"), token).join(index, "token").filter(F.rlike("target", F.col("pattern")))
-    best = fits.groupBy("host", "path").agg(F.max(F.struct("rank", "name", "says")).alias("best"))
-    judged = split.join(best, ["host", "path"], "left")
+    # Every page has the token "", so it stays in the left join; candidates alone run their expressions.
+    met = split.select("*", target.alias("target"), token).join(index, "token", "left")
+    fits = F.when(F.col("pattern").isNotNull() & F.rlike("target", F.col("pattern")), F.struct("rank", "name", "says"))
+    judged = met.groupBy("row", "page_id", "host", "path").agg(F.max(fits).alias("best"))
     site = F.col("best.rank") >= 1_000
     return judged.select(
         "page_id", "host", "path", F.when(site, F.col("best.name")).alias("rule"), F.coalesce("best.says", F.lit("allow")).alias("verdict"),
-        F.when(~site, F.col("best.name")).alias("matched_word"),
+        F.when(~site, F.col("best.name")).alias("matched_rule"),
     )
 
 

@@ -208,6 +208,21 @@ def test_urls_odd(spark):
     assert url_filter.judge(rows.limit(0)).count() == 0
 
 
+def test_url_rules(spark):
+    """Every rule of a list is found through the index, letters beyond A-Z are not folded, and exceptions win."""
+    lines = ["||ads.example^", "*/banner/*", "|track.", "pixel.gif|", "@@||ads.example/ok^", "@@*/banner/own/", "*tele*metry*", "shop^"]
+    urls = ["x://ads.example/1", "x://a.ads.example", "x://ads.example/ok/", "x://ads.examplex/", "x://a.b/banner/1", "x://a.b/xbanner/1", "x://a.b/banner/own/", "x://track.a/", "x://a.track.b/", "x://a.b/pixel.gif", "x://a.b/pixel.gif/", "x://a.b/telemetry", "x://a.b/myteleXmetry2", "x://shop/", "x://myshop", "x://shopx/", "x://a.b/BANNER/2", "x://a.b/banİner/", "x://x.y/adsİ/1"]
+    rules = [url_filter.parsed_rule(x) for x in lines] + [url_filter.word_rule("ads")]
+    import re
+
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    for i, u in enumerate(urls):
+        target = u.split("://", 1)[1]
+        fits = [r for r in rules if re.search(r.pattern, target, re.A)]
+        assert got[i].verdict == (max(fits, key=lambda r: r.rank).verdict if fits else "allow"), u
+    assert [got[i].verdict for i in (0, 1, 2, 3, 5, 6, 8, 10, 14, 15, 18)] == ["block", "block", "allow", "block", "allow", "allow", "allow", "allow", "block", "allow", "block"]
+
+
 # 4 sharding
 
 
@@ -235,22 +250,43 @@ def test_shards_odd(spark, odd, none, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(ODD)
 
 
+def test_write_shards_of_equal_rows(spark, none, tmp_path):
+    """Each copy goes to the shard of its number, so folders keep the limit; an empty table writes no row."""
+    rows = [(1, "x" * 98, f"s{i}") for i in range(50)] + [(i, "y" * 60, "t") for i in range(2, 40)]
+    sharding.write_shards(spark.createDataFrame(rows, "doc_id long, text string, copy string"), str(tmp_path / "s"), 300)
+    got = spark.read.option("basePath", str(tmp_path / "s")).schema("doc_id long, text string, copy string, shard string").parquet(str(tmp_path / "s")).collect()
+    size, by = Counter(), Counter(r.shard for r in got)
+    for r in got:
+        size[r.shard] += len(r.text)
+    assert sorted((r.doc_id, r.text, r.copy) for r in got) == sorted(rows) and all(size[k] <= 300 or by[k] == 1 for k in by)
+    sharding.write_shards(none.drop("shard"), str(tmp_path / "none"), 300)
+
+
 # 5 top-k
 
 
-def test_topk_odd(spark):
+def brute_topk(rows, k):
+    """(query_id, rank, vec_id, score) lists with exact integers, row by row."""
+    ints = [(i, [math.floor(256 * x) if abs(x) < 2.0**1000 else 256 * int(x) for x in v]) for i, v in rows]
+    out = []
+    for n, (i, q) in enumerate(ints):
+        if i % 4 == 0:
+            scores = [(max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(q, v, strict=True)))), j) for m, (j, v) in enumerate(ints) if m != n and len(v) == len(q)]
+            out += [(i, r + 1, j, s) for r, (s, j) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [1.0, 2.0**17, 2.0**33, 1e300])
+def test_topk_odd(spark, size):
+    """Also with components whose products double precision does not hold, in some vectors or in all."""
     rng = random.Random(2)
-    vectors = [(i, [rng.choice([-0.5, 0.25, 0.126, 0.9]) for _ in range(3)], 0) for i in range(60)]
-    vectors += [(100, None, 0), (101, [1.0, None, 0.0], 0), (102, [float("nan"), 1.0, 0.0], 0), (103, [float("inf"), 1.0, 0.0], 0), (104, [1.0, 2.0], 0), (None, [1.0, 1.0, 1.0], 0), (105, [], 0), (7, vectors[7][1], 0)]
-    rows = clashing(spark.createDataFrame(vectors, "vec_id long, embedding array<float>, x int"))
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(rows, F.col("vec_id") % 4 == 0, 5, 16, 4).collect()}
-    ints = {i: [math.floor(256 * float(__import__("numpy").float32(x))) for x in v] for i, v, _ in vectors[:60]}
-    ints[104] = [256, 512]
-    want = {}
-    for q in (i for i in ints if i % 4 == 0):
-        best = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))[:5]
-        want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(best)}
-    assert got == want
+    good = [(i, [rng.choice([-0.5, 0.25, 0.126, 0.9]) * rng.choice([1, size + rng.random()]) for _ in range(3)]) for i in range(60)]
+    good += [(200 + i, [rng.uniform(-1, 1) * size for _ in range(64)]) for i in range(60)] + [(104, [1.0, 2.0]), (8, [0.3, 0.3, 0.3]), (8, [0.3, 0.3, 0.3]), (8, [9.0, 9.0, 9.0])]
+    bad = [(100, None), (101, [1.0, None, 0.0]), (102, [float("nan"), 1.0, 0.0]), (103, [float("inf"), 1.0, 0.0]), (None, [1.0, 1.0, 1.0]), (105, [])]
+    rows = clashing(spark.createDataFrame(good + bad, "vec_id long, embedding array<double>"))
+    for shard, block in ((16, 4), (4096, 512)):
+        got = sorted(tuple(r) for r in topk.search(rows, F.col("vec_id") % 4 == 0, 5, shard, block).select("query_id", "rank", "vec_id", "score").collect())
+        assert got == brute_topk(good, 5)
     assert topk.search(rows.limit(0), F.col("vec_id") % 4 == 0).count() == 0
 
 
@@ -276,7 +312,9 @@ def test_chat(spark, budget, history, segment):
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     for w in wins.collect():
         new = list(chat.read_back(w.text, w.new_at))
-        assert w.tokens <= budget or len(new) == 1
+        head = next(chat.read_back(w.text), None)
+        alone = sum(chat.token_count(*x) for x in {*new[:1], *([head] if w.new_at and head and head[0] == "system" else [])})
+        assert w.tokens <= budget or len(new) == 1 and w.tokens == alone, "history gives way to a long turn"
         if w.window and (c := w.conv_id) is not None and c % 2:
             assert next(chat.read_back(w.text))[0] == "system"
     assert chat.digests(chat.windows(df.limit(0))).count() == 0
@@ -503,6 +541,19 @@ def test_mixing(spark, docs):
         assert copies.columns == df.columns and copies.count() == sum(r.copies for r in got)
 
 
+def test_mixing_of_equal_rows(spark):
+    """One id and text in two sources, and rows that are equal but for another column: each row as often as it is taken."""
+    rows = [(1, "a b c", s, f"x{i}") for i, s in enumerate("abab")] + [(2, "d e", None, "y")] * 3 + [(i, "w " * (i % 7), "abc"[i % 3], "z") for i in range(3, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string")
+    took, copies = mixing.mix(docs).collect(), mixing.mixed(docs).collect()
+    want, got = Counter(), Counter()
+    for r in took:
+        want[r.doc_id, r.source] += r.copies
+    for r in copies:
+        got[r.doc_id, r.source] += 1
+    assert +want == got and {tuple(r) for r in copies} <= set(rows)
+
+
 def test_mixing_odd(odd, none):
     got = mixing.mix(odd).collect()
     assert len(got) == len(ODD) and sum(r.size for r in got) == sum(len(words(t)) for _, t, *_ in ODD)
