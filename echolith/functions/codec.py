@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _word(x: Column) -> Column:
@@ -25,11 +28,16 @@ def _read(digits: Column, at: Column | int) -> Column:
     return F.conv(F.concat(pick(3), pick(2), pick(1), pick(0)), 16, 10).cast("long")
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _words(payload: pd.Series) -> pd.Series:
+    """The little-endian words of a payload; none of a null one."""
+    return payload.map(lambda p: None if p is None else np.frombuffer(p, "<u4").astype(np.int64))
+
+
 def from_bytes(payload: Column) -> Column:
     """(hashes, duration_ms); null for fewer than eight bytes or fewer hashes than counted. Bytes after the last hash are ignored."""
-    size = F.octet_length(payload).cast("long")
-    digits = F.hex(payload)
-    count = _read(digits, 4)
-    whole = (size >= 8) & (size >= 8 + 4 * count)
-    hashes = F.when(count == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(count - 1, F.lit(0))), lambda i: _read(digits, 8 + 4 * i)))
-    return F.when(F.coalesce(whole, F.lit(False)), F.struct(hashes.alias("hashes"), _read(digits, 0).alias("duration_ms")))
+    size, head = F.octet_length(payload).cast("long"), F.hex(F.substring(payload, F.lit(1), F.lit(8)))
+    count = _read(head, 4)
+    whole = F.coalesce((size >= 8) & (size >= 8 + 4 * count), F.lit(False))
+    body = F.when(whole, F.substring(payload, F.lit(9), (4 * count).cast("int")))
+    return F.when(whole, F.struct(_words(body).alias("hashes"), _read(head, 0).alias("duration_ms")))

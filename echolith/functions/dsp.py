@@ -9,7 +9,8 @@ import numpy as np
 from echolith.constants import BAND_HIGH_HZ, BAND_LOW_HZ, DELTA_THRESHOLD, FRAME_SIZE, HOP_SIZE, MAX_SOURCE_RATE, PITCH_CLASSES, RESAMPLER_LOBES, RESAMPLER_PHASES, RESAMPLER_ROLLOFF, TARGET_RATE, TUNING_CLASS, TUNING_HZ
 from echolith.errors import SignalError
 
-_AT_ONCE = 1 << 15
+#: Outputs made together: few enough that their windows stay small at the highest source rate.
+_AT_ONCE = 1 << 12
 
 
 def check_shape(rate: int, channels: int) -> None:
@@ -63,10 +64,14 @@ class Resampler:
             position = np.arange(at, min(end, at + _AT_ONCE)) * self.ratio
             base = np.floor(position)
             phase = np.minimum(((position - base) * RESAMPLER_PHASES).astype(np.int64), RESAMPLER_PHASES - 1)
-            index = (base.astype(np.int64) - self.half - start)[:, None] + np.arange(self.taps)
-            there = (index >= 0) & (index < len(source))
-            window = np.where(there, source[np.clip(index, 0, max(0, len(source) - 1))] if len(source) else np.float32(0), np.float32(0))
-            product = self.filters[phase] * window
+            index = base.astype(np.int64) - self.half - start
+            # The samples that these outputs see, with zeros where there are none.
+            low, high = int(index[0]), int(index[-1]) + self.taps
+            seen = np.zeros(high - low, np.float32)
+            there = slice(max(0, low), max(0, min(high, len(source))))
+            if there.stop > there.start:
+                seen[there.start - low : there.stop - low] = source[there]
+            product = self.filters[phase] * np.lib.stride_tricks.sliding_window_view(seen, self.taps)[index - low]
             # Four running sums in order, then the rest: float32 addition in this order is part of the format.
             whole = self.taps // 4 * 4
             lanes = np.zeros((len(product), 4), np.float32)
@@ -114,8 +119,8 @@ def chroma(samples: np.ndarray, first: int = 0, end: int | None = None) -> np.nd
     sizes = np.diff(np.append(starts, len(bins))).astype(np.float32)
     out = [np.zeros((0, PITCH_CLASSES), np.float32)]
     for at in range(first, end, 256):
-        index = np.arange(at, min(end, at + 256))[:, None] * HOP_SIZE + np.arange(FRAME_SIZE)
-        spectrum = np.fft.rfft(samples[index] * hann, axis=1)
+        frames = np.lib.stride_tricks.sliding_window_view(samples[at * HOP_SIZE : (min(end, at + 256) - 1) * HOP_SIZE + FRAME_SIZE], FRAME_SIZE)[::HOP_SIZE]
+        spectrum = np.fft.rfft(frames * hann, axis=1)
         magnitude = np.sqrt(spectrum.real**2 + spectrum.imag**2).astype(np.float32)
         energy = np.add.reduceat((magnitude * magnitude)[:, bins], starts, axis=1).astype(np.float32) / sizes
         norm = np.sqrt((energy * energy).sum(axis=1, dtype=np.float32))[:, None]

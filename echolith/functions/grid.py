@@ -11,8 +11,7 @@ from echolith.constants import DEFAULT_INTERVAL_MS, DEFAULT_WINDOW_MS, FRAME_SIZ
 
 def quotient(a: Column, b: int | Column) -> Column:
     """Integer division of non-negative longs, exact over the whole range."""
-    b = b if isinstance(b, Column) else F.lit(b)
-    return ((a - F.pmod(a, b)) / b).cast("long")
+    return F.call_function("div", a.cast("long"), (b if isinstance(b, Column) else F.lit(b)).cast("long"))
 
 
 def samples_for_ms(ms: Column) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _score(bits: Column, count: Column) -> Column:
@@ -27,14 +30,63 @@ def similarity(a: Column, b: Column) -> Column:
     return at_offset(a, b, 0)["score"]
 
 
+def offsets(limit: int) -> list[int]:
+    """0, +1, -1, ... up to limit: the order in which they are tried."""
+    return [0, *(o for k in range(1, limit + 1) for o in (k, -k))]
+
+
+def scores_of(bits: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """bits / (32 counts) rounded once to float32; 0 without a shared position."""
+    safe = np.maximum(counts, 1)
+    exact = (bits / (safe * 32.0)).astype(np.float32)
+    large = bits.astype(np.float32) / (safe * 32).astype(np.float32)
+    return np.where(counts == 0, np.float32(0), np.where(counts < 524_288, exact, large)).astype(np.float32)
+
+
+def compare_flat(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray, drift: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(score, best_offset, compared_hashes, matching_bits) of pairs whose sequences stand one after another in a and b. All pairs are tried at an offset at once."""
+    limit = np.minimum(np.minimum(a_sizes, b_sizes), np.maximum(drift, 0))
+    a_starts, b_starts = np.cumsum(a_sizes) - a_sizes, np.cumsum(b_sizes) - b_sizes
+    n = len(a_sizes)
+    best = [np.full(n, -1, np.float32), np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int64)]
+    for o in offsets(int(limit.max(initial=0))):
+        some = np.flatnonzero(limit >= abs(o))
+        skip_a, skip_b = max(o, 0), max(-o, 0)
+        counts = np.maximum(np.minimum(a_sizes[some] - skip_a, b_sizes[some] - skip_b), 0)
+        ends = np.cumsum(counts)
+        within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+        agreed = 32 - np.bitwise_count(a[np.repeat(a_starts[some] + skip_a, counts) + within] ^ b[np.repeat(b_starts[some] + skip_b, counts) + within]).astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(agreed)])
+        bits = total[ends] - total[ends - counts]
+        score = scores_of(bits, counts)
+        better = score > best[0][some]
+        for kept, new in zip(best, (score, np.full(len(some), o, np.int32), counts, bits), strict=True):
+            kept[some[better]] = new[better]
+    return tuple(best)
+
+
+def flat(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a batch's sequences one after another, and the sequences' lengths."""
+    sizes = column.map(len).to_numpy(np.int64) if len(column) else np.zeros(0, np.int64)
+    return np.concatenate([np.zeros(0, np.int64), *column]).astype(np.int64), sizes
+
+
+_COMPARISON = T.StructType([T.StructField("score", T.FloatType()), T.StructField("best_offset", T.IntegerType()), T.StructField("compared_hashes", T.LongType()), T.StructField("matching_bits", T.LongType())])
+
+
+@F.pandas_udf(_COMPARISON)
+def _compared(a: pd.Series, b: pd.Series, drift: pd.Series) -> pd.DataFrame:
+    """The comparison of every pair of a batch; a null sequence gives nulls."""
+    there = (a.notna() & b.notna() & drift.notna()).to_numpy()
+    found = compare_flat(*flat(a[there]), *flat(b[there]), drift[there].to_numpy(np.int64))
+    out = pd.DataFrame(dict(zip(("score", "best_offset", "compared_hashes", "matching_bits"), found, strict=True)), index=a.index[there])
+    return out.reindex(a.index)
+
+
 def drift_comparison(a: Column, b: Column, max_drift: Column | int) -> Column:
     """The best comparison over offsets 0, +1, -1, ... up to max_drift and both lengths; of equal scores the earliest offset counts. Without hashes on either side all is 0."""
     drift = (max_drift if isinstance(max_drift, Column) else F.lit(max_drift)).cast("int")
-    limit = F.least(drift, F.size(a), F.size(b))
-    order = F.sequence(F.lit(0), 2 * F.greatest(limit, F.lit(0)))
-    offsets = F.transform(order, lambda k: F.when(k % 2 == 1, ((k + 1) / 2).cast("int")).otherwise((-k / 2).cast("int")))
-    tried = F.transform(offsets, lambda o: at_offset(a, b, o))
-    return F.reduce(F.slice(tried, 2, F.size(tried)), F.element_at(tried, 1), lambda best, x: F.when(x["score"] > best["score"], x).otherwise(best))
+    return _compared(a, b, drift)
 
 
 def drift_similarity(a: Column, b: Column, max_drift: Column | int) -> Column:

@@ -2,16 +2,102 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echolith.functions import scoring
 
-#: Checkpoints are broadcast to the queries up to so many rows; beyond it both sides are dealt in blocks.
-BROADCAST_ROWS = 20_000
-BLOCKS = 64
+#: Checkpoints meet the queries in packs of so many hashes (or one longer sequence), so a pack's size is bounded in bytes.
+PACK_HASHES = 1 << 18
+#: Up to so many hashes of all queries together (8 bytes each) are broadcast; more are dealt to the packs by a join.
+BROADCAST_HASHES = 1 << 21
+FAN_IN = 16
+
+
+def _packed(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Rows put together, up to most hashes: lists of the keys, the sizes of the sequences and their hashes one after another. Rows without hashes (null) take no part."""
+    names = [*keys, "sizes", "flat"]
+
+    def run(batches):
+        held, n = [], 0
+
+        def out():
+            table = pa.Table.from_batches(held)
+            lists = [table.column(k).combine_chunks() for k in keys]
+            hashes = table.column("hashes").combine_chunks()
+            sizes = hashes.value_lengths().to_numpy().astype(np.int32)
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            return pa.RecordBatch.from_arrays([*[one(x) for x in lists], one(pa.array(sizes)), one(hashes.flatten())], names=names)
+
+        for batch in batches:
+            at = 0
+            sizes = np.cumsum(batch.column("hashes").value_lengths().to_numpy(zero_copy_only=False))
+            while at < batch.num_rows:
+                before = sizes[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(sizes, before + most - n, "right")))
+                held.append(batch.slice(at, end - at))
+                n, at = n + int(sizes[end - 1] - before), end
+                if n >= most or at < batch.num_rows:
+                    yield out()
+                    held, n = [], 0
+        if held:
+            yield out()
+
+    kinds = ", ".join(f"{k} array<{rows.schema[k].dataType.simpleString()}>" for k in keys)
+    return rows.select(*keys, "hashes").filter("hashes is not null").mapInArrow(run, f"{kinds}, sizes array<int>, flat array<bigint>")
+
+
+def _padded(flat: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
+    """One row for each sequence, filled up with zeros."""
+    out = np.zeros((len(sizes), width), np.uint32)
+    out[np.arange(width) < sizes[:, None]] = flat
+    return out
+
+
+def _blocks(sizes: np.ndarray, cells: int) -> Iterator[np.ndarray]:
+    """Sequences of like length (twice as long at most), so many together that they fill no more cells than that."""
+    order = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        width = max(1, 2 * int(sizes[order[at]]))
+        end = int(np.searchsorted(sizes[order], width, "right"))
+        end = max(at + 1, min(end, at + cells // width))
+        yield order[at:end]
+        at = end
+
+
+def compare_all(q: np.ndarray, q_sizes: np.ndarray, c: np.ndarray, c_sizes: np.ndarray, drift: int, k: int, order: np.ndarray, best) -> None:
+    """Give best(query, checkpoints, scores, offsets) the k best checkpoints of every query, by score and then order (a rank of the checkpoints), block by block.
+
+    A block of checkpoints lies in a matrix of padded rows; for each query and offset all its rows are compared at once.
+    """
+    q_starts, c_starts = np.cumsum(q_sizes) - q_sizes, np.cumsum(c_sizes) - c_sizes
+    for block in _blocks(c_sizes, 1 << 20):
+        sizes = c_sizes[block].astype(np.int64)
+        width = int(sizes.max(initial=0))
+        flat = np.concatenate([np.zeros(0, np.int64), *[c[c_starts[i] : c_starts[i] + c_sizes[i]] for i in block]])
+        rows = _padded(flat.astype(np.uint32), sizes, width)
+        for i in range(len(q_sizes)):
+            own = q[q_starts[i] : q_starts[i] + q_sizes[i]].astype(np.uint32)
+            limit = np.minimum(np.minimum(sizes, len(own)), drift)
+            score, offset = np.full(len(block), -1, np.float32), np.zeros(len(block), np.int32)
+            for o in scoring.offsets(int(limit.max(initial=0))):
+                skip_q, skip_c = max(o, 0), max(-o, 0)
+                counts = np.maximum(np.minimum(len(own) - skip_q, sizes - skip_c), 0)
+                m = int(counts.max(initial=0))
+                differ = np.bitwise_count(rows[:, skip_c : skip_c + m] ^ own[skip_q : skip_q + m])
+                differ[np.arange(m) >= counts[:, None]] = 0
+                new = scoring.scores_of(32 * counts - differ.sum(axis=1, dtype=np.int64), counts)
+                better = (new > score) & (limit >= abs(o))
+                score[better], offset[better] = new[better], o
+            take = np.lexsort((order[block], -score))[:k] if len(block) > k else np.arange(len(block))
+            best(i, block[take], score[take], offset[take])
 
 
 @dataclass(frozen=True)
@@ -37,17 +123,35 @@ class Matcher:
     def top(self, queries: DataFrame, k: int) -> DataFrame:
         """query_id, rank, timestamp, score, best_offset: the k best checkpoints of each query (query_id, hashes), by score, then timestamp, then ckpt_seq.
 
-        Every query is compared with every checkpoint. With many checkpoints both sides go to blocks of a grid, each of which keeps its own k best before they meet.
+        Every query is compared with every checkpoint. Checkpoints are packed by bytes where they lie, and each pack meets the queries, in packs too; the lists of k are merged in a tree.
         """
-        c = self.checkpoints.select("ckpt_seq", "timestamp", F.col("hashes").alias("c_hashes"))
-        order = [F.col("score").desc(), F.col("timestamp").asc(), F.col("ckpt_seq").asc()]
-        if self.checkpoints.count() <= BROADCAST_ROWS:
-            pairs = queries.select("query_id", "hashes").withColumn("block", F.lit(0)).crossJoin(F.broadcast(c))
-        else:
-            c = c.withColumn("block", F.pmod(F.xxhash64("ckpt_seq"), F.lit(BLOCKS)))
-            q = queries.select("query_id", "hashes", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)).cast("array<long>")).alias("block"))
-            pairs = q.join(c, "block")
-        scored = pairs.select("query_id", "block", "ckpt_seq", "timestamp", F.inline(F.array(scoring.drift_comparison(F.col("hashes"), F.col("c_hashes"), self.max_drift))))
-        near = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "block").orderBy(*order))).filter(F.col("r") <= k)
-        best = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
-        return best.select("query_id", "rank", "timestamp", "score", "best_offset")
+        drift = self.max_drift
+        c = _packed(self.checkpoints.select("ckpt_seq", "timestamp", "hashes"), ["ckpt_seq", "timestamp"], PACK_HASHES).withColumn("pack", F.monotonically_increasing_id())
+        size = queries.agg(F.coalesce(F.sum(F.size("hashes").cast("long")), F.lit(0)).alias("n"), F.count("*").alias("m")).first()
+        parts = max(1, math.ceil((size["n"] + size["m"]) / BROADCAST_HASHES))
+        q = _packed(queries.select("query_id", "hashes").repartition(parts), ["query_id"], BROADCAST_HASHES).select("query_id", F.col("sizes").alias("q_sizes"), F.col("flat").alias("q_flat"))
+        # Each side comes in packs of bounded bytes; the queries are the stated set that all checkpoints are held against.
+        pairs = c.crossJoin(F.broadcast(q)) if parts == 1 else c.crossJoin(q)
+
+        def run(batches):
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    of = {name: batch.column(name)[at].values.to_numpy(zero_copy_only=False) for name in ("ckpt_seq", "timestamp", "sizes", "flat", "q_sizes", "q_flat")}
+                    order = np.empty(len(of["sizes"]), np.int64)
+                    order[np.lexsort((of["ckpt_seq"], of["timestamp"]))] = np.arange(len(order))
+                    found = []
+                    compare_all(of["q_flat"], of["q_sizes"], of["flat"], of["sizes"], drift, k, order, lambda i, c, s, o: found.append((np.full(len(c), i), c, s, o)))  # noqa: B023
+                    i, c, s, o = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+                    keep = np.lexsort((order[c], -s, i))
+                    first = np.searchsorted(i[keep], i[keep])
+                    keep = keep[np.arange(len(keep)) - first < k]
+                    ids = batch.column("query_id")[at].values.take(pa.array(i[keep]))
+                    yield pa.RecordBatch.from_arrays([ids, *[pa.array(x) for x in (of["ckpt_seq"][c[keep]], of["timestamp"][c[keep]].astype(np.float32), s[keep].astype(np.float32), o[keep].astype(np.int32))], pa.array(np.full(len(keep), batch.column("pack")[at].as_py(), np.int64))], names=["query_id", "ckpt_seq", "timestamp", "score", "best_offset", "pack"])
+
+        kind = queries.schema["query_id"].dataType.simpleString()
+        lists = pairs.mapInArrow(run, f"query_id {kind}, ckpt_seq long, timestamp float, score float, best_offset int, pack long")
+        item = F.struct((-F.col("score")).alias("minus"), "timestamp", "ckpt_seq", "best_offset")
+        for group in (F.pmod(F.xxhash64("pack"), F.lit(FAN_IN * FAN_IN)), F.pmod(F.col("pack"), F.lit(FAN_IN)), F.lit(0).cast("long")):
+            merged = lists.groupBy("query_id", group.alias("pack")).agg(F.slice(F.sort_array(F.collect_list(item)), 1, k).alias("best"))
+            lists = merged.select("query_id", "pack", F.posexplode("best").alias("pos", "x")).select("query_id", "pack", "pos", "x.timestamp", "x.ckpt_seq", "x.best_offset", (-F.col("x.minus")).alias("score"))
+        return lists.select("query_id", (F.col("pos") + 1).alias("rank"), "timestamp", "score", "best_offset")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echolith.constants import FRAME_SIZE, FRAMES_PER_HASH, HOP_SIZE
@@ -83,30 +83,49 @@ def frame_hashes(blocks: DataFrame) -> DataFrame:
     return blocks.filter("error is null").select("id", "first_frame", "samples").mapInArrow(run, "id string, frame_idx long, hash long")
 
 
-def _picked(spans: DataFrame, hashes: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and hashes of spans (keys, id, first_frame, last_frame)."""
-    count = F.greatest(F.col("last_frame") - F.col("first_frame") + 1, F.lit(0))
-    wanted = spans.select(*keys, F.posexplode(grid.hash_starts(count)).alias("pos", "at"), "first_frame").withColumn("frame_idx", F.col("first_frame") + F.col("at"))
-    found = wanted.join(hashes, ["id", "frame_idx"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "hash"))).alias("h"))
-    return found.select(*keys, F.transform("h", lambda x: x["hash"]).alias("hashes"))
+_HASHED = "id string, n_samples long, first_frame long, hashes array<long>, error struct<code:string,message:string>"
+
+
+def hashed_blocks(blocks: DataFrame) -> DataFrame:
+    """id, n_samples, first_frame, hashes (of the frames from first_frame on), error: every block with its hashes in place of its samples."""
+
+    def run(batches):
+        for batch in batches:
+            for at, raw in enumerate(batch.column("samples")):
+                hashes = dsp.frame_hashes(dsp.chroma(np.frombuffer(raw.as_buffer(), "<f4"))) if raw.is_valid else np.zeros(0, np.int64)
+                one = batch.slice(at, 1)
+                yield pa.RecordBatch.from_arrays([*[one.column(c) for c in ("id", "n_samples", "first_frame")], pa.ListArray.from_arrays(pa.array([0, len(hashes)], pa.int32()), pa.array(hashes, pa.int64())), one.column("error")], names=["id", "n_samples", "first_frame", "hashes", "error"])
+
+    return blocks.mapInArrow(run, _HASHED)
+
+
+def _spans(blocks: DataFrame) -> DataFrame:
+    """id, n_samples, parts (first_frame and hashes of every block, in order), error of each signal: from one pass over the blocks.
+
+    A block's hashes are 1/128 of its samples or less, so a signal's fit where one of its blobs did.
+    """
+    part = F.struct("first_frame", "hashes")
+    return hashed_blocks(blocks).groupBy("id").agg(F.first("n_samples").alias("n_samples"), F.sort_array(F.collect_set(part)).alias("parts"), F.first("error", ignorenulls=True).alias("error"))
+
+
+def _picked(at: Column, first: Column) -> Column:
+    """The hashes that begin at frames first + at, of the signal's hashes all."""
+    return F.transform(at, lambda k: F.get(F.col("all"), (first + k).cast("int")))
 
 
 def signatures(blocks: DataFrame) -> DataFrame:
     """id, n_samples, duration_ms, hashes, error of each whole signal."""
-    signal = blocks.select("id", "n_samples", "error").dropDuplicates(["id"])
-    spans = signal.filter("error is null").select("id", F.lit(0).cast("long").alias("first_frame"), (grid.frame_count(F.col("n_samples")) - 1).alias("last_frame"))
-    found = _picked(spans, frame_hashes(blocks), ["id"])
-    hashes = F.when(F.col("error").isNull(), F.coalesce("hashes", F.array().cast("array<bigint>")))
-    return signal.join(found, "id", "left").select("id", "n_samples", grid.ms_for_samples(F.col("n_samples")).alias("duration_ms"), hashes.alias("hashes"), "error")
+    signal = _spans(blocks).withColumn("all", F.flatten(F.col("parts.hashes")))
+    hashes = F.when(F.col("error").isNull(), _picked(grid.hash_starts(grid.frame_count(F.col("n_samples"))), F.lit(0)))
+    return signal.select("id", "n_samples", grid.ms_for_samples(F.col("n_samples")).alias("duration_ms"), hashes.alias("hashes"), "error")
 
 
 def windowed(blocks: DataFrame, window_ms: int, interval_ms: int) -> DataFrame:
     """id, window_idx, timestamp_ms, duration_ms, hashes, error: every complete window of each signal; a signal with an error, or unusable arguments, give one row with the error."""
-    signal = blocks.select("id", "n_samples", "error").dropDuplicates(["id"])
-    signal = signal.withColumn("error", F.coalesce("error", grid.window_error(F.lit(window_ms), F.lit(interval_ms))))
-    spans = signal.filter("error is null").select("id", F.inline(grid.windows(F.col("n_samples"), window_ms, interval_ms)))
-    found = _picked(spans, frame_hashes(blocks), ["id", "window_idx"])
-    fine = spans.join(found, ["id", "window_idx"], "left").select("id", "window_idx", "timestamp_ms", "duration_ms", F.coalesce("hashes", F.array().cast("array<bigint>")).alias("hashes"), F.lit(None).cast("struct<code:string,message:string>").alias("error"))
-    none = F.lit(None).cast("long")
-    bad = signal.filter("error is not null").select("id", none.alias("window_idx"), none.alias("timestamp_ms"), none.alias("duration_ms"), F.lit(None).cast("array<bigint>").alias("hashes"), "error")
-    return fine.unionByName(bad)
+    signal = _spans(blocks).withColumn("error", F.coalesce("error", grid.window_error(F.lit(window_ms), F.lit(interval_ms))))
+    signal = signal.select("id", "error", F.flatten(F.col("parts.hashes")).alias("all"), F.when(F.col("error").isNull(), grid.windows(F.col("n_samples"), window_ms, interval_ms)).alias("w"))
+    # A signal that is too short has no window and no row; one with an error has one row, without a window.
+    each = signal.select("id", "error", "all", F.explode(F.when(F.col("error").isNotNull(), F.array(F.lit(None).cast(signal.schema["w"].dataType.elementType))).otherwise(F.col("w"))).alias("w"))
+    count = F.greatest(F.col("w.last_frame") - F.col("w.first_frame") + 1, F.lit(0))
+    hashes = F.when(F.col("error").isNull(), _picked(grid.hash_starts(count), F.col("w.first_frame")))
+    return each.select("id", "w.window_idx", "w.timestamp_ms", "w.duration_ms", hashes.alias("hashes"), "error")

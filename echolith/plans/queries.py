@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolith import constants
-from echolith.functions import codec, containers, grid, hashing, scoring
+from echolith import constants, sql
+from echolith.functions import codec, containers, dsp, grid, hashing, scoring, statistics
 from echolith.operators import signatures as ops
 from echolith.operators.matcher import Matcher
 from echolith.sources.wave import encode_wave
@@ -104,6 +104,16 @@ def matcher_add_count(spark, sf_dir):
 _LE = "array_to_string(list_transform([{x}, {x} // 256, {x} // 65536, {x} // 16777216], lambda b: printf('%02X', (b % 256)::INTEGER)), '')"
 
 
+@query("sql_similarity", f"""WITH {_PAIRS}, {_DRIFTED}
+SELECT l_orderkey, score AS drifted, (SELECT score FROM s AS x WHERE x.l_orderkey = r.l_orderkey AND x.d = 0) AS plain FROM r WHERE k = 1""")
+def sql_similarity(spark, sf_dir):
+    """The names registered for SQL, over the neighbouring orders, their sequences packed and read back."""
+    sql.register(spark)
+    packed = "sig_from_bytes(sig_to_bytes({0}, 0)).hashes"
+    a, b = packed.format("a"), packed.format("b")
+    return _neighbours(spark, sf_dir).selectExpr("l_orderkey", f"sig_similarity_drift({a}, {b}, 3) AS drifted", f"sig_similarity({a}, {b}) AS plain")
+
+
 @query("serialize", f"""WITH {_ORDERS}, h AS (SELECT l_orderkey, l_orderkey * 1000 % 4294967296 AS ms, hashes FROM o)
 SELECT l_orderkey, {_LE.format(x='ms')} || {_LE.format(x='len(hashes)')} || array_to_string(list_transform(hashes, lambda h: {_LE.format(x='h')}), '') AS payload FROM h""")
 def serialize(spark, sf_dir):
@@ -193,18 +203,24 @@ def downmix_pairs(spark, sf_dir):
     """Even and odd events as the left and right samples of stereo frames; a frame that lacks one is dropped."""
     side = lambda k: F.max(F.when(F.col("event_id") % 2 == k, F.col("value").cast("float")))
     e = _table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 2).alias("frame")).agg(side(0).alias("l"), side(1).alias("r"))
-    return e.filter("l is not null and r is not null").select("frame", (((F.col("l") + F.col("r")).cast("float")) / 2).cast("float").alias("mono"))
+
+    @F.pandas_udf("float")
+    def mono(l: pd.Series, r: pd.Series) -> pd.Series:  # noqa: E741
+        return pd.Series(dsp.downmix(np.column_stack([l, r]).astype(np.float32).ravel(), 2))
+
+    return e.filter("l is not null and r is not null").select("frame", mono("l", "r").alias("mono"))
 
 
 @query("price_statistics", """SELECT o_orderpriority, min(o_totalprice) AS least, round(median(o_totalprice), 6) AS middle, round(avg(o_totalprice), 4) AS mean, round(quantile_cont(o_totalprice, 0.9), 6) AS p90, max(o_totalprice) AS most, round(stddev_pop(o_totalprice), 4) AS sd FROM orders GROUP BY 1""")
 def price_statistics(spark, sf_dir):
     """The statistics that timings are reported by."""
-    x = F.col("o_totalprice")
-    return _table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.min(x).alias("least"), F.round(F.percentile(x, 0.5), 6).alias("middle"), F.round(F.avg(x), 4).alias("mean"), F.round(F.percentile(x, 0.9), 6).alias("p90"), F.max(x).alias("most"), F.round(F.stddev_pop(x), 4).alias("sd"))
+    found = statistics.summary(F.col("o_totalprice"))
+    digits = {"middle": 6, "mean": 4, "p90": 6, "sd": 4}
+    return _table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(*[(F.round(x, digits[k]) if k in digits else x).alias(k) for k, x in found.items()])
 
 
 #: The rate that a document's bytes are played at; a text of average length then lasts some seconds.
-BYTE_RATE = 2_000
+BYTE_RATE = 1_000
 
 
 def _waves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,6 +243,30 @@ def wave_windows(spark, sf_dir):
     return ops.windowed(ops.decoded_blocks(_waves(spark, sf_dir)), 1_500, 500).select("id", "window_idx", "timestamp_ms", "duration_ms", F.array_join("hashes", ",").alias("hashes"), "error.code")
 
 
+def _pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of a stream for each part, with rates and channel counts of which some are unusable."""
+    part = _table(spark, sf_dir, "part")
+    rate = F.when(F.col("p_partkey") % 5 == 0, 0).otherwise(F.col("p_partkey") * 1000).cast("long")
+    op = F.when(F.col("p_partkey") % 7 == 0, "flush").otherwise("push")
+    return part.select(F.col("p_partkey").cast("string").alias("stream_id"), F.lit(0).cast("long").alias("chunk_seq"), op.alias("op"), rate.alias("sample_rate"), (F.col("p_size") % 3).cast("int").alias("channels"))
+
+
+@query("chunk_errors", """WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_partkey * 1000 END AS rate, p_size % 3 AS channels FROM part WHERE p_partkey % 7 <> 0)
+SELECT p_partkey::VARCHAR AS stream_id, 0::BIGINT AS chunk_seq, 'invalid' AS code,
+CASE WHEN rate = 0 THEN 'sample rate must be greater than 0' WHEN rate > 384000 THEN 'sample rate must be at most 384000 Hz' ELSE 'channel count must be greater than 0' END AS message
+FROM p WHERE rate = 0 OR rate > 384000 OR channels = 0""")
+def chunk_errors(spark, sf_dir):
+    return signal.chunk_errors(_pushes(spark, sf_dir))
+
+
+@query("wave_shapes", """WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents), s AS (SELECT doc_id, n, floor(n / (1000 / 11025.0::DOUBLE))::BIGINT AS m FROM d)
+SELECT doc_id::VARCHAR AS id, m AS n_samples, (m * 1000 + 5512) // 11025 AS duration_ms, CASE WHEN m < 16537 THEN 0 ELSE (m - 16537) // 5512 + 1 END AS n_windows FROM s""")
+def wave_shapes(spark, sf_dir):
+    """What decoding and resampling make of every blob, and how many windows of 1,500 ms, 500 ms apart, it has."""
+    blocks = ops.decoded_blocks(_waves(spark, sf_dir)).groupBy("id").agg(F.first("n_samples").alias("n_samples"))
+    return blocks.select("id", "n_samples", grid.ms_for_samples(F.col("n_samples")).alias("duration_ms"), F.size(grid.windows(F.col("n_samples"), 1_500, 500)).cast("long").alias("n_windows"))
+
+
 @query("stream_windows")
 def stream_windows(spark, sf_dir):
     """The same windows from streams: the documents' bytes pushed in chunks through keyed state, and flushed at the end."""
@@ -238,7 +278,11 @@ def stream_windows(spark, sf_dir):
     pcm = F.unhex(F.regexp_replace(F.substring("raw", F.col("k") * (2 * size) + 1, F.lit(2 * size)), "(..)", "00$1"))
     op = F.when(F.col("k") == F.col("n"), "flush").otherwise("push")
     chunks = chunks.select("stream_id", F.col("k").cast("long").alias("chunk_seq"), op.alias("op"), F.lit("i16").alias("format"), F.lit(BYTE_RATE).cast("long").alias("sample_rate"), F.lit(1).alias("channels"), pcm.alias("pcm"))
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
     folder = f"{folder.rstrip('/')}/stream-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
     chunks.write.parquet(f"{folder}/chunks")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)

@@ -11,11 +11,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from echolith.constants import DEFAULT_INTERVAL_MS, DEFAULT_WINDOW_MS, FRAME_SIZE, FRAMES_PER_HASH, HASH_STRIDE, HOP_SIZE, PITCH_CLASSES, TARGET_RATE, U32_MAX
 from echolith.errors import SignalError
-from echolith.functions import dsp
+from echolith.functions import dsp, grid
 
 #: op is push, flush or reset; format is i16 or f32 (little-endian, interleaved). The first chunk of a stream fixes its rate, and the channels of its i16 chunks.
 CHUNKS = "stream_id string, chunk_seq long, op string, format string, sample_rate long, channels int, pcm binary"
@@ -148,7 +149,7 @@ class _Processor(StatefulProcessor):
                 at.apply(chunk[0], chunk[1], chunk[3], chunk[4])
                 out += self.due(key[0], at)
             except SignalError:
-                pass  # a stream of unusable shape gives nothing; chunk_errors() names why
+                pass  # a stream of unusable shape gives nothing here; chunk_errors() has its rows
             due += 1
             at.next_seq = due
         for seq, chunk in waiting.items():
@@ -183,6 +184,13 @@ class WindowProcessor(_Processor):
         return [(key, at.epoch, i, ms_for_samples(start), self.window_ms, h.tolist()) for i, start, h in at.take_windows(self.length, self.step)]
 
 
+def chunk_errors(chunks: DataFrame) -> DataFrame:
+    """stream_id, chunk_seq, code, message of the chunks whose rate or channel count is unusable, of a stream or a table of CHUNKS. Flush and reset rows have no shape."""
+    error = grid.shape_error(F.coalesce("sample_rate", F.lit(0)), F.coalesce("channels", F.lit(0)))
+    found = chunks.filter("op = 'push'").select("stream_id", "chunk_seq", error.alias("e"))
+    return found.filter("e is not null").select("stream_id", "chunk_seq", "e.code", "e.message")
+
+
 def stream_hashes(chunks: DataFrame) -> DataFrame:
     """HASHES rows of a stream of CHUNKS; duration_ms is that of the signal so far."""
     return chunks.groupBy("stream_id").transformWithStateInPandas(HashProcessor(), HASHES, "append", "none")

@@ -161,6 +161,25 @@ def test_matcher_in_blocks(spark, monkeypatch):
     q = stored.filter("ckpt_seq in (3, 40)").select(F.col("ckpt_seq").alias("query_id"), "hashes")
     m = Matcher(stored, 2)
     whole = [tuple(r) for r in m.top(q, 33).orderBy("query_id", "rank").collect()]
-    monkeypatch.setattr(matcher, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(matcher, "BROADCAST_HASHES", 16)
+    monkeypatch.setattr(matcher, "PACK_HASHES", 100)
     assert [tuple(r) for r in m.top(q, 33).orderBy("query_id", "rank").collect()] == whole
     assert [tuple(r) for r in m.top(q, 5).orderBy("query_id", "rank").collect()] == [r for r in whole if r[1] <= 5]
+
+
+def test_sql_names(spark):
+    """Every public name of the SQL module is registered, and the table functions give what the DataFrame operators give."""
+    from echolith import sql
+    from echolith.sources.wave import encode_wave
+
+    assert set(sql.__all__) == {"register", "sig_to_bytes", "sig_from_bytes", "sig_similarity", "sig_similarity_drift", "DecodeAudio", "SigWindows"} and all(hasattr(sql, n) for n in sql.__all__)
+    sql.register(spark)
+    rng = np.random.default_rng(3)
+    blobs = spark.createDataFrame([("a", encode_wave((rng.standard_normal(60_000) * 3000).astype(np.int16), 8_000, 2)), ("b", b"RIFF"), ("c", b"")], "id string, content binary")
+    blobs.createOrReplaceTempView("blobs")
+    got = spark.sql("SELECT id, w.* FROM blobs, LATERAL sig_windows(content, 1500, 500) w").collect()
+    want = ops.windowed(ops.decoded_blocks(blobs), 1_500, 500).collect()
+    key = lambda r, code: (r.id, r.window_idx if r.window_idx is not None else -1, r.timestamp_ms, r.duration_ms, r.hashes, code)
+    assert sorted((key(r, r.code) for r in got), key=repr) == sorted((key(r, r.error and r.error.code) for r in want), key=repr) and len(got) > 4
+    sizes = {r.id: r.n_samples for r in spark.sql("SELECT id, d.n_samples FROM blobs, LATERAL decode_audio(content) d").collect()}
+    assert sizes["a"] == int(30_000 / (8_000 / 11_025)) and sizes["b"] is None
