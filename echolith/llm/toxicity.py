@@ -3,7 +3,7 @@
 A word is a bag of its character n-grams, hashed to rows of an embedding table; a passage is the average of the embeddings of all its
 words' n-grams, and a two-class softmax over that average gives its toxicity. Table and softmax are trained jointly in numpy, so a misspelling that
 was never seen is placed by the n-grams that it shares with words that were. A text is scored by its worst passage of a fixed number of
-words, and trained by it as well: of a toxic text the passage that scores highest learns, of a clean text every passage drawn. So a few words in
+words, and trained by it as well: of a toxic text the passage that scores highest learns, of a clean text the worst and another. So a few words in
 a long text are not averaged away.
 """
 
@@ -21,10 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: The classifier learns from so many labelled texts of either label at most, those with the lowest hash of their id and text, ...
+#: The classifier learns from so many labelled texts of either label at most, those with the lowest hash of their id, and from these whole; scoring has no limit.
 SAMPLE = 1_500
-#: ... and of each from so many passages at most, evenly spaced; scoring has no such limits.
-SAMPLE_PASSAGES = 12
 PASSAGE = 40
 #: A passage with fewer n-grams is averaged as if padded to so many with neutral ones, so that a few words weigh alike in short and long texts.
 LEAST = 400
@@ -35,7 +33,8 @@ STEP = 40.0
 LENGTHS = (3, 4, 5)
 MEMO = 200_000
 
-_word = re.compile(r"[^\W\d_]+")
+#: A word begins and ends with neither white space nor a common mark; digits and symbols inside or in place of letters belong to it.
+_word = re.compile(r"[^\s.,;:!?\"'()|]+(?:[.,:;!?|()\"']+[^\s.,;:!?\"'()|]+)*")
 
 
 def subwords(word: str) -> list[int]:
@@ -97,11 +96,9 @@ def train(texts: list[str], labels: list[int], epochs: int = 15, rate: float = 0
     bags: dict[str, np.ndarray] = {}
     passages: list[tuple[np.ndarray, np.ndarray]] = []  # rows of the table and how often each
     of_text: list[range] = []
-    for text, label in zip(texts, labels, strict=True):
-        every = list(passages_of(text))
-        drawn = every if label else [every[i] for i in np.unique(np.linspace(0, len(every) - 1, SAMPLE_PASSAGES).astype(int))]
-        of_text.append(range(len(passages), len(passages) + len(drawn)))
-        for words in drawn:
+    for text in texts:
+        begin = len(passages)
+        for words in passages_of(text):
             rows = []
             for w in sorted(words):
                 if w not in bags:
@@ -110,7 +107,8 @@ def train(texts: list[str], labels: list[int], epochs: int = 15, rate: float = 0
                     bags[w] = np.array(subwords(w), np.uint16)
                 rows.append(bags[w])
             rows, times = np.unique(np.concatenate([np.zeros(0, np.uint16), *rows]), return_counts=True)
-            passages.append((rows, np.minimum(times, 255).astype(np.uint8)))
+            passages.append((rows, np.minimum(times, 65_535).astype(np.uint16)))
+        of_text.append(range(begin, len(passages)))
     del bags
     weight = np.array([1 / max(int(times.sum(dtype=np.int64)), LEAST) for _, times in passages])
     again = max(1, round((np.sum(y == 0) / np.sum(y == 1)) ** 0.5))  # the rarer label is shown more often
