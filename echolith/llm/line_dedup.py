@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, slices, table
 from .hashing import runs_hash, text_groups, word_hashes
 
 #: A gram is so many words: fewer recur by chance.
@@ -377,7 +377,7 @@ def dedup(docs: DataFrame, run_words: int = RUN_WORDS, copies: bool = True) -> D
     cut = kept.join(runs, same).select(F.struct(*[docs[c] for c in others]).alias("row"), docs["text"], runs["runs"])
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts, removed = [], []
             for text, found in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
                 text, n = without(text, found)

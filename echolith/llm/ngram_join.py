@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, slices, table
 from .hashing import mix, runs_hash, text_groups, word_hashes
 
 WORDS = 5
@@ -96,7 +96,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """c, n, shingles (the whole set, as bytes), n_low (how many are low) of each wanted class (c, n, d, h), from one document of it."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             found = list(shingle_sets(batch.column("text")))
             low = [int(np.searchsorted(x, np.uint64(LOW))) for x in found]
             yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("n"), pa.array([x.tobytes() for x in found], pa.binary()), pa.array(low, pa.int64())], names=["c", "n", "shingles", "n_low"])

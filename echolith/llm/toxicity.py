@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 #: The classifier learns from so many labelled texts of either label at most, those with the lowest hash of their id, and from these whole; scoring has no limit.
 SAMPLE = 1_500
@@ -31,7 +31,7 @@ DIM = 12
 #: How much further an embedding steps than the softmax; its gradient is spread over the n-grams of a passage.
 STEP = 40.0
 LENGTHS = (3, 4, 5)
-MEMO = 200_000
+MEMO = 60_000
 
 #: A word begins and ends with neither white space nor a common mark; digits and symbols inside or in place of letters belong to it.
 _word = re.compile(r"[^\s.,;:!?\"'()|]+(?:[.,:;!?|()\"']+[^\s.,;:!?\"'()|]+)*")
@@ -102,7 +102,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 15, rate: float = 0
             rows = []
             for w in sorted(words):
                 if w not in bags:
-                    if len(bags) >= MEMO // 4:
+                    if len(bags) >= MEMO:
                         bags.clear()
                     bags[w] = np.array(subwords(w), np.uint16)
                 rows.append(bags[w])
@@ -162,7 +162,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         of_text = Model(*shared.value).scorer()
         for batch in batches:
-            scores = [of_text(t or "") for t in batch.column("text").to_pylist()]
+            scores = [of_text(t or "") for part in slices(batch) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
@@ -178,7 +178,8 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         of_text = Model(*shared.value).scorer()
         for batch in batches:
-            yield batch.filter(pa.array([of_text(t or "") < 0.5 for t in batch.column(names.index("text")).to_pylist()], pa.bool_()))
+            for part in slices(batch):
+                yield part.filter(pa.array([of_text(t or "") < 0.5 for t in part.column(names.index("text")).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
