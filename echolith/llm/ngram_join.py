@@ -252,11 +252,13 @@ def _drawn(rows: DataFrame, salt: int) -> DataFrame:
 def _candidates(rows: DataFrame) -> DataFrame:
     """a, b: pairs of classes of different components that share enough of their prefixes.
 
+    With l the overlap that two sets of n and m need, and k the lesser of their numbers of matches, k of the first n - l + k shingles of one are among the first m - l + k of the other.
     A pair of places at which no overlap of the size needed fits any more (what comes before both, but for own shingles, and what follows both) is left out.
     """
     a, b = rows.alias("a"), rows.alias("b")
     n, m, i, j = (F.col(x) for x in ("a.n", "b.n", "a.rank", "b.rank"))
-    smaller = (F.struct("a.n", "a.c") < F.struct("b.n", "b.c")) & (F.col("a.label") != F.col("b.label")) & _close(n, m) & (i < n - F.floor((8 * n + 8) / 9) + F.col("a.m"))
+    less = F.least("a.m", "b.m") - F.floor((4 * (n + m) + 8) / 9)
+    smaller = (F.struct("a.n", "a.c") < F.struct("b.n", "b.c")) & (F.col("a.label") != F.col("b.label")) & _close(n, m) & (i < n + less) & (j < m + less)
     fits = _enough(F.least(i - F.col("a.own"), j - F.col("b.own")) + F.least(n - i, m - j), n, m)
     met = a.join(b, (F.col("a.token") == F.col("b.token")) & smaller & fits)
     met = met.groupBy(F.col("a.c").alias("a"), F.col("b.c").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("a.m", "b.m")).alias("m"))
