@@ -9,7 +9,7 @@ A document's set holds the hashes of its distinct five-word shingles; two docume
 3. Open classes that share two of their minhashes are compared with one of them. The links found make preliminary components, so that a large group of near copies is known as one before anything is
    enumerated: two members of one component need no further comparison, and a shingle held by one component alone is an own one. So more classes are closed, again by shingles of low hash first.
 4. The shingles that several components hold are ordered by how many classes hold them, then by hash. Each class picks the m of least estimated cost (places to read, and candidates to verify), and so
-   lengthens its prefix; a pair is verified only if it shares the lesser m of the two in their prefixes.
+   lengthens its prefix; a pair is verified only if it shares the lesser m of the two in their prefixes. Pairs whose own shingles and parity bitmaps show that they differ too much are left out.
 5. For each shingle in prefixes, every document is compared with one that is drawn from another component, some rounds long; what is linked thus is one component from then on. Then all pairs of different
    components that share enough are verified on their whole sets. All links give the components.
 
@@ -32,6 +32,8 @@ SEEDS = 4
 VERIFY_COST, MOST_MATCHES = 8, 8
 #: Rounds in which every document is compared with drawn ones only.
 ROUNDS = 3
+#: Longs of 64 buckets in a parity bitmap; sets of some thousand shingles and more fill it, and it tells nothing of them.
+BITMAP = 4
 #: Where the low hashes end: a quarter of all.
 LOW = 1 << 62
 #: Up to so many rows of two or three longs are broadcast; beyond it the same join is shuffled.
@@ -162,7 +164,9 @@ def _starred(classes: DataFrame) -> DataFrame:
 
 
 def _prefixes(rows: DataFrame) -> DataFrame:
-    """token, c, n, label, own, m, rank for the shared shingles in each class's prefix, with the m that costs least; own counts the others, which no other component holds.
+    """token, c, n, label, bits, own, m, rank for the shared shingles in each class's prefix, with the m that costs least; own counts the others, which no other component holds.
+
+    bits has a bit for each bucket of hashes: whether an odd number of the class's shared shingles fall into it.
 
     rows: c, n, label and shared (the class's shingles that other components hold, as structs of df and token, ascending); all others come before these in the order.
     """
@@ -171,7 +175,7 @@ def _prefixes(rows: DataFrame) -> DataFrame:
         for batch in batches:
             flat, ends = batch.column("shared").values, batch.column("shared").offsets.to_numpy()
             df, token = (flat.field(k).to_numpy() for k in ("df", "token"))
-            ns, picked, best, ranks, owns = batch.column("n").to_pylist(), [], [], [], []
+            ns, picked, best, ranks, owns, bits = batch.column("n").to_pylist(), [], [], [], [], []
             for n, a, b in zip(ns, ends[:-1], ends[1:], strict=True):
                 before, read = n - (b - a), np.concatenate([[0], np.cumsum(df[a:b])])
                 ms = np.arange(1, min(MOST_MATCHES, (4 * n + 4) // 5) + 1)
@@ -180,13 +184,15 @@ def _prefixes(rows: DataFrame) -> DataFrame:
                 picked.append(np.arange(a, a + inside[m]))
                 best.append(m + 1)
                 owns.append(before)
+                odd = np.bincount(token[a:b] & (64 * BITMAP - 1), minlength=64 * BITMAP) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 ranks.append(before + np.arange(inside[m]))
             row = np.repeat(np.arange(len(ns)), [len(x) for x in picked])
             at = np.concatenate([np.zeros(0, np.int64), *picked]).astype(np.int64)
-            own = [batch.column(k).take(pa.array(row)) for k in ("c", "n", "label")]
-            yield pa.RecordBatch.from_arrays([pa.array(token[at]), *own, pa.array(np.array(owns, np.int64)[row]), pa.array(np.array(best, np.int64)[row]), pa.array(np.concatenate([np.zeros(0, np.int64), *ranks]).astype(np.int64))], names=["token", "c", "n", "label", "own", "m", "rank"])
+            own = [batch.column(k).take(pa.array(row)) for k in ("c", "n", "label")] + [pa.array(bits, pa.list_(pa.int64())).take(pa.array(row))]
+            yield pa.RecordBatch.from_arrays([pa.array(token[at]), *own, pa.array(np.array(owns, np.int64)[row]), pa.array(np.array(best, np.int64)[row]), pa.array(np.concatenate([np.zeros(0, np.int64), *ranks]).astype(np.int64))], names=["token", "c", "n", "label", "bits", "own", "m", "rank"])
 
-    return rows.mapInArrow(run, "token long, c long, n long, label long, own long, m long, rank long")
+    return rows.mapInArrow(run, "token long, c long, n long, label long, bits array<long>, own long, m long, rank long")
 
 
 def _unpacked(sets: DataFrame, low: int, high: int) -> DataFrame:
@@ -239,14 +245,24 @@ def _enough(overlap: Column, n: Column, m: Column) -> Column:
     return 9 * overlap >= 4 * (n + m)
 
 
+def _alike(a: str, b: str) -> Column:
+    """Whether two rows of different components may link, as far as own shingles and bitmaps tell.
+
+    The own shingles of both, and one shingle for each bucket in whose parity they differ, are in one set only; of n and m shingles at most (n + m) / 9 may be.
+    """
+    apart = sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(BITMAP)), F.col(f"{a}.own") + F.col(f"{b}.own"))
+    return 9 * apart <= F.col(f"{a}.n") + F.col(f"{b}.n")
+
+
 def _drawn(rows: DataFrame, salt: int) -> DataFrame:
     """a, b: every row of a token that more than one component holds, with one row from another component: first the one of fewest own shingles, which is in the middle of its like, later one drawn at random."""
-    order = F.struct(F.col("own") if salt == 0 else F.lit(0), F.xxhash64("token", "c", F.lit(salt)).alias("draw"), "c", "n", "label", F.col("own").alias("o"))
+    order = F.struct(F.col("own") if salt == 0 else F.lit(0), F.xxhash64("token", "c", F.lit(salt)).alias("draw"), "c", "n", "label", F.col("own").alias("o"), "bits")
     centres = rows.groupBy("token").agg(F.min(order).alias("s"), F.min("label").alias("one"), F.max("label").alias("other"))
     centres = saved(centres.filter("one < other").select("token", "s"))
-    fits = _enough(F.least(F.col("n") - F.col("own"), F.col("s.n") - F.col("s.o")), F.col("n"), F.col("s.n"))
-    met = rows.join(_small(centres), "token").filter((F.col("label") != F.col("s.label")) & _close(F.col("n"), F.col("s.n")) & fits)
-    return met.select(F.col("s.c").alias("a"), F.col("c").alias("b")).distinct()
+    a, b = centres.select("token", "s.c", "s.n", "s.label", F.col("s.o").alias("own"), "s.bits"), rows
+    fits = _enough(F.least(F.col("b.n") - F.col("b.own"), F.col("a.n") - F.col("a.own")), F.col("b.n"), F.col("a.n"))
+    met = b.alias("b").join(_small(a).alias("a"), F.col("a.token") == F.col("b.token")).filter((F.col("a.label") != F.col("b.label")) & _close(F.col("b.n"), F.col("a.n")) & fits & _alike("a", "b"))
+    return met.select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
@@ -258,7 +274,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
     a, b = rows.alias("a"), rows.alias("b")
     n, m, i, j = (F.col(x) for x in ("a.n", "b.n", "a.rank", "b.rank"))
     less = F.least("a.m", "b.m") - F.floor((4 * (n + m) + 8) / 9)
-    smaller = (F.struct("a.n", "a.c") < F.struct("b.n", "b.c")) & (F.col("a.label") != F.col("b.label")) & _close(n, m) & (i < n + less) & (j < m + less)
+    smaller = (F.struct("a.n", "a.c") < F.struct("b.n", "b.c")) & (F.col("a.label") != F.col("b.label")) & _close(n, m) & (i < n + less) & (j < m + less) & _alike("a", "b")
     fits = _enough(F.least(i - F.col("a.own"), j - F.col("b.own")) + F.least(n - i, m - j), n, m)
     met = a.join(b, (F.col("a.token") == F.col("b.token")) & smaller & fits)
     met = met.groupBy(F.col("a.c").alias("a"), F.col("b.c").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("a.m", "b.m")).alias("m"))
