@@ -50,20 +50,20 @@ def _sliding(pick, x: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
-def fingerprints(hashes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text number and place of the window minima (all of them, where equal), given word hashes and where each text's begin; a text with fewer grams than a window is one window."""
-    grams = np.maximum(np.diff(cuts) - GRAM_WORDS + 1, 0)
+def fingerprints(hashes: np.ndarray, cuts: np.ndarray, gram: int = GRAM_WORDS, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text number and place of the minima (all of them, where equal) of windows of so many grams, given word hashes and where each text's begin; a text with fewer grams than a window is one window."""
+    grams = np.maximum(np.diff(cuts) - gram + 1, 0)
     text = np.repeat(np.arange(len(grams)), grams)
     place = np.arange(len(text)) - (np.cumsum(grams) - grams)[text]
-    # Between texts lie WINDOW slots that no gram takes, so that no window sees two texts.
-    slot = np.arange(len(text)) + text * WINDOW
-    own = runs_hash(hashes, GRAM_WORDS)[cuts[text] + place]
-    x = np.full(len(text) + (len(grams) + 1) * WINDOW, ~np.uint64(0))
+    # Between texts lie window slots that no gram takes, so that no window sees two texts.
+    slot = np.arange(len(text)) + text * window
+    own = runs_hash(hashes, gram)[cuts[text] + place]
+    x = np.full(len(text) + (len(grams) + 1) * window, ~np.uint64(0))
     x[slot] = own
-    least, whole = _sliding(np.minimum, x, WINDOW), np.zeros(len(x) - WINDOW + 1, bool)
-    whole[slot[place < np.maximum(grams - WINDOW + 1, 1)[text]]] = True
-    least = np.concatenate([np.zeros(WINDOW - 1, np.uint64), np.where(whole, least, np.uint64(0))])
-    chosen = np.flatnonzero(own == _sliding(np.maximum, least, WINDOW)[slot])
+    least, whole = _sliding(np.minimum, x, window), np.zeros(len(x) - window + 1, bool)
+    whole[slot[place < np.maximum(grams - window + 1, 1)[text]]] = True
+    least = np.concatenate([np.zeros(window - 1, np.uint64), np.where(whole, least, np.uint64(0))])
+    chosen = np.flatnonzero(own == _sliding(np.maximum, least, window)[slot])
     return own[chosen], text[chosen], place[chosen]
 
 

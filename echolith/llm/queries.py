@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, line_dedup, merkle, mixing, ngram_join, quality, sharding, topk, toxicity, url_filter
+from . import byte_bpe, chat, line_dedup, merkle, mixing, ngram_join, phrases, quality, sharding, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     "op12_merkle": merkle.op12_merkle,
+    "op13_substring_dedup": phrases.op13_substring_dedup,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op4_sharding": sharding.ORACLE_SQL,
     "op5_exact_topk": topk.ORACLE_SQL,
     "op12_merkle": merkle.ORACLE_SQL,
+    "op13_substring_dedup": phrases.ORACLE_SQL,
 }
