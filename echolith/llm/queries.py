@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, line_dedup, merkle, mixing, ngram_join, phrases, quality, sharding, topk, toxicity, url_filter
+from . import byte_bpe, chat, line_dedup, merkle, mixing, ngram_join, phrases, quality, ranked, sharding, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+    "op11_ranked_search": ranked.op11_ranked_search,
     "op12_merkle": merkle.op12_merkle,
     "op13_substring_dedup": phrases.op13_substring_dedup,
 }
@@ -24,6 +25,7 @@ ORACLE_SQL = {
     "op3_url_filters": url_filter.ORACLE_SQL,
     "op4_sharding": sharding.ORACLE_SQL,
     "op5_exact_topk": topk.ORACLE_SQL,
+    "op11_ranked_search": ranked.ORACLE_SQL,
     "op12_merkle": merkle.ORACLE_SQL,
     "op13_substring_dedup": phrases.ORACLE_SQL,
 }
