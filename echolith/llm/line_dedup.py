@@ -88,19 +88,18 @@ def _places(rows: DataFrame, least: int | None = None) -> DataFrame:
                 keys = batch.select(_KEY).take(pa.array(text + row))
                 yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), *keys.columns, pa.array(p.astype(np.int32))], names=["f", *_KEY, "p"])
 
-    return rows.select(*_KEY, "text").mapInArrow(run, "f long, d long, h int, p int")
+    return rows.select(*_KEY, "text").mapInArrow(run, "f long, d long, h long, p int")
 
 
 def _words(rows: DataFrame) -> DataFrame:
-    """d, h, words: each text's word hashes (32 bits each, as bytes)."""
+    """d, h, words: each text's word hashes (64 bits each, as bytes)."""
 
     def run(batches):
         for batch in batches:
             for row, n, hashes, cuts in _hashed(batch.column("text")):
-                short = hashes.astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(row, n) for c in _KEY], pa.array([short[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=[*_KEY, "words"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(row, n) for c in _KEY], pa.array([hashes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=[*_KEY, "words"])
 
-    return rows.mapInArrow(run, "d long, h int, words binary")
+    return rows.mapInArrow(run, "d long, h long, words binary")
 
 
 def _reach(a: np.ndarray, b: np.ndarray) -> int:
@@ -137,7 +136,7 @@ def _compared(batch: pa.RecordBatch):
     p, s = (flat.field(k).to_numpy() for k in ("p", "s"))
     for at, (words, begin, source) in enumerate(zip(batch.column("words"), batch.column("begin").to_pylist(), batch.column("source"), strict=True)):
         a, b = ends[at], ends[at + 1]
-        yield at, begin, np.frombuffer(words.as_buffer(), np.uint32), np.frombuffer(source.as_buffer(), np.uint32), p[a:b] - begin, s[a:b]
+        yield at, begin, np.frombuffer(words.as_buffer(), np.uint64), np.frombuffer(source.as_buffer(), np.uint64), p[a:b] - begin, s[a:b]
 
 
 def _runs(both: DataFrame, run_words: int) -> DataFrame:
@@ -155,7 +154,7 @@ def _runs(both: DataFrame, run_words: int) -> DataFrame:
             keys = batch.select(_KEY).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(sure, pa.bool_())], names=[*_KEY, "start", "end", "sure"])
 
-    return both.mapInArrow(run, "d long, h int, start int, end int, sure boolean")
+    return both.mapInArrow(run, "d long, h long, start int, end int, sure boolean")
 
 
 def stretches(runs: list[dict], run_words: int) -> list[dict]:
@@ -180,7 +179,7 @@ def _joined(runs: DataFrame, run_words: int) -> DataFrame:
             out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in _KEY], pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=[*_KEY, "runs"])
             yield out.filter(pa.array([bool(x) for x in found], pa.bool_()))
 
-    return runs.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "end", "sure")).alias("runs")).mapInArrow(run, "d long, h int, runs array<struct<start:int,end:int>>")
+    return runs.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "end", "sure")).alias("runs")).mapInArrow(run, "d long, h long, runs array<struct<start:int,end:int>>")
 
 
 def without(text: str, runs: list[dict]) -> tuple[str, int]:
@@ -242,7 +241,7 @@ def _earlier(places: DataFrame) -> DataFrame:
         if kept is not None:
             yield found(kept.column("g").to_numpy(), kept.column("f"), *[kept.column(c).to_numpy() for c in ("d", "h", "p")])
 
-    return places.mapInArrow(run, "d long, h int, p int, sd long, sh int, s int, f long")
+    return places.mapInArrow(run, "d long, h long, p int, sd long, sh long, s int, f long")
 
 
 def _supported(of_text: DataFrame) -> DataFrame:
@@ -275,10 +274,10 @@ def _supported(of_text: DataFrame) -> DataFrame:
             begins = np.flatnonzero(new)
             first, ends = pa.array(begins), np.append(begins, len(order)).astype(np.int32)
             anchors = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(p.astype(np.int32)), pa.array(s.astype(np.int32))], names=["p", "s"]))
-            source = [pa.array(v[begins], t, mask=~valid[begins]) for v, t in ((sd, pa.int64()), (sh.astype(np.int32), pa.int32()))]
+            source = [pa.array(v[begins], t, mask=~valid[begins]) for v, t in ((sd, pa.int64()), (sh, pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.select(_KEY).take(pa.array(row[begins])).columns, *source, anchors, f.take(first)], names=[*_KEY, "sd", "sh", "anchors", "f"])
 
-    return of_text.mapInArrow(run, "d long, h int, sd long, sh int, anchors array<struct<p:int,s:int>>, f long")
+    return of_text.mapInArrow(run, "d long, h long, sd long, sh long, anchors array<struct<p:int,s:int>>, f long")
 
 
 def _pairs(docs: DataFrame, frequent: DataFrame, least: int | None = None) -> DataFrame:
@@ -318,10 +317,10 @@ def _both(docs: DataFrame, pairs: DataFrame, repeated: DataFrame | None, share:
         # Of a long text the words around the anchors are enough: what is repeated further off has anchors of its own.
         begin = F.greatest(F.array_min("anchors.p") - AROUND, F.lit(0))
         length = F.array_max("anchors.p") + GRAM_WORDS + AROUND - F.col("begin")
-        dealt = dealt.withColumn("begin", begin).withColumn("words", F.substring("words", 4 * F.col("begin") + 1, 4 * length))
+        dealt = dealt.withColumn("begin", begin).withColumn("words", F.substring("words", 8 * F.col("begin") + 1, 8 * length))
     else:
         dealt = dealt.withColumn("begin", F.lit(0))
-        usual = F.least(F.lit(share[0]), F.greatest(F.lit(1.0), (F.octet_length("words") / 4 - GRAM_WORDS + 1) * 2 / (WINDOW + 1)))
+        usual = F.least(F.lit(share[0]), F.greatest(F.lit(1.0), (F.octet_length("words") / 8 - GRAM_WORDS + 1) * 2 / (WINDOW + 1)))
         dealt = dealt.filter(F.size("anchors") >= share[1] * usual)
     sources = _words_of(docs, pairs.select(F.col("sd").alias("d"), F.col("sh").alias("h")), repeated).select(F.col("d").alias("sd"), F.col("h").alias("sh"), F.col("words").alias("source"))
     sources = sources.join(_small(quoted), ["sd", "sh"], "left")
@@ -331,7 +330,7 @@ def _both(docs: DataFrame, pairs: DataFrame, repeated: DataFrame | None, share:
 
 def _shingles(words: np.ndarray) -> np.ndarray:
     """The different five-word shingles; fewer words are one."""
-    return np.unique(runs_hash(words.astype(np.uint64), min(5, len(words)))) if len(words) else np.zeros(0, np.uint64)
+    return np.unique(runs_hash(words, min(5, len(words)))) if len(words) else np.zeros(0, np.uint64)
 
 
 def _copies(both: DataFrame) -> DataFrame:
@@ -346,7 +345,7 @@ def _copies(both: DataFrame) -> DataFrame:
                 keep.append(100 * shared >= 80 * (len(x) + len(y) - shared))
             yield batch.select(_KEY).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "d long, h int").distinct()
+    return both.mapInArrow(run, "d long, h long").distinct()
 
 
 def dedup(docs: DataFrame, run_words: int = RUN_WORDS, copies: bool = True) -> DataFrame:
@@ -357,8 +356,8 @@ def dedup(docs: DataFrame, run_words: int = RUN_WORDS, copies: bool = True) -> D
     Without copies, rows of texts that are near duplicates of a single earlier text are left out, and nothing is deleted elsewhere because such a text holds it.
     """
     # Only these three columns take part until the end, so other columns may have any names.
-    # h tells texts of one id apart, so 32 bits do.
-    d, h = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))), F.hash(docs["text"])
+    # h tells texts of one id apart, among them all those without an id.
+    d, h = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))), F.xxhash64(docs["text"])
     rest, gone = docs.select(d.alias("d"), h.alias("h"), "text"), None
     frequent = _frequent(rest)
     repeated = saved(rest.groupBy(*_KEY).count().filter("count > 1").select(*_KEY))
