@@ -6,7 +6,7 @@ Every window of WORDS words of a document whose words also stand in a document o
    several documents hold are hashed.
 2. A window that several documents hold is confirmed, and belongs to the first of them. Neighbours of which one always follows the other, wherever either stands, make one phrase: so every
    occurrence of any of its windows is an occurrence of the whole phrase. Phrases are cut from the text of their first document.
-3. Phrases are dealt to shards by their first document, of bounded size; each shard's automaton (Aho-Corasick over word numbers, by pyahocorasick) is compiled in the tasks that need it.
+3. Phrases are dealt to shards by their first document, of bounded size; each shard's automaton (Aho-Corasick over coded words, by pyahocorasick) is compiled in the tasks that need it.
 4. Every document that holds a phrase's first window is streamed through the automata of its shards, which locate all occurrences by their words. What they cover is deleted.
 
 Hashes (64 bits) only find candidates: what is deleted is equal word for word to a text of a smaller id.
@@ -14,8 +14,8 @@ Hashes (64 bits) only find candidates: what is deleted is equal word for word to
 
 from __future__ import annotations
 
-import hashlib
 import math
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -30,8 +30,8 @@ from .line_dedup import fingerprints
 WORDS = 13
 #: Grams, and how many of them make up a window.
 GRAM = 5
-#: Bytes of phrases in a shard, some sixty of memory for each word; and documents that one task streams through it.
-SHARD_BYTES, SHARD_DOCS = 3 << 20, 4_096
+#: Bytes of phrases in a shard, some hundred of memory for each word; documents that one task streams through it; and words of a phrase (longer ones are cut into some that overlap by a window less a word).
+SHARD_BYTES, SHARD_DOCS, PHRASE_WORDS = 3 << 20, 4_096, 4_096
 #: Up to so many rows of some longs are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -118,7 +118,8 @@ def _cut(canonical: DataFrame, n_words: int) -> DataFrame:
                 hashes, _, _, _ = word_hashes(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8), lower=False)
                 every = runs_hash(hashes, n_words).view(np.int64)
                 split, size = raw.split(), 0
-                for a, b in phrases_of(every, w[order], left[order], right[order]):
+                whole = phrases_of(every, w[order], left[order], right[order])
+                for a, b in ((k, min(b, k + PHRASE_WORDS - 1)) for a, b in whole for k in range(a, b + 1, PHRASE_WORDS)):
                     phrase = b" ".join(split[a : b + n_words])
                     for k, v in (("w", int(every[a])), ("first", d), ("part", size // SHARD_BYTES), ("phrase", phrase.decode("utf-8", "surrogatepass"))):
                         out[k].append(v)
@@ -129,26 +130,36 @@ def _cut(canonical: DataFrame, n_words: int) -> DataFrame:
 
 
 class Phrases:
-    """An automaton over numbered words, which gives every occurrence of every phrase in a text."""
+    """An automaton over the words of phrases, which gives every occurrence of every phrase in a text.
+
+    A word is two characters, of which neither has more values than the root of the number of words: few branches at a node are quick to search. Other words are characters that no phrase has.
+    """
 
     def __init__(self):
-        self.numbers: dict[bytes, int] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        self.ready = False
+        self.phrases: list[tuple[list[bytes], int]] = []
+        self.automaton, self.codes = None, {}
 
     def add(self, phrase: bytes, first: int) -> None:
-        key = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in phrase.split())
-        self.automaton.add_word(key, (len(key), first))
+        self.phrases.append((phrase.split(), first))
+
+    def _compile(self) -> None:
+        known = dict.fromkeys(w for phrase, _ in self.phrases for w in phrase)
+        base = math.isqrt(len(known)) + 1
+        self.codes = {w: chr(1 + i // base) + chr(1 + base + i % base) for i, w in enumerate(known)}
+        self.automaton = ahocorasick.Automaton()
+        for phrase, first in self.phrases:
+            self.automaton.add_word("".join([self.codes[w] for w in phrase]), (len(phrase), first))
+        self.automaton.make_automaton()
+        self.phrases = []
 
     def occurrences(self, text: bytes):
         """first word, end and first document of each occurrence."""
-        if not self.ready:
-            self.automaton.make_automaton()
-            self.ready = True
-        if self.numbers:
-            numbers = self.numbers
-            for last, (n, first) in self.automaton.iter(tuple([numbers.get(w, 0) for w in text.split()])):
-                yield last - n + 1, last + 1, first
+        if self.automaton is None:
+            self._compile()
+        if self.codes:
+            for last, (n, first) in self.automaton.iter("".join(map(self.codes.get, text.split(), repeat("\0\0")))):
+                end = (last + 1) // 2
+                yield end - n, end, first
 
 
 def united(runs: list[tuple[int, int]]) -> list[dict]:

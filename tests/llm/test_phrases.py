@@ -70,6 +70,7 @@ def test_equals_brute_force(spark, seed, monkeypatch):
     if seed == 2:  # many shards and salts
         monkeypatch.setattr(phrases, "SHARD_BYTES", 500)
         monkeypatch.setattr(phrases, "SHARD_DOCS", 3)
+        monkeypatch.setattr(phrases, "PHRASE_WORDS", 4)
     rows = texts(seed)
     got = result(spark, rows)
     assert got == brute(rows) and sum(r[2] for r in got) > 500
