@@ -11,6 +11,8 @@ from echolith.errors import SignalError
 
 #: Outputs made together: few enough that their windows stay small at the highest source rate.
 _AT_ONCE = 1 << 12
+#: Frames made together: their spectra stay in a core's cache.
+_FRAMES_AT_ONCE = 16
 
 
 def check_shape(rate: int, channels: int) -> None:
@@ -22,6 +24,21 @@ def check_shape(rate: int, channels: int) -> None:
         raise SignalError("invalid", "channel count must be greater than 0")
 
 
+def frame_count(n: int) -> int:
+    """How many whole frames n samples hold."""
+    return 0 if n < FRAME_SIZE else (n - FRAME_SIZE) // HOP_SIZE + 1
+
+
+def window_samples(window_ms: int | None, interval_ms: int | None) -> tuple[int, int]:
+    """Length and step of windows in samples; a SignalError for unusable ones (a missing value counts as 0)."""
+    length, step = ((ms or 0) * TARGET_RATE // 1000 for ms in (window_ms, interval_ms))
+    if length < FRAME_SIZE:
+        raise SignalError("invalid", f"Window too short: {length} samples, need at least {FRAME_SIZE}")
+    if step == 0:
+        raise SignalError("invalid", "Window interval must be greater than 0")
+    return length, step
+
+
 def downmix(samples: np.ndarray, channels: int) -> np.ndarray:
     """Interleaved float32 or int16 samples as the mean over channels; a partial frame at the end is dropped."""
     channels = max(1, channels)
@@ -47,6 +64,7 @@ class Resampler:
         angle = np.pi * t / self.half
         filters = np.where(inside, np.sinc(2 * cutoff * t) * (0.42 + 0.5 * np.cos(angle) + 0.08 * np.cos(2 * angle)), 0.0)
         self.filters = filters.astype(np.float32) * (1 / filters.sum(axis=1, keepdims=True)).astype(np.float32)
+        self.by_tap = np.ascontiguousarray(self.filters.T)
 
     def length(self, frames: int) -> int:
         return int(np.floor(frames / self.ratio))
@@ -71,16 +89,14 @@ class Resampler:
             there = slice(max(0, low), max(0, min(high, len(source))))
             if there.stop > there.start:
                 seen[there.start - low : there.stop - low] = source[there]
-            product = self.filters[phase] * np.lib.stride_tricks.sliding_window_view(seen, self.taps)[index - low]
-            # Four running sums in order, then the rest: float32 addition in this order is part of the format.
-            whole = self.taps // 4 * 4
-            lanes = np.zeros((len(product), 4), np.float32)
-            for k in range(0, whole, 4):
-                lanes += product[:, k : k + 4]
-            rest = np.zeros(len(product), np.float32)
-            for k in range(whole, self.taps):
-                rest += product[:, k]
-            parts.append((lanes[:, 0] + lanes[:, 1]) + (lanes[:, 2] + lanes[:, 3]) + rest)
+            # Four running sums in order, then the rest: float32 addition in this order is part of the format. Tap by tap, so that all work is on short arrays.
+            whole, index = self.taps // 4 * 4, index - low
+            sums = np.zeros((5, len(index)), np.float32)
+            for k in range(self.taps):
+                tap = self.by_tap[k].take(phase)
+                tap *= seen[k:].take(index)
+                sums[k % 4 if k < whole else 4] += tap
+            parts.append((sums[0] + sums[1]) + (sums[2] + sums[3]) + sums[4])
         return np.concatenate(parts)
 
 
@@ -113,16 +129,16 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def chroma(samples: np.ndarray, first: int = 0, end: int | None = None) -> np.ndarray:
     """Frames first to end of a signal at the target rate: twelve pitch-class energies of unit length each (zeros for silence)."""
-    count = 0 if len(samples) < FRAME_SIZE else (len(samples) - FRAME_SIZE) // HOP_SIZE + 1
+    count = frame_count(len(samples))
     end = count if end is None else min(end, count)
     hann, bins, starts = _tables()
     sizes = np.diff(np.append(starts, len(bins))).astype(np.float32)
     out = [np.zeros((0, PITCH_CLASSES), np.float32)]
-    for at in range(first, end, 256):
-        frames = np.lib.stride_tricks.sliding_window_view(samples[at * HOP_SIZE : (min(end, at + 256) - 1) * HOP_SIZE + FRAME_SIZE], FRAME_SIZE)[::HOP_SIZE]
-        spectrum = np.fft.rfft(frames * hann, axis=1)
+    for at in range(first, end, _FRAMES_AT_ONCE):
+        frames = np.lib.stride_tricks.sliding_window_view(samples[at * HOP_SIZE : (min(end, at + _FRAMES_AT_ONCE) - 1) * HOP_SIZE + FRAME_SIZE], FRAME_SIZE)[::HOP_SIZE]
+        spectrum = np.fft.rfft(frames * hann, axis=1).take(bins, axis=1)
         magnitude = np.sqrt(spectrum.real**2 + spectrum.imag**2).astype(np.float32)
-        energy = np.add.reduceat((magnitude * magnitude)[:, bins], starts, axis=1).astype(np.float32) / sizes
+        energy = np.add.reduceat(magnitude * magnitude, starts, axis=1).astype(np.float32) / sizes
         norm = np.sqrt((energy * energy).sum(axis=1, dtype=np.float32))[:, None]
         out.append(np.where(norm > 1e-6, energy / np.maximum(norm, np.float32(1e-30)), energy).astype(np.float32))
     return np.concatenate(out)

@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echolith.constants import FRAME_SIZE, HOP_SIZE, TARGET_RATE
+from echolith.constants import FRAME_SIZE, HOP_SIZE
 from echolith.errors import SignalError
 from echolith.functions import dsp, scoring
 from echolith.sources.wave import decode
@@ -80,18 +80,14 @@ class DecodeAudio:
 
 
 class SigWindows:
-    """window_idx, timestamp_ms, duration_ms, hashes, code and message: a row for each complete window of a blob, or one with its error."""
+    """window_idx, timestamp_ms, duration_ms, hashes, code and message: a row for each complete window of a blob, or one with its error; null arguments count as 0."""
 
     schema = "window_idx long, timestamp_ms long, duration_ms long, hashes array<long>, code string, message string"
 
     def eval(self, content: bytes, window_ms: int, interval_ms: int) -> Iterator[tuple]:
         try:
             mono = _signal(content)
-            length, step = window_ms * TARGET_RATE // 1000, interval_ms * TARGET_RATE // 1000
-            if length < FRAME_SIZE:
-                raise SignalError("invalid", f"Window too short: {length} samples, need at least {FRAME_SIZE}")
-            if step == 0:
-                raise SignalError("invalid", "Window interval must be greater than 0")
+            length, step = dsp.window_samples(window_ms, interval_ms)
             hashes = dsp.frame_hashes(dsp.chroma(mono))
             for k, start in enumerate(range(0, len(mono) - length + 1, step)):
                 first, last = -(-start // HOP_SIZE), (start + length - FRAME_SIZE) // HOP_SIZE

@@ -174,11 +174,8 @@ class WindowProcessor(_Processor):
     columns = ["stream_id", "epoch", "window_idx", "timestamp_ms", "duration_ms", "hashes"]
 
     def __init__(self, window_ms: int, interval_ms: int):
-        self.window_ms, self.length, self.step = window_ms, window_ms * TARGET_RATE // 1000, interval_ms * TARGET_RATE // 1000
-        if self.length < FRAME_SIZE:
-            raise SignalError("invalid", f"Window too short: {self.length} samples, need at least {FRAME_SIZE}")
-        if self.step == 0:
-            raise SignalError("invalid", "Window interval must be greater than 0")
+        self.window_ms = window_ms
+        self.length, self.step = dsp.window_samples(window_ms, interval_ms)
 
     def due(self, key: str, at: Signal) -> list[tuple]:
         return [(key, at.epoch, i, ms_for_samples(start), self.window_ms, h.tolist()) for i, start, h in at.take_windows(self.length, self.step)]
