@@ -6,6 +6,7 @@ Hash sequences are derived from keys: the parts of an order in line order, or th
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -15,8 +16,11 @@ from pyspark.sql import functions as F
 from echolith import constants, sql
 from echolith.functions import codec, containers, dsp, grid, hashing, scoring, statistics
 from echolith.operators import signatures as ops
+from echolith.operators.chunks import chunk_blocks
 from echolith.operators.matcher import Matcher
+from echolith.sources import files
 from echolith.sources.wave import encode_wave
+from echolith.sources.wave_files import read_chunks
 from echolith.streaming import signal
 
 QUERIES: dict = {}
@@ -219,6 +223,16 @@ def price_statistics(spark, sf_dir):
     return _table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(*[(F.round(x, digits[k]) if k in digits else x).alias(k) for k, x in found.items()])
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local session without one gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    return folder.rstrip("/")
+
+
 #: The rate that a document's bytes are played at; a text of average length then lasts some seconds.
 BYTE_RATE = 1_000
 
@@ -267,6 +281,18 @@ def wave_shapes(spark, sf_dir):
     return blocks.select("id", "n_samples", grid.ms_for_samples(F.col("n_samples")).alias("duration_ms"), F.size(grid.windows(F.col("n_samples"), 1_500, 500)).cast("long").alias("n_windows"))
 
 
+@query("wave_files", """WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents)
+SELECT doc_id::VARCHAR AS id, n AS n_source, greatest(1, (n + 2047) // 2048) AS n_chunks, floor(n / (1000 / 11025.0::DOUBLE))::BIGINT AS n_samples FROM d""")
+def wave_files(spark, sf_dir):
+    """The documents' wave blobs written as files, read again as chunks by ranges of bytes, and resampled over these: what every recording has."""
+    folder = f"{_shared(spark)}/waves-{uuid.uuid4()}"
+    files.write_blobs(_waves(spark, sf_dir), folder).write.format("noop").mode("overwrite").save()
+    read = read_chunks(spark, folder, 1 << 14, 2_048).withColumn("id", F.element_at(F.split("id", "/"), -1))
+    found = read.groupBy("id").agg(F.max("n_source").alias("n_source"), F.count("*").alias("n_chunks"))
+    blocks = chunk_blocks(read).groupBy("id").agg(F.max("n_samples").alias("n_samples"))
+    return found.join(blocks, "id")
+
+
 @query("stream_windows")
 def stream_windows(spark, sf_dir):
     """The same windows from streams: the documents' bytes pushed in chunks through keyed state, and flushed at the end."""
@@ -278,12 +304,7 @@ def stream_windows(spark, sf_dir):
     pcm = F.unhex(F.regexp_replace(F.substring("raw", F.col("k") * (2 * size) + 1, F.lit(2 * size)), "(..)", "00$1"))
     op = F.when(F.col("k") == F.col("n"), "flush").otherwise("push")
     chunks = chunks.select("stream_id", F.col("k").cast("long").alias("chunk_seq"), op.alias("op"), F.lit("i16").alias("format"), F.lit(BYTE_RATE).cast("long").alias("sample_rate"), F.lit(1).alias("channels"), pcm.alias("pcm"))
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-    folder = f"{folder.rstrip('/')}/stream-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    folder = f"{_shared(spark)}/stream-{uuid.uuid4()}"
     chunks.write.parquet(f"{folder}/chunks")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

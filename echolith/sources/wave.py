@@ -19,26 +19,43 @@ class Audio:
     channels: int
 
 
-def decode_wave(blob: bytes) -> Audio:
-    """Format and data chunks of a RIFF/WAVE blob; of several the last counts, and the outer size is not read."""
-    if len(blob) < 12:
+@dataclass
+class Layout:
+    """Where the samples of a RIFF/WAVE file lie, and what they are."""
+
+    kind: int
+    bits: int
+    rate: int
+    channels: int
+    begin: int
+    count: int  # samples, of all channels together
+
+    @property
+    def width(self) -> int:
+        return self.bits // 8
+
+
+def wave_layout(read: Callable[[int, int], bytes], size: int) -> Layout:
+    """The layout of a file of size bytes, of which read(offset, n) gives some: format and data chunks, of several the last; the outer size is not read. Only chunk heads are looked at."""
+    head = read(0, 12)
+    if len(head) < 12:
         raise SignalError("decode", "truncated RIFF/WAVE header")
-    if blob[:4] != b"RIFF" or blob[8:12] != b"WAVE":
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         raise SignalError("decode", "no WAVE tag found")
     form = data = None
     at = 12
-    while at + 8 <= len(blob):
-        name, size = blob[at : at + 4], struct.unpack_from("<I", blob, at + 4)[0]
-        begin, end = at + 8, at + 8 + size
-        if end > len(blob):
+    while at + 8 <= size:
+        name, n = struct.unpack("<4sI", read(at, 8))
+        begin, end = at + 8, at + 8 + n
+        if end > size:
             raise SignalError("decode", "truncated WAV chunk")
         if name == b"fmt ":
-            if size < 16:
+            if n < 16:
                 raise SignalError("decode", "truncated WAV fmt chunk")
-            form = struct.unpack_from("<HHI6xH", blob, begin)
+            form = struct.unpack("<HHI6xH", read(begin, 16))
         elif name == b"data":
             data = (begin, end)
-        at = end + size % 2
+        at = end + n % 2
     if form is None:
         raise SignalError("decode", "missing WAV fmt chunk")
     if data is None:
@@ -48,24 +65,31 @@ def decode_wave(blob: bytes) -> Audio:
         raise SignalError("unsupported", "unsupported WAV channel count: 0")
     if bits == 0 or bits % 8:
         raise SignalError("unsupported", f"Unsupported WAV format: {bits} bit")
-    count = (data[1] - data[0]) // (bits // 8)
-    raw = memoryview(blob)[data[0] : data[0] + count * (bits // 8)]
-    if not count:
-        samples = np.zeros(0, np.float32)  # formats are judged by their first sample only
-    elif (kind, bits) == (1, 8):
-        samples = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / np.float32(128)
-    elif (kind, bits) == (1, 16):
-        samples = np.frombuffer(raw, "<i2").astype(np.float32) / np.float32(1 << 15)
-    elif (kind, bits) == (1, 24):
+    return Layout(kind, bits, rate, channels, data[0], (data[1] - data[0]) // (bits // 8))
+
+
+def wave_samples(of: Layout, raw: bytes | memoryview) -> np.ndarray:
+    """Raw samples as float32."""
+    if not len(raw):
+        return np.zeros(0, np.float32)  # formats are judged by their first sample only
+    if (of.kind, of.bits) == (1, 8):
+        return (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / np.float32(128)
+    if (of.kind, of.bits) == (1, 16):
+        return np.frombuffer(raw, "<i2").astype(np.float32) / np.float32(1 << 15)
+    if (of.kind, of.bits) == (1, 24):
         b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-        samples = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8).astype(np.float32) / np.float32(1 << 23)
-    elif (kind, bits) == (1, 32):
-        samples = np.frombuffer(raw, "<i4").astype(np.float32) / np.float32(1 << 31)
-    elif (kind, bits) == (3, 32):
-        samples = np.frombuffer(raw, "<f4").astype(np.float32)
-    else:
-        raise SignalError("unsupported", f"Unsupported WAV format: {bits} bit")
-    return Audio(samples, rate, channels)
+        return ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8).astype(np.float32) / np.float32(1 << 23)
+    if (of.kind, of.bits) == (1, 32):
+        return np.frombuffer(raw, "<i4").astype(np.float32) / np.float32(1 << 31)
+    if (of.kind, of.bits) == (3, 32):
+        return np.frombuffer(raw, "<f4").astype(np.float32)
+    raise SignalError("unsupported", f"Unsupported WAV format: {of.bits} bit")
+
+
+def decode_wave(blob: bytes) -> Audio:
+    """All samples of a RIFF/WAVE blob."""
+    of = wave_layout(lambda at, n: blob[at : at + n], len(blob))
+    return Audio(wave_samples(of, memoryview(blob)[of.begin : of.begin + of.count * of.width]), of.rate, of.channels)
 
 
 def encode_wave(samples: np.ndarray, rate: int, channels: int) -> bytes:
