@@ -262,13 +262,13 @@ def _pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _table(spark, sf_dir, "part")
     rate = F.when(F.col("p_partkey") % 5 == 0, 0).otherwise(F.col("p_partkey") * 1000).cast("long")
     op = F.when(F.col("p_partkey") % 7 == 0, "flush").otherwise("push")
-    return part.select(F.col("p_partkey").cast("string").alias("stream_id"), F.lit(0).cast("long").alias("chunk_seq"), op.alias("op"), rate.alias("sample_rate"), (F.col("p_size") % 3).cast("int").alias("channels"))
+    return part.select(F.col("p_partkey").cast("string").alias("stream_id"), F.lit(0).cast("long").alias("chunk_seq"), op.alias("op"), F.when(F.col("p_partkey") % 2 == 0, "i16").otherwise("f32").alias("format"), rate.alias("sample_rate"), (F.col("p_size") % 3).cast("int").alias("channels"))
 
 
 @query("chunk_errors", """WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_partkey * 1000 END AS rate, p_size % 3 AS channels FROM part WHERE p_partkey % 7 <> 0)
 SELECT p_partkey::VARCHAR AS stream_id, 0::BIGINT AS chunk_seq, 'invalid' AS code,
 CASE WHEN rate = 0 THEN 'sample rate must be greater than 0' WHEN rate > 384000 THEN 'sample rate must be at most 384000 Hz' ELSE 'channel count must be greater than 0' END AS message
-FROM p WHERE rate = 0 OR rate > 384000 OR channels = 0""")
+FROM p WHERE (rate = 0 OR rate > 384000 OR channels = 0) AND NOT (p_partkey % 2 = 1 AND channels = 0)""")
 def chunk_errors(spark, sf_dir):
     return signal.chunk_errors(_pushes(spark, sf_dir))
 
@@ -317,7 +317,7 @@ def stream_windows(spark, sf_dir):
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
         else:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    return spark.read.schema(signal.WINDOWS).parquet(f"{folder}/out").select("stream_id", "window_idx", "timestamp_ms", F.array_join("hashes", ",").alias("hashes"))
+    return spark.read.schema(signal.WINDOWS).parquet(f"{folder}/out").filter("code is null").select("stream_id", "window_idx", "timestamp_ms", F.array_join("hashes", ",").alias("hashes"))
 
 
 @query("version", f"SELECT '{constants.VERSION}' AS version, count(*) AS n_documents FROM documents")

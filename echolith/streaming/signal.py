@@ -1,7 +1,7 @@
 """Incremental signatures in Structured Streaming.
 
 Rows of a stream carry chunk_seq, the only clock: chunks are applied in this order whatever order they arrive in, early ones wait in the state, and repeated ones are dropped. State per
-stream is bounded by the resampler's reach, less than a frame of samples, and the frames that a hash or window can still need.
+stream is bounded by the resampler's reach, less than a frame of samples, the frames that a hash or window can still need, and so many early chunks. What cannot be used gives a row with code and message.
 """
 
 from __future__ import annotations
@@ -18,11 +18,16 @@ from echolith.constants import DEFAULT_INTERVAL_MS, DEFAULT_WINDOW_MS, FRAME_SIZ
 from echolith.errors import SignalError
 from echolith.functions import dsp, grid
 
-#: op is push, flush or reset; format is i16 or f32 (little-endian, interleaved). The first chunk of a stream fixes its rate, and the channels of its i16 chunks.
+#: op is open, push, flush or reset; format is i16 or f32 (little-endian, interleaved). An open row, or else the first push of usable shape, fixes a stream's rate and the channels of its i16 chunks; later rows may leave
+#: the rate out. A further open row starts the stream anew (in the next epoch). Before a stream is open, flush and reset do nothing. Float chunks without channels are not there.
 CHUNKS = "stream_id string, chunk_seq long, op string, format string, sample_rate long, channels int, pcm binary"
-HASHES = "stream_id string, epoch long, hash_idx long, hash long, duration_ms long"
-WINDOWS = "stream_id string, epoch long, window_idx long, timestamp_ms long, duration_ms long, hashes array<long>"
-_STATE = "rate long, channels int, history binary, history_start long, next_output long, pending binary, frames binary, first_frame long, total long, next_start long, emitted long, epoch long, next_seq long"
+#: Rows with a code are errors of the chunk chunk_seq; in others chunk_seq, code and message are null.
+_FAULT = "chunk_seq long, code string, message string"
+HASHES = f"stream_id string, epoch long, hash_idx long, hash long, duration_ms long, {_FAULT}"
+WINDOWS = f"stream_id string, epoch long, window_idx long, timestamp_ms long, duration_ms long, hashes array<long>, {_FAULT}"
+#: So many chunks of a stream wait at most; with more, those that are missing before the first of them are given up.
+EARLY_CHUNKS = 1_024
+_STATE = "rate long, channels int, kept binary, kept_from long, made long, pending binary, frames binary, first_frame long, total long, next_start long, emitted long, epoch long, next_seq long"
 
 
 def ms_for_samples(n: int) -> int:
@@ -33,23 +38,27 @@ class Signal:
     """One stream's state, and what chunks do to it."""
 
     def __init__(self, rate: int, channels: int):
-        self.rate, self.channels, self.epoch, self.next_seq = rate, channels, 0, 0
+        self.epoch = self.next_seq = 0
+        self.open(rate, channels)
+
+    def open(self, rate: int, channels: int) -> None:
+        self.rate, self.channels = rate, channels
         self._clear()
 
     def _clear(self) -> None:
-        self.history, self.pending = np.zeros(0, np.float32), np.zeros(0, np.float32)
+        self.kept, self.pending = np.zeros(0, np.float32), np.zeros(0, np.float32)
         self.frames = np.zeros((0, PITCH_CLASSES), np.float32)
-        self.history_start = self.next_output = self.first_frame = self.total = self.next_start = self.emitted = 0
+        self.kept_from = self.made = self.first_frame = self.total = self.next_start = self.emitted = 0
 
     def packed(self) -> tuple:
-        return (self.rate, self.channels, self.history.tobytes(), self.history_start, self.next_output, self.pending.tobytes(), self.frames.tobytes(), self.first_frame, self.total, self.next_start, self.emitted, self.epoch, self.next_seq)
+        return (self.rate, self.channels, self.kept.tobytes(), self.kept_from, self.made, self.pending.tobytes(), self.frames.tobytes(), self.first_frame, self.total, self.next_start, self.emitted, self.epoch, self.next_seq)
 
     @classmethod
     def unpacked(cls, row) -> Signal:
         out = cls(row[0], row[1])
-        out.history, out.pending = np.frombuffer(row[2], np.float32), np.frombuffer(row[5], np.float32)
+        out.kept, out.pending = np.frombuffer(row[2], np.float32), np.frombuffer(row[5], np.float32)
         out.frames = np.frombuffer(row[6], np.float32).reshape(-1, PITCH_CLASSES)
-        out.history_start, out.next_output = row[3], row[4]
+        out.kept_from, out.made = row[3], row[4]
         out.first_frame, out.total, out.next_start, out.emitted, out.epoch, out.next_seq = row[7:13]
         return out
 
@@ -68,27 +77,27 @@ class Signal:
         if self.rate == TARGET_RATE:
             return self._frame(mono)
         bank = dsp.resampler(self.rate)
-        self.history = np.concatenate([self.history, mono])
-        have = self.history_start + len(self.history)
-        end = max(self.next_output, int((have - bank.half) / bank.ratio) - 1)
+        self.kept = np.concatenate([self.kept, mono])
+        have = self.kept_from + len(self.kept)
+        end = max(self.made, int((have - bank.half) / bank.ratio) - 1)
         while bank.last_source(end) < have:
             end += 1
-        while end > self.next_output and bank.last_source(end - 1) >= have:
+        while end > self.made and bank.last_source(end - 1) >= have:
             end -= 1
-        out = bank.outputs(self.history, self.history_start, self.next_output, end)
-        self.next_output = end
-        drop = min(max(0, bank.first_source(end) - self.history_start), len(self.history))
-        self.history, self.history_start = self.history[drop:], self.history_start + drop
+        out = bank.outputs(self.kept, self.kept_from, self.made, end)
+        self.made = end
+        drop = min(max(0, bank.first_source(end) - self.kept_from), len(self.kept))
+        self.kept, self.kept_from = self.kept[drop:], self.kept_from + drop
         return self._frame(out)
 
     def _release(self) -> None:
         """Outputs that still lack right context, with silence for it; later chunks start without left context."""
         if self.rate != TARGET_RATE:
             bank = dsp.resampler(self.rate)
-            have = self.history_start + len(self.history)
-            end = max(self.next_output, bank.length(have))
-            out = bank.outputs(self.history, self.history_start, self.next_output, end)
-            self.next_output, self.history, self.history_start = end, self.history[:0], have
+            have = self.kept_from + len(self.kept)
+            end = max(self.made, bank.length(have))
+            out = bank.outputs(self.kept, self.kept_from, self.made, end)
+            self.made, self.kept, self.kept_from = end, self.kept[:0], have
             self._frame(out)
 
     def _frame(self, samples: np.ndarray) -> None:
@@ -118,44 +127,90 @@ class Signal:
         return out
 
 
+def _number(x) -> int:
+    """A whole number that may be missing."""
+    return 0 if x is None or x != x else int(x)
+
+
 class _Processor(StatefulProcessor):
-    """Applies a stream's chunks in order and gives what has become due."""
+    """Applies a stream's chunks in order and gives what has become due.
+
+    With idle_ms the state of a stream without rows for so long is removed; chunks that were waiting then are applied first.
+    """
+
+    idle_ms: int | None = None
+    early_chunks = EARLY_CHUNKS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.signal = handle.getValueState("signal", _STATE)
         self.early = handle.getMapState("early", "seq long", "op string, format string, rate long, channels int, pcm binary")
 
+    def _applied(self, key: str, at: Signal, seq: int, chunk: tuple) -> list[tuple]:
+        """The rows that a chunk makes due, or one with its error. A stream that is not open yet has the rate 0."""
+        op, form, rate, channels, pcm = chunk
+        if op == "push" and form == "f32" and channels == 0:
+            return []
+        try:
+            if op == "open" or (op == "push" and at.rate == 0):
+                dsp.check_shape(rate, channels)
+                again = at.rate != 0
+                at.open(rate, channels)
+                if again:
+                    at.epoch += 1
+            if at.rate == 0 or op == "open":
+                return []
+            at.apply(op, form, channels, pcm)
+            return [(*row, None, None, None) for row in self.due(key, at)]
+        except SignalError as e:
+            return [self._fault(key, at, seq, e)]
+
+    def _fault(self, key: str, at: Signal, seq: int, error: SignalError) -> tuple:
+        return (key, at.epoch, *[None] * (len(self.columns) - 5), seq, error.code, error.message)
+
+    def _drained(self, key: str, at: Signal, waiting: dict[int, tuple], most: int) -> list[tuple]:
+        """What chunks give that are next in order; missing ones are given up while more than most are waiting."""
+        out, seqs = [], {r[0] for r in self.early.keys()}
+        while seqs or waiting:
+            if at.next_seq not in waiting and at.next_seq not in seqs:
+                if len(seqs | waiting.keys()) <= most:
+                    break
+                first = min(seqs | waiting.keys())
+                out.append(self._fault(key, at, at.next_seq, SignalError("invalid", f"chunks {at.next_seq} to {first - 1} are missing")))
+                at.next_seq = first
+            seq = at.next_seq
+            chunk = waiting.pop(seq, None)
+            if seq in seqs:
+                chunk = chunk or self.early.getValue((seq,))
+                self.early.removeKey((seq,))
+                seqs.discard(seq)
+            out += self._applied(key, at, seq, chunk)
+            at.next_seq = seq + 1
+        for seq, chunk in waiting.items():
+            self.early.updateValue((seq,), chunk)
+        return out
+
+    def _state(self) -> Signal:
+        return Signal.unpacked(self.signal.get()) if self.signal.exists() else Signal(0, 0)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at = Signal.unpacked(self.signal.get()) if self.signal.exists() else None
-        waiting: dict[int, tuple] = {}
-        due = at.next_seq if at else 0
+        at, waiting = self._state(), {}
         for frame in rows:
             for r in frame.itertuples(index=False):
-                if r.chunk_seq >= due:
-                    waiting.setdefault(int(r.chunk_seq), (r.op, r.format, int(r.sample_rate or 0), int(r.channels or 0), r.pcm))
-        out = []
-        while True:
-            if due in waiting:
-                chunk = waiting.pop(due)
-            elif self.early.containsKey((due,)):
-                chunk = self.early.getValue((due,))
-                self.early.removeKey((due,))
-            else:
-                break
-            if at is None:
-                at = Signal(chunk[2], chunk[3])
-            try:
-                dsp.check_shape(at.rate, at.channels)
-                at.apply(chunk[0], chunk[1], chunk[3], chunk[4])
-                out += self.due(key[0], at)
-            except SignalError:
-                pass  # a stream of unusable shape gives nothing here; chunk_errors() has its rows
-            due += 1
-            at.next_seq = due
-        for seq, chunk in waiting.items():
-            self.early.updateValue((seq,), chunk)
-        if at is not None:
-            self.signal.update(at.packed())
+                if r.chunk_seq >= at.next_seq:
+                    waiting.setdefault(int(r.chunk_seq), (r.op, r.format, _number(r.sample_rate), _number(r.channels), r.pcm))
+        out = self._drained(key[0], at, waiting, self.early_chunks)
+        self.signal.update(at.packed())
+        if self.idle_ms:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = self._state()
+        out = self._drained(key[0], at, {}, 0)
+        self.signal.clear()
         yield pd.DataFrame(out, columns=self.columns)
 
     def close(self) -> None:
@@ -163,7 +218,10 @@ class _Processor(StatefulProcessor):
 
 
 class HashProcessor(_Processor):
-    columns = ["stream_id", "epoch", "hash_idx", "hash", "duration_ms"]
+    columns = ["stream_id", "epoch", "hash_idx", "hash", "duration_ms", "chunk_seq", "code", "message"]
+
+    def __init__(self, idle_ms: int | None = None):
+        self.idle_ms = idle_ms
 
     def due(self, key: str, at: Signal) -> list[tuple]:
         first, now = at.emitted, ms_for_samples(at.total)
@@ -171,10 +229,10 @@ class HashProcessor(_Processor):
 
 
 class WindowProcessor(_Processor):
-    columns = ["stream_id", "epoch", "window_idx", "timestamp_ms", "duration_ms", "hashes"]
+    columns = ["stream_id", "epoch", "window_idx", "timestamp_ms", "duration_ms", "hashes", "chunk_seq", "code", "message"]
 
-    def __init__(self, window_ms: int, interval_ms: int):
-        self.window_ms = window_ms
+    def __init__(self, window_ms: int, interval_ms: int, idle_ms: int | None = None):
+        self.window_ms, self.idle_ms = window_ms, idle_ms
         self.length, self.step = dsp.window_samples(window_ms, interval_ms)
 
     def due(self, key: str, at: Signal) -> list[tuple]:
@@ -182,17 +240,22 @@ class WindowProcessor(_Processor):
 
 
 def chunk_errors(chunks: DataFrame) -> DataFrame:
-    """stream_id, chunk_seq, code, message of the chunks whose rate or channel count is unusable, of a stream or a table of CHUNKS. Flush and reset rows have no shape."""
+    """stream_id, chunk_seq, code, message of the open rows and pushes whose own rate or channel count is unusable, of a stream or a table of CHUNKS. Float chunks without channels are not there, and no errors."""
     error = grid.shape_error(F.coalesce("sample_rate", F.lit(0)), F.coalesce("channels", F.lit(0)))
-    found = chunks.filter("op = 'push'").select("stream_id", "chunk_seq", error.alias("e"))
+    shaped = F.col("op").isin("open", "push") & ~((F.col("op") == "push") & (F.col("format") == "f32") & (F.coalesce("channels", F.lit(0)) == 0))
+    found = chunks.filter(shaped).select("stream_id", "chunk_seq", error.alias("e"))
     return found.filter("e is not null").select("stream_id", "chunk_seq", "e.code", "e.message")
 
 
-def stream_hashes(chunks: DataFrame) -> DataFrame:
-    """HASHES rows of a stream of CHUNKS; duration_ms is that of the signal so far."""
-    return chunks.groupBy("stream_id").transformWithStateInPandas(HashProcessor(), HASHES, "append", "none")
+def _streamed(chunks: DataFrame, processor: _Processor, schema: str) -> DataFrame:
+    return chunks.groupBy("stream_id").transformWithStateInPandas(processor, schema, "append", "processingTime" if processor.idle_ms else "none")
+
+
+def stream_hashes(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """HASHES rows of a stream of CHUNKS; duration_ms is that of the signal so far. With idle_ms the state of a stream that has had no rows for so long is removed."""
+    return _streamed(chunks, HashProcessor(idle_ms), HASHES)
 
 
-def stream_windows(chunks: DataFrame, window_ms: int = DEFAULT_WINDOW_MS, interval_ms: int = DEFAULT_INTERVAL_MS) -> DataFrame:
+def stream_windows(chunks: DataFrame, window_ms: int = DEFAULT_WINDOW_MS, interval_ms: int = DEFAULT_INTERVAL_MS, idle_ms: int | None = None) -> DataFrame:
     """WINDOWS rows of a stream of CHUNKS, equal to those of the whole signal."""
-    return chunks.groupBy("stream_id").transformWithStateInPandas(WindowProcessor(window_ms, interval_ms), WINDOWS, "append", "none")
+    return _streamed(chunks, WindowProcessor(window_ms, interval_ms, idle_ms), WINDOWS)

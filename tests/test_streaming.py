@@ -1,6 +1,7 @@
 """Streams equal the whole signal, for any chunks and any order of arrival."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,8 +75,121 @@ def test_streaming_query_equals_batch(spark, tmp_path):
         q.awaitTermination(120)
     blocks = ops.sample_blocks(spark.createDataFrame([("s", (x.astype(np.float32) / 32768).tolist())], "id string, samples array<float>"))
     want = {(r.window_idx, r.timestamp_ms, tuple(r.hashes)) for r in ops.windowed(blocks, 2000, 500).collect()}
-    got = spark.table("windows").collect()
+    faults = [tuple(r) for r in spark.table("windows").filter("code is not null").select("stream_id", "chunk_seq", "code", "message", "hashes").collect()]
+    assert faults == [("bad", 0, "invalid", "sample rate must be greater than 0", None)]
+    got = spark.table("windows").filter("code is null").collect()
     assert {(r.window_idx, r.timestamp_ms, tuple(r.hashes)) for r in got} == want and len(got) == len(want) == 9
     whole = ops.signatures(blocks).first().hashes
-    found = [r.hash for r in spark.table("hashes").orderBy(F.col("hash_idx")).collect()]
+    found = [r.hash for r in spark.table("hashes").filter("code is null").orderBy(F.col("hash_idx")).collect()]
     assert found == whole[: len(found)] and len(whole) - len(found) in (0, 1)
+
+
+class Held:
+    """State in memory, in the place of Spark's."""
+
+    def __init__(self):
+        self.values, self.timers = {}, []
+
+    def getValueState(self, name, schema):
+        outer = self
+
+        class Value:
+            exists = lambda self: name in outer.values
+            get = lambda self: outer.values[name]
+            update = lambda self, v: outer.values.__setitem__(name, v)
+            clear = lambda self: outer.values.pop(name, None)
+
+        return Value()
+
+    def getMapState(self, name, key, value):
+        held = self.values.setdefault(name, {})
+
+        class Map:
+            keys = lambda self: list(held)
+            getValue = lambda self, k: held[k]
+            updateValue = lambda self, k, v: held.__setitem__(k, v)
+            removeKey = lambda self, k: held.pop(k)
+
+        return Map()
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def driven(rows, processor=None, held=None):
+    """All result rows and error rows of one stream whose chunks (seq, op, format, rate, channels, pcm) arrive in one batch each."""
+    held = held or Held()
+    processor = processor or signal.HashProcessor()
+    processor.init(held)
+    found = []
+    for row in rows:
+        frame = pd.DataFrame([("s", *row)], columns=["stream_id", "chunk_seq", "op", "format", "sample_rate", "channels", "pcm"])
+        for out in processor.handleInputRows(("s",), iter([frame]), None):
+            found += out.itertuples(index=False)
+    return [r for r in found if r.code is None], [(int(r.chunk_seq), r.message) for r in found if r.code is not None]
+
+
+LOUD = sine(11025, 4).tobytes()
+
+
+def test_control_rows_before_a_stream_is_open():
+    plain, _ = driven([(0, "push", "f32", 11025, 1, LOUD)])
+    assert len(plain) > 10
+    for before in [(0, "flush", "f32", 0, 0, None)], [(0, "reset", None, None, None, None)], [(0, "push", "f32", 11025, 0, b"")], [(0, "open", "i16", 11025, 1, None)]:
+        got, faults = driven([*before, (1, "push", "f32", 11025, 1, LOUD)])
+        assert [r.hash for r in got] == [r.hash for r in plain] and faults == []
+
+
+def test_unusable_chunks_have_one_row_each():
+    rows = [(0, "push", "i16", float("nan"), 1, b"ab"), (1, "open", "f32", 400_000, 1, None), (2, "push", "i16", 11025, 0, b"ab"), (3, "open", None, 11025, 1, None), (4, "push", "f32", float("nan"), 1, LOUD)]
+    got, faults = driven(rows)
+    assert [r.hash for r in got] == [r.hash for r in driven([(0, "push", "f32", 11025, 1, LOUD)])[0]]
+    assert faults == [(0, "sample rate must be greater than 0"), (1, "sample rate must be at most 384000 Hz"), (2, "channel count must be greater than 0")]
+
+
+def test_a_second_open_row_starts_anew():
+    got, faults = driven([(0, "push", "f32", 11025, 1, LOUD), (1, "open", None, 22050, 1, None), (2, "push", "f32", None, 1, sine(22050, 4).tobytes())])
+    assert faults == [] and {r.epoch for r in got} == {0, 1} and min(r.hash_idx for r in got if r.epoch == 1) == 0
+    assert [r.hash for r in got if r.epoch == 1] == [r.hash for r in driven([(0, "push", "f32", 22050, 1, sine(22050, 4).tobytes())])[0]]
+
+
+def test_missing_chunks_are_given_up():
+    processor = signal.HashProcessor()
+    processor.early_chunks = 2
+    got, faults = driven([(0, "open", None, 11025, 1, None), (2, "push", "f32", None, 1, LOUD[:40_000]), (3, "push", "f32", None, 1, LOUD[40_000:]), (9, "flush", None, None, None, None)], processor)
+    assert faults == [(1, "chunks 1 to 1 are missing")] and [r.hash for r in got] == [r.hash for r in driven([(0, "push", "f32", 11025, 1, LOUD)])[0]]
+
+
+def test_idle_streams_leave_no_state():
+    class Now:
+        def getCurrentProcessingTimeInMs(self):
+            return 1_000
+
+    held, processor = Held(), signal.HashProcessor(50)
+    processor.init(held)
+    rows = [("s", 0, "open", None, 11025, 1, None), ("s", 2, "push", "f32", None, 1, LOUD)]
+    frame = pd.DataFrame(rows, columns=["stream_id", "chunk_seq", "op", "format", "sample_rate", "channels", "pcm"])
+    assert all(out.empty for out in processor.handleInputRows(("s",), iter([frame]), Now()))
+    assert held.timers == [1_050] and held.values["early"]
+    found = [r for out in processor.handleExpiredTimer(("s",), Now(), None) for r in out.itertuples(index=False)]
+    assert [r.message for r in found if r.code] == ["chunks 1 to 1 are missing"] and sum(r.code is None for r in found) > 10
+    assert held.values == {"early": {}}
+
+
+def test_timers_run_in_a_query(spark, tmp_path):
+    """Two runs of one query: the first stream is idle by the second, so its number 1 is no longer next."""
+    src, out = str(tmp_path / "chunks"), str(tmp_path / "out")
+    for name, seq in (("a", 0), ("b", 0), ("a", 0)):
+        spark.createDataFrame([(name, seq, "push", "f32", 11025, 1, bytearray(LOUD))], signal.CHUNKS).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(signal.CHUNKS).parquet(src)
+        q = signal.stream_hashes(stream, idle_ms=1).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    rows = spark.read.parquet(out).groupBy("stream_id").count().collect()
+    counts = {r.stream_id: r["count"] for r in rows}
+    assert counts["a"] == 2 * counts["b"] > 0  # a second chunk 0 of a stream that is forgotten opens it again
