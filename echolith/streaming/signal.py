@@ -252,7 +252,8 @@ def _streamed(chunks: DataFrame, processor: _Processor, schema: str) -> DataFram
 
 
 def stream_hashes(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """HASHES rows of a stream of CHUNKS; duration_ms is that of the signal so far. With idle_ms the state of a stream that has had no rows for so long is removed."""
+    """HASHES rows of a stream of CHUNKS; duration_ms is that of the signal so far. With idle_ms the state of a stream that has had no rows for so long is removed; such a query needs a
+    processing-time trigger, as one that ends when all is read waits for its timers."""
     return _streamed(chunks, HashProcessor(idle_ms), HASHES)
 
 

@@ -1,5 +1,7 @@
 """Streams equal the whole signal, for any chunks and any order of arrival."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -183,13 +185,19 @@ def test_idle_streams_leave_no_state():
 
 
 def test_timers_run_in_a_query(spark, tmp_path):
-    """Two runs of one query: the first stream is idle by the second, so its number 1 is no longer next."""
-    src, out = str(tmp_path / "chunks"), str(tmp_path / "out")
-    for name, seq in (("a", 0), ("b", 0), ("a", 0)):
-        spark.createDataFrame([(name, seq, "push", "f32", 11025, 1, bytearray(LOUD))], signal.CHUNKS).coalesce(1).write.mode("append").parquet(src)
-        stream = spark.readStream.schema(signal.CHUNKS).parquet(src)
-        q = signal.stream_hashes(stream, idle_ms=1).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-    rows = spark.read.parquet(out).groupBy("stream_id").count().collect()
-    counts = {r.stream_id: r["count"] for r in rows}
-    assert counts["a"] == 2 * counts["b"] > 0  # a second chunk 0 of a stream that is forgotten opens it again
+    """A stream that was idle is forgotten, so a second chunk 0 of it opens it again."""
+    src = str(tmp_path / "chunks")
+    put = lambda name: spark.createDataFrame([(name, 0, "push", "f32", 11025, 1, bytearray(LOUD))], signal.CHUNKS).coalesce(1).write.mode("append").parquet(src)
+    count = lambda name: spark.table("idle").filter(F.col("stream_id") == name).count()
+    put("a")
+    stream = spark.readStream.schema(signal.CHUNKS).parquet(src)
+    q = signal.stream_hashes(stream, idle_ms=1).writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start()
+    try:
+        deadline = time.time() + 60
+        for name, want in (("b", lambda: count("b") > 0), ("a", lambda: count("a") == 2 * count("b"))):
+            put(name)
+            while not want() and time.time() < deadline:
+                time.sleep(1)
+        assert count("a") == 2 * count("b") > 0
+    finally:
+        q.stop()
