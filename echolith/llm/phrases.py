@@ -20,10 +20,10 @@ from itertools import repeat
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, slices, table, word_count, words
+from .common import SPACE_RUN, SPACES, saved, slices, table
 from .hashing import runs_hash, text_groups, word_hashes
 from .line_dedup import fingerprints
 
@@ -204,19 +204,17 @@ def _located(dealt: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, f"d long, h long, earlier {_RUNS}, all {_RUNS}")
 
 
-def _text_key() -> Column:
-    return F.unhex(F.md5("text"))
-
-
 def repeats(docs: DataFrame, n_words: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """(classes, runs): t, first, last of the texts (t: their MD5) that stand under several ids; and d, h, earlier, all: of each text (the least id that holds it, and its hash) the runs of words (start, end)
+    """(members, runs): d, h, first, last of the texts (id and hash) that stand under several ids, by their MD5; and d, h, earlier, all: of each text (the least id that holds it, and its hash) the runs of words (start, end)
     that stand in documents before d, and those that a later holder of the same text repeats.
 
     docs needs doc_id and text. Null ids and null texts have no part in it.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), _text_key().alias("t"), "text").filter("d is not null and text is not null")
-    classes = saved(rows.groupBy("t").agg(F.min("d").alias("first"), F.max("d").alias("last")).filter("first < last"))
-    texts = rows.join(_small(classes), "t", "left").filter("first is null or d = first").select("d", "h", F.coalesce("last", "d").alias("last"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text").filter("d is not null and text is not null")
+    keyed = rows.withColumn("t", F.md5("text")).drop("text")
+    classes = saved(keyed.groupBy("t").agg(F.min("d").alias("first"), F.max("d").alias("last")).filter("first < last"))
+    members = saved(keyed.join(_small(classes), "t").select(*_KEY, "first", "last").distinct())
+    texts = rows.join(_small(members), _KEY, "left").filter("first is null or d = first").select("d", "h", F.coalesce("last", "d").alias("last"), "text")
     places = _places(texts, n_words)
     shared = saved(places.groupBy("f").agg(F.min("d").alias("first"), F.max("last").alias("last")).filter("first < last").select("f"))
     marks = saved(places.select("f", "d", "h", "p").join(shared, "f").groupBy(*_KEY).agg(F.collect_set("p").alias("places")))
@@ -238,7 +236,7 @@ def repeats(docs: DataFrame, n_words: int = WORDS) -> tuple[DataFrame, DataFrame
     copies = phrases.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("first").alias("d"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("last"), F.col("phrase").alias("text"))
     dealt = copies.unionByName(streamed).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
     runs = _located(dealt).groupBy(*_KEY).agg(F.flatten(F.collect_list("earlier")).alias("earlier"), F.flatten(F.collect_list("all")).alias("all"))
-    return classes, saved(runs)
+    return members, saved(runs)
 
 
 def dedup(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
@@ -249,11 +247,11 @@ def dedup(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
     """
     if not 1 <= n_words <= 32:
         raise ValueError("windows have 1 to 32 words")
-    classes, runs = repeats(docs, n_words)
+    members, runs = repeats(docs, n_words)
     # Only names that docs has not take part, so its columns may have any.
     own = lambda df, names: df.select(*[F.col(c).alias(f"__{c}") for c in names])
-    rows = docs.withColumns({"__id": docs["doc_id"].cast("long"), "__h": F.xxhash64(docs["text"]), "__t": _text_key()})
-    rows = rows.join(own(_small(classes), ("t", "first")), "__t", "left").withColumn("__d", F.coalesce("__first", "__id"))
+    rows = docs.withColumns({"__id": docs["doc_id"].cast("long"), "__h": F.xxhash64(docs["text"])})
+    rows = rows.join(_small(members).select(F.col("d").alias("__id"), F.col("h").alias("__h"), F.col("first").alias("__first")), ["__id", "__h"], "left").withColumn("__d", F.coalesce("__first", "__id"))
     found = rows.join(own(_small(runs), (*_KEY, "earlier", "all")), ["__d", "__h"], "left")
     gone = F.when(F.col("__id") == F.col("__d"), F.col("__earlier")).otherwise(F.col("__all"))
     return found.select(*[c for c in docs.columns if c != "gone"], gone.alias("gone"))
@@ -263,7 +261,9 @@ def without(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
     """All columns of docs, then n_words, n_removed (long) and kept (string): its words, those that dedup() deletes, and those that stay with one space between (named so even if docs has them)."""
     deduped, counts = dedup(docs, n_words), ("gone", "n_words", "n_removed", "kept")
     rest = [c for c in docs.columns if c not in counts]
-    whole = deduped.filter("gone is null or size(gone) = 0").select(*rest, word_count(F.col("text")).alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join(words(F.col("text")), " ").alias("kept"))
+    whole = deduped.filter("gone is null or size(gone) = 0").withColumn("kept", F.regexp_replace(F.trim(F.coalesce("text", F.lit("")), F.lit(SPACES)), SPACE_RUN, " "))
+    count = F.when(F.col("kept") == "", 0).otherwise(F.octet_length("kept") - F.octet_length(F.replace("kept", F.lit(" "))) + 1).cast("long")
+    whole = whole.select(*rest, count.alias("n_words"), F.lit(0).cast("long").alias("n_removed"), "kept")
 
     def run(batches):
         for batch in (part for whole in batches for part in slices(whole)):
