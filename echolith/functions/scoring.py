@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def words_sound(words: Column) -> Column:
+    """Whether all of a sequence are unsigned 32-bit words; false for null, and for a null among them."""
+    return F.coalesce(F.forall(words, lambda w: F.coalesce(w.between(0, (1 << 32) - 1), F.lit(False))), F.lit(False))
+
+
 def _score(bits: Column, count: Column) -> Column:
     """bits / (32 count) rounded once to float; 0 without a shared position."""
     ratio = F.when(count < 524_288, (bits.cast("double") / (count * 32)).cast("float")).otherwise((bits.cast("float") / (count * 32).cast("float")).cast("float"))
@@ -16,13 +21,14 @@ def _score(bits: Column, count: Column) -> Column:
 
 
 def at_offset(a: Column, b: Column, offset: Column | int) -> Column:
-    """(score, best_offset, compared_hashes, matching_bits) with offset leading hashes of a left out (of b, if negative)."""
+    """(score, best_offset, compared_hashes, matching_bits) with offset leading hashes of a left out (of b, if negative); null if a sequence is null or holds anything but unsigned 32-bit words."""
     offset = (offset if isinstance(offset, Column) else F.lit(offset)).cast("int")
     skip_a, skip_b = F.greatest(offset, F.lit(0)), F.greatest(-offset, F.lit(0))
     count = F.greatest(F.least(F.size(a) - skip_a, F.size(b) - skip_b), F.lit(0))
     agreed = F.zip_with(F.slice(a, skip_a + 1, count), F.slice(b, skip_b + 1, count), lambda x, y: F.lit(32) - F.bit_count(x.bitwiseXOR(y)))
     bits = F.aggregate(agreed, F.lit(0).cast("long"), lambda s, x: s + x)
-    return F.struct(_score(bits, count).alias("score"), offset.alias("best_offset"), count.cast("long").alias("compared_hashes"), bits.alias("matching_bits"))
+    found = F.struct(_score(bits, count).alias("score"), offset.alias("best_offset"), count.cast("long").alias("compared_hashes"), bits.alias("matching_bits"))
+    return F.when(words_sound(a) & words_sound(b), found)
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -71,20 +77,35 @@ def flat(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.int64), *column]).astype(np.int64), sizes
 
 
+#: Pairs of a batch are compared with so many hashes together (or one longer pair) at a time: some 40 bytes each while they are.
+CUT_HASHES = 1 << 20
+
+
+def compare_columns(a: pd.Series, b: pd.Series, drift: pd.Series) -> pd.DataFrame:
+    """score, best_offset, compared_hashes and matching_bits of a batch of pairs; null where a part is null or a sequence holds anything but unsigned 32-bit words."""
+    sound = lambda h: h is not None and (len(h) == 0 or bool(((np.asarray(h, np.float64) >= 0) & (np.asarray(h, np.float64) < 1 << 32)).all()))
+    there = np.flatnonzero(a.map(sound).to_numpy(bool) & b.map(sound).to_numpy(bool) & drift.notna().to_numpy())
+    ends = np.cumsum([len(a.iloc[i]) + len(b.iloc[i]) for i in there])
+    found, at = [], 0
+    while at < len(there):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CUT_HASHES, "right")))
+        rows = there[at:end]
+        cut = compare_flat(*flat(a.iloc[rows]), *flat(b.iloc[rows]), drift.iloc[rows].to_numpy(np.int64))
+        found.append(pd.DataFrame(dict(zip(_COMPARISON.names, cut, strict=True)), index=a.index[rows]))
+        at = end
+    return pd.concat(found).reindex(a.index) if found else pd.DataFrame(index=a.index, columns=_COMPARISON.names, dtype=float)
+
+
 _COMPARISON = T.StructType([T.StructField("score", T.FloatType()), T.StructField("best_offset", T.IntegerType()), T.StructField("compared_hashes", T.LongType()), T.StructField("matching_bits", T.LongType())])
 
 
 @F.pandas_udf(_COMPARISON)
 def _compared(a: pd.Series, b: pd.Series, drift: pd.Series) -> pd.DataFrame:
-    """The comparison of every pair of a batch; a null sequence gives nulls."""
-    there = (a.notna() & b.notna() & drift.notna()).to_numpy()
-    found = compare_flat(*flat(a[there]), *flat(b[there]), drift[there].to_numpy(np.int64))
-    out = pd.DataFrame(dict(zip(("score", "best_offset", "compared_hashes", "matching_bits"), found, strict=True)), index=a.index[there])
-    return out.reindex(a.index)
+    return compare_columns(a, b, drift)
 
 
 def drift_comparison(a: Column, b: Column, max_drift: Column | int) -> Column:
-    """The best comparison over offsets 0, +1, -1, ... up to max_drift and both lengths; of equal scores the earliest offset counts. Without hashes on either side all is 0."""
+    """The best comparison over offsets 0, +1, -1, ... up to max_drift and both lengths; of equal scores the earliest offset counts. Without hashes on either side all is 0; all is null for a null sequence or one that holds anything but unsigned 32-bit words."""
     drift = (max_drift if isinstance(max_drift, Column) else F.lit(max_drift)).cast("int")
     return _compared(a, b, drift)
 

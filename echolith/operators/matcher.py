@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from echolith.functions import scoring
@@ -21,7 +21,7 @@ FAN_IN = 16
 
 
 def _packed(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """Rows put together, up to most hashes: lists of the keys, the sizes of the sequences and their hashes one after another. Rows without hashes (null) take no part."""
+    """Rows put together, up to most hashes: lists of the keys, the sizes of the sequences and their hashes one after another. Rows without hashes (null), or with anything but unsigned 32-bit words among them, take no part."""
     names = [*keys, "sizes", "flat"]
 
     def run(batches):
@@ -50,7 +50,7 @@ def _packed(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
             yield out()
 
     kinds = ", ".join(f"{k} array<{rows.schema[k].dataType.simpleString()}>" for k in keys)
-    return rows.select(*keys, "hashes").filter("hashes is not null").mapInArrow(run, f"{kinds}, sizes array<int>, flat array<bigint>")
+    return rows.select(*keys, "hashes").filter(scoring.words_sound(F.col("hashes"))).mapInArrow(run, f"{kinds}, sizes array<int>, flat array<bigint>")
 
 
 def _padded(flat: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
@@ -100,6 +100,12 @@ def compare_all(q: np.ndarray, q_sizes: np.ndarray, c: np.ndarray, c_sizes: np.n
             best(i, block[take], score[take], offset[take])
 
 
+def total_order(timestamps: np.ndarray) -> np.ndarray:
+    """Integers in the total order of floats: -0.0 before 0.0, NaN with its sign first or last of all (a null counts as NaN)."""
+    bits = timestamps.astype(np.float32).view(np.int32)
+    return bits ^ ((bits >> 31) & np.int32(0x7FFFFFFF))
+
+
 @dataclass(frozen=True)
 class Matcher:
     """An immutable set of checkpoints (ckpt_seq long, timestamp float, duration float, hashes array of long) with a drift."""
@@ -121,9 +127,9 @@ class Matcher:
         return self.checkpoints.agg(F.count("*").alias("n"))
 
     def top(self, queries: DataFrame, k: int) -> DataFrame:
-        """query_id, rank, timestamp, score, best_offset: the k best checkpoints of each query (query_id, hashes), by score, then timestamp, then ckpt_seq.
+        """query_id, rank, timestamp, score, best_offset: the k best checkpoints of each query (query_id, hashes), by score, then timestamp (in total_order), then ckpt_seq.
 
-        Every query is compared with every checkpoint. Checkpoints are packed by bytes where they lie, and each pack meets the queries, in packs too; the lists of k are merged in a tree.
+        Every query is compared with every checkpoint. Checkpoints are packed by bytes where they lie, and each pack meets the queries, in packs too; of their lists the first k are taken in two steps.
         """
         drift = self.max_drift
         c = _packed(self.checkpoints.select("ckpt_seq", "timestamp", "hashes"), ["ckpt_seq", "timestamp"], PACK_HASHES).withColumn("pack", F.monotonically_increasing_id())
@@ -138,7 +144,8 @@ class Matcher:
                 for at in range(batch.num_rows):
                     of = {name: batch.column(name)[at].values.to_numpy(zero_copy_only=False) for name in ("ckpt_seq", "timestamp", "sizes", "flat", "q_sizes", "q_flat")}
                     order = np.empty(len(of["sizes"]), np.int64)
-                    order[np.lexsort((of["ckpt_seq"], of["timestamp"]))] = np.arange(len(order))
+                    keys = total_order(of["timestamp"])
+                    order[np.lexsort((of["ckpt_seq"], keys))] = np.arange(len(order))
                     found = []
                     compare_all(of["q_flat"], of["q_sizes"], of["flat"], of["sizes"], drift, k, order, lambda i, c, s, o: found.append((np.full(len(c), i), c, s, o)))  # noqa: B023
                     i, c, s, o = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
@@ -146,12 +153,13 @@ class Matcher:
                     first = np.searchsorted(i[keep], i[keep])
                     keep = keep[np.arange(len(keep)) - first < k]
                     ids = batch.column("query_id")[at].values.take(pa.array(i[keep]))
-                    yield pa.RecordBatch.from_arrays([ids, *[pa.array(x) for x in (of["ckpt_seq"][c[keep]], of["timestamp"][c[keep]].astype(np.float32), s[keep].astype(np.float32), o[keep].astype(np.int32))], pa.array(np.full(len(keep), batch.column("pack")[at].as_py(), np.int64))], names=["query_id", "ckpt_seq", "timestamp", "score", "best_offset", "pack"])
+                    yield pa.RecordBatch.from_arrays([ids, *[pa.array(x) for x in (of["ckpt_seq"][c[keep]], of["timestamp"][c[keep]].astype(np.float32), keys[c[keep]], s[keep].astype(np.float32), o[keep].astype(np.int32))], pa.array(np.full(len(keep), batch.column("pack")[at].as_py(), np.int64))], names=["query_id", "ckpt_seq", "timestamp", "order_key", "score", "best_offset", "pack"])
 
         kind = queries.schema["query_id"].dataType.simpleString()
-        lists = pairs.mapInArrow(run, f"query_id {kind}, ckpt_seq long, timestamp float, score float, best_offset int, pack long")
-        item = F.struct((-F.col("score")).alias("minus"), "timestamp", "ckpt_seq", "best_offset")
-        for group in (F.pmod(F.xxhash64("pack"), F.lit(FAN_IN * FAN_IN)), F.pmod(F.col("pack"), F.lit(FAN_IN)), F.lit(0).cast("long")):
-            merged = lists.groupBy("query_id", group.alias("pack")).agg(F.slice(F.sort_array(F.collect_list(item)), 1, k).alias("best"))
-            lists = merged.select("query_id", "pack", F.posexplode("best").alias("pos", "x")).select("query_id", "pack", "pos", "x.timestamp", "x.ckpt_seq", "x.best_offset", (-F.col("x.minus")).alias("score"))
-        return lists.select("query_id", (F.col("pos") + 1).alias("rank"), "timestamp", "score", "best_offset")
+        lists = pairs.mapInArrow(run, f"query_id {kind}, ckpt_seq long, timestamp float, order_key int, score float, best_offset int, pack long")
+        # Each task that holds lists keeps the k best of a query before anything is sent; sorted, so no list is held whole.
+        best = [F.desc("score"), "order_key", "ckpt_seq"]
+        for groups in (FAN_IN * FAN_IN, 1):
+            first = Window.partitionBy("query_id", "pack").orderBy(*best)
+            lists = lists.withColumn("pack", F.pmod("pack", F.lit(groups))).withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
+        return lists.select("query_id", "rank", "timestamp", "score", "best_offset")

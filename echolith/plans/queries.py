@@ -5,7 +5,6 @@ Hash sequences are derived from keys: the parts of an order in line order, or th
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -15,10 +14,13 @@ from pyspark.sql import functions as F
 
 from echolith import constants, sql
 from echolith.functions import codec, containers, dsp, grid, hashing, scoring, statistics
+from echolith.operators import segments
 from echolith.operators import signatures as ops
 from echolith.operators.chunks import chunk_blocks
 from echolith.operators.matcher import Matcher
+from echolith.operators.store import CheckpointStore
 from echolith.sources import files
+from echolith.sources.shared import kept, shared_folder
 from echolith.sources.wave import encode_wave
 from echolith.sources.wave_files import read_chunks
 from echolith.streaming import signal
@@ -105,6 +107,34 @@ def matcher_add_count(spark, sf_dir):
     return m.count().select(F.lit("added").alias("step"), "n").union(m.clear().count().select(F.lit("cleared"), "n"))
 
 
+@query("checkpoint_store", """WITH u AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS k, count(*) AS n FROM events GROUP BY user_id), c AS (SELECT count(*) AS m FROM u)
+SELECT 2 * m + k AS ckpt_seq, user_id, n, 2 * m AS n_before, 2 * m AS n_after FROM u, c UNION ALL SELECT 3 * m + (m - 1 - k), user_id, n, 2 * m, 2 * m FROM u, c""")
+def checkpoint_store(spark, sf_dir):
+    """Every user's checkpoint added twice, cleared, and added twice again, upwards and downwards: the numbers that the store gives, and how many there were before and after."""
+    rows = _checkpoints(spark, sf_dir).select(F.col("ckpt_seq").alias("user_id"), F.col("ckpt_seq").cast("float").alias("timestamp"), "duration", "hashes")
+    store = CheckpointStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4()}")
+    before = store.add(rows).add(rows, ["user_id"]).count()
+    store.clear().add(rows, ["user_id"]).add(rows.withColumn("down", -F.col("user_id")), ["down"])
+    found = store.checkpoints().select("ckpt_seq", F.col("timestamp").cast("long").alias("user_id"), F.size("hashes").cast("long").alias("n"))
+    return found.withColumns({"n_before": F.lit(before).cast("long"), "n_after": F.lit(store.count()).cast("long")})
+
+
+@query("long_comparison", """WITH s AS MATERIALIZED (SELECT l_returnflag AS id, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS pos, (l_partkey * 2654435761) % 4294967296 AS h FROM lineitem),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id), p AS (SELECT x.id || ' ' || y.id AS pair_id, x.id AS a, y.id AS b, x.n AS n_a, y.n AS n_b, d FROM n AS x JOIN n AS y ON x.id <= y.id, (SELECT unnest(range(-20, 21)) AS d)),
+x AS MATERIALIZED (SELECT pair_id, d, n_a, n_b, b, pos - d AS pos, h FROM p JOIN s ON s.id = p.a),
+c AS (SELECT pair_id, d, least(n_a - greatest(d, 0), n_b - greatest(-d, 0)) AS n, sum(32 - bit_count(xor(x.h, y.h)))::BIGINT AS bits FROM x JOIN s AS y ON y.id = x.b AND y.pos = x.pos GROUP BY ALL),
+r AS (SELECT *, (bits / (n * 32)::DOUBLE)::FLOAT AS score FROM c)
+SELECT pair_id, score, d::INTEGER AS best_offset, n AS compared_hashes, bits AS matching_bits FROM r
+QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, CASE WHEN d > 0 THEN 2 * d - 1 ELSE -2 * d END) = 1""")
+def long_comparison(spark, sf_dir):
+    """The parts of all lines of each return flag as one sequence, and every two of them (and each with itself) compared over drifts of up to twenty."""
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("id"), "l_orderkey", "l_linenumber", "l_partkey", _hash(F.col("l_partkey")).alias("hash"))
+    found = kept(segments.segments_of(rows, ["l_orderkey", "l_linenumber", "l_partkey"]))
+    flags = found.select("id").distinct()
+    pairs = flags.select(F.col("id").alias("a")).join(flags.select(F.col("id").alias("b")), F.col("a") <= F.col("b"))
+    return segments.compare(pairs.select(F.concat_ws(" ", "a", "b").alias("pair_id"), "a", "b"), found, 20)
+
+
 _LE = "array_to_string(list_transform([{x}, {x} // 256, {x} // 65536, {x} // 16777216], lambda b: printf('%02X', (b % 256)::INTEGER)), '')"
 
 
@@ -223,16 +253,6 @@ def price_statistics(spark, sf_dir):
     return _table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(*[(F.round(x, digits[k]) if k in digits else x).alias(k) for k, x in found.items()])
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local session without one gets a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-    return folder.rstrip("/")
-
-
 #: The rate that a document's bytes are played at; a text of average length then lasts some seconds.
 BYTE_RATE = 1_000
 
@@ -285,7 +305,7 @@ def wave_shapes(spark, sf_dir):
 SELECT doc_id::VARCHAR AS id, n AS n_source, greatest(1, (n + 2047) // 2048) AS n_chunks, floor(n / (1000 / 11025.0::DOUBLE))::BIGINT AS n_samples FROM d""")
 def wave_files(spark, sf_dir):
     """The documents' wave blobs written as files, read again as chunks by ranges of bytes, and resampled over these: what every recording has."""
-    folder = f"{_shared(spark)}/waves-{uuid.uuid4()}"
+    folder = f"{shared_folder(spark)}/waves-{uuid.uuid4()}"
     files.write_blobs(_waves(spark, sf_dir), folder).write.format("noop").mode("overwrite").save()
     read = read_chunks(spark, folder, 1 << 14, 2_048).withColumn("id", F.element_at(F.split("id", "/"), -1))
     found = read.groupBy("id").agg(F.max("n_source").alias("n_source"), F.count("*").alias("n_chunks"))
@@ -304,7 +324,7 @@ def stream_windows(spark, sf_dir):
     pcm = F.unhex(F.regexp_replace(F.substring("raw", F.col("k") * (2 * size) + 1, F.lit(2 * size)), "(..)", "00$1"))
     op = F.when(F.col("k") == F.col("n"), "flush").otherwise("push")
     chunks = chunks.select("stream_id", F.col("k").cast("long").alias("chunk_seq"), op.alias("op"), F.lit("i16").alias("format"), F.lit(BYTE_RATE).cast("long").alias("sample_rate"), F.lit(1).alias("channels"), pcm.alias("pcm"))
-    folder = f"{_shared(spark)}/stream-{uuid.uuid4()}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
     chunks.write.parquet(f"{folder}/chunks")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

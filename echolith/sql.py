@@ -43,9 +43,7 @@ def sig_from_bytes(payload: pd.Series) -> pd.DataFrame:
 
 
 def _scores(a: pd.Series, b: pd.Series, drift: pd.Series) -> pd.Series:
-    there = (a.notna() & b.notna() & drift.notna()).to_numpy()
-    flat = [scoring.flat(x[there]) for x in (a, b)]
-    return pd.Series(scoring.compare_flat(*flat[0], *flat[1], drift[there].to_numpy(np.int64))[0], index=a.index[there]).reindex(a.index)
+    return scoring.compare_columns(a, b, drift)["score"].astype("float32")
 
 
 @F.pandas_udf(T.FloatType())
