@@ -1,9 +1,9 @@
 """Quality rules: base rules of each text, then robust multivariate outliers of its language and source.
 
 The statistics of a text (length, length of its words, of its lines, share of punctuation and of symbols, on scales on which they
-are about normal) form a vector. For every language and source the minimum covariance determinant is sought: starting at
-medians and median deviations, concentration steps take the given share of the vectors that lie nearest and estimate centre and covariance from these
-alone, so outliers (up to the rest) have no say in what counts as usual. The same is sought for every language and for all rows; a group's centre and covariance are
+are about normal) form a vector. For every language and source the minimum covariance determinant is sought: from four
+starts, concentration steps take the given share of the vectors that lie nearest and estimate centre and covariance from these
+alone, so outliers (up to the rest) have no say in what counts as usual; the estimate of the least determinant goes on until it falls no more. The same is sought, in the same passes, for every language and for all rows; a group's centre and covariance are
 drawn towards those of its language, and these towards those of all rows, the more the fewer texts there are, so groups of every size are judged. A text is rejected if its Mahalanobis distance
 to that estimate is beyond a chi-squared quantile.
 """
@@ -29,7 +29,9 @@ CONSISTENT = 1.0 / 0.66
 PRIOR_ROWS = 40
 #: Up to so many groups' estimates (some 200 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
-STEPS = 3
+#: Steps that every start makes, and those that the best one makes beyond them at most.
+FIRST_STEPS = 2
+STEPS = 12
 
 
 def _let(value: Column, f) -> Column:
@@ -78,8 +80,13 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+#: Levels of estimates: all rows, a language, a language and source.
+ALL, LANG, GROUP = 0, 1, 2
+OF = ["level", "key"]
+
+
+def _small(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
 
 
 def _columns(parts: list[str]) -> list[str]:
@@ -87,44 +94,82 @@ def _columns(parts: list[str]) -> list[str]:
     return [f"m_{i}" for i in range(len(parts))] + [f"c_{i}_{j}" for i in range(len(parts)) for j in range(i + 1)]
 
 
-def _moments(rows: DataFrame, key: str, parts: list[str], factor: float) -> DataFrame:
-    """The group's centre m_i and its covariance c_i_j, never narrower than the floors."""
-    cov = [(F.coalesce(F.covar_pop(x, parts[j]), F.lit(0.0)) * factor + (FLOORS[x] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i, x in enumerate(parts) for j in range(i + 1)]
-    return rows.groupBy(key).agg(*[F.avg(x).alias(f"m_{i}") for i, x in enumerate(parts)], *cov)
-
-
 def _factored(estimate: DataFrame, parts: list[str]) -> DataFrame:
-    """estimate with the Cholesky factor l_i_j of its covariance."""
+    """estimate with the Cholesky factor l_i_j of its covariance and the logarithm of its determinant."""
     for i, x in enumerate(parts):
         for j in range(i + 1):
             done = reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}"), range(j), F.col(f"c_{i}_{j}"))  # noqa: B023
             least = F.lit(FLOORS[x] ** 2 / 4)
             estimate = estimate.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(done, least)) if i == j else done / F.col(f"l_{j}_{j}"))
-    return estimate
-
-
-def _estimate(fit: DataFrame, key: str, parts: list[str], half: float, steps: int) -> DataFrame:
-    """key, n and the robust centre and covariance of every group of fit."""
-    rows, p = fit.select(key, *parts), range(len(parts))
-    middle = _small(saved(rows.groupBy(key).agg(F.count("*").alias("n"), *[F.percentile_approx(x, 0.5, 1000).alias(f"m_{i}") for i, x in enumerate(parts)])))
-    spread = rows.join(middle, key).groupBy(key).agg(F.first("n").alias("n"), *[F.first(f"m_{i}").alias(f"m_{i}") for i in p], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 1000).alias(f"s_{i}") for i, x in enumerate(parts)])
-    lower = {f"l_{i}_{j}": F.greatest(1.4826 * F.col(f"s_{i}"), F.lit(FLOORS[x])) if i == j else F.lit(0.0) for i, x in enumerate(parts) for j in range(i + 1)}
-    estimate = saved(spread.withColumns(lower).select(key, "n", *[f"m_{i}" for i in p], *lower))
-    sizes = estimate.select(key, "n")
+    return estimate.withColumn("log_det", reduce(lambda a, b: a + b, [2 * F.log(F.col(f"l_{i}_{i}")) for i in range(len(parts))]))
+
+
+def _covariance(product, parts: list[str], factor: float = CONSISTENT) -> list[Column]:
+    """c_i_j from product(i, j), never narrower than the floors."""
+    return [(F.coalesce(product(i, j), F.lit(0.0)) * factor + (FLOORS[x] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i, x in enumerate(parts) for j in range(i + 1)]
+
+
+def _starts(rows: DataFrame, parts: list[str], few: bool) -> DataFrame:
+    """level, key, n, start and four estimates of every group: medians with median deviations, mean and covariance, and medians with the covariance of signs in space and of hyperbolic tangents, on the scale of the deviations."""
+    p = range(len(parts))
+    middle = _small(saved(rows.groupBy(*OF).agg(F.count("*").alias("n"), *[F.percentile_approx(x, 0.5, 1000).alias(f"m_{i}") for i, x in enumerate(parts)])), few)
+    spread = rows.join(middle, OF).groupBy(*OF).agg(F.first("n").alias("n"), *[F.first(f"m_{i}").alias(f"m_{i}") for i in p], *[F.greatest(1.4826 * F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 1000), F.lit(FLOORS[x])).alias(f"s_{i}") for i, x in enumerate(parts)])
+    spread = saved(spread)
+    scaled = rows.join(_small(spread, few), OF).withColumns({f"u_{i}": (F.col(x) - F.col(f"m_{i}")) / F.col(f"s_{i}") for i, x in enumerate(parts)})
+    norm = F.sqrt(reduce(lambda a, b: a + b, [F.col(f"u_{i}") * F.col(f"u_{i}") for i in p]))
+    scaled = scaled.withColumn("norm", F.when(norm > 0, norm).otherwise(F.lit(1.0))).select(*OF, *parts, *[(F.col(f"u_{i}") / F.col("norm")).alias(f"sign_{i}") for i in p], *[F.tanh(f"u_{i}").alias(f"tanh_{i}") for i in p])
+    mean = lambda kind, i, j: F.avg(F.col(f"{kind}_{i}") * F.col(f"{kind}_{j}")).alias(f"{kind}_{i}_{j}")
+    two = [(i, j) for i in p for j in range(i + 1)]
+    sums = scaled.groupBy(*OF).agg(*[F.avg(x).alias(f"mean_{i}") for i, x in enumerate(parts)], *[F.covar_pop(parts[i], parts[j]).alias(f"cov_{i}_{j}") for i, j in two], *[mean(kind, i, j) for kind in ("sign", "tanh") for i, j in two])
+    scale = lambda i, j: F.col(f"s_{i}") * F.col(f"s_{j}")
+    products = [
+        lambda i, j: scale(i, j) if i == j else F.lit(0.0),
+        lambda i, j: F.col(f"cov_{i}_{j}"),
+        lambda i, j: scale(i, j) * F.col(f"sign_{i}_{j}"),
+        lambda i, j: scale(i, j) * F.col(f"tanh_{i}_{j}"),
+    ]
+    kinds = [F.struct(F.lit(k).alias("start"), *[F.col(f"mean_{i}" if k == 1 else f"m_{i}").alias(f"m_{i}") for i in p], *_covariance(f, parts, 1.0)) for k, f in enumerate(products)]
+    return saved(_factored(spread.join(_small(sums, few), OF).select(*OF, "n", F.inline(F.array(*kinds))), parts))
+
+
+def _concentrated(rows: DataFrame, estimate: DataFrame, parts: list[str], half: float, few: bool) -> DataFrame:
+    """One step: every estimate anew from the share half of its group that lies nearest to it."""
+    of = [*OF, "start"]
+    lower = [c for c in estimate.columns if c.startswith(("m_", "l_")) and c != "log_det"]
+    far = rows.join(_small(estimate.select(*of, *lower), few), OF).withColumn("d", _distance(parts)).select(*of, *parts, "d")
+    edge = saved(far.groupBy(*of).agg(F.percentile_approx("d", half, 1000).alias("edge")))
+    near = far.join(_small(edge, few), of).filter("d <= edge")
+    moments = near.groupBy(*of).agg(*[F.avg(x).alias(f"m_{i}") for i, x in enumerate(parts)], *_covariance(lambda i, j: F.covar_pop(parts[i], parts[j]), parts))
+    sizes = estimate.select(*of, "n")
+    return saved(_factored(moments, parts).join(_small(sizes, few), of))
+
+
+def estimates(rows: DataFrame, parts: list[str], half: float = HALF, steps: int = STEPS, few: bool = True) -> DataFrame:
+    """level, key, n, centre m_i, covariance c_i_j, l_i_j and log_det of every group of rows (level, key and parts): minimum covariance determinant.
+
+    Four starts make FIRST_STEPS steps each; of a group's estimates that of the least determinant (the earliest start, if equal) goes on, until no group's determinant falls by more than a hundredth, or for the given number of steps.
+    """
+    found = _starts(rows, parts, few)
+    for _ in range(FIRST_STEPS):
+        found = _concentrated(rows, found, parts, half, few)
+    names = [c for c in found.columns if c not in OF]
+    least = lambda df: df.groupBy(*OF).agg(F.min_by(F.struct(*names), F.struct("log_det", "start")).alias("x")).select(*OF, "x.*")
+    found = saved(least(found))
     for _ in range(steps):
-        far = rows.join(_small(estimate.drop("n")), key).withColumn("d", _distance(parts)).select(key, *parts, "d")
-        edge = saved(far.groupBy(key).agg(F.percentile_approx("d", half, 1000).alias("edge")))
-        moments = saved(_moments(far.join(_small(edge), key).filter("d <= edge"), key, parts, CONSISTENT))
-        estimate = saved(_factored(moments, parts))
-    return saved(moments.join(sizes, key))
+        new = _concentrated(rows, found, parts, half, few)
+        gain = found.select(*OF, F.col("log_det").alias("before")).join(new, OF).agg(F.max(F.col("before") - F.col("log_det"))).first()[0]
+        found = saved(least(found.unionByName(new)))
+        if gain is None or gain <= 0.01:
+            break
+    return found
 
 
-def _drawn(estimate: DataFrame, above: DataFrame, key: str, parts: list[str], prior_rows: int) -> DataFrame:
+def _drawn(estimate: DataFrame, above: DataFrame, key: str, parts: list[str], prior_rows: int, few: bool) -> DataFrame:
     """estimate with centre and covariance drawn towards those of the level above (by its key)."""
     names = _columns(parts)
     more = F.greatest(F.col("n") - len(parts), F.lit(0))  # so many texts as parts, or fewer, have no covariance of their own
     own = more / (more + prior_rows)
-    joined = estimate.join(_small(above.select(key, *[F.col(x).alias(f"a_{x}") for x in names])), key)
+    joined = estimate.join(_small(above.select(key, *[F.col(x).alias(f"a_{x}") for x in names]), few), key)
     return saved(joined.select(*[c for c in estimate.columns if c not in names], *[(own * F.col(x) + (1 - own) * F.col(f"a_{x}")).alias(x) for x in names]))
 
 
@@ -142,19 +187,22 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, half: float = HALF, steps: in
 
     A null text is an empty one, and fails the base rules. Only texts that pass these enter the estimate of their language and source (null is one of
     each). The estimate of a group of prior_rows texts counts as much as that of its language, a smaller one less; so every text that passes the base rules has a distance (null only where no text of the group passes them). The share half of a
-    group, taken by approximate percentile, is concentrated in the given number of steps. Equal distances go in together. Other columns are ignored; repeated rows count as often as they occur; an
+    group is taken by approximate percentile, in the given number of steps at most once the best start is known. Equal distances go in together. Other columns are ignored; repeated rows count as often as they occur; an
     empty table gives an empty result.
     """
     parts = list(FLOORS)
-    stats = statistics(docs).withColumns({"g": F.xxhash64(F.struct("lang", "source"), F.col("lang").isNull(), F.col("source").isNull()), "l": F.xxhash64("lang", F.col("lang").isNull()), "a": F.lit(0)})
+    stats = statistics(docs).withColumns({"g": F.xxhash64(F.struct("lang", "source"), F.col("lang").isNull(), F.col("source").isNull()), "l": F.xxhash64("lang", F.col("lang").isNull()), "a": F.lit(0).cast("long")})
     stats = saved(stats)
     fit = stats.filter(~F.col("base_failed")).select("g", "l", "a", *parts)
     levels = saved(fit.select("g", "l", "a").distinct())
-    of_all = _estimate(fit, "a", parts, half, steps)
-    of_lang = _estimate(fit, "l", parts, half, steps).join(_small(saved(levels.select("l", "a").distinct())), "l")
-    of_lang = _drawn(of_lang, of_all, "a", parts, prior_rows)
-    of_group = _drawn(_estimate(fit, "g", parts, half, steps).join(_small(levels.select("g", "l")), "g"), of_lang, "l", parts, prior_rows)
-    judged = stats.join(_small(saved(_factored(of_group, parts).drop("l", "n"))), "g", "left").withColumn("distance", _distance(parts))
+    few = 3 * 4 * levels.count() <= BROADCAST_ROWS  # a row for each level and start at most
+    level = lambda k, name: F.struct(F.lit(k).alias("level"), F.col(name).cast("long").alias("key"))
+    rows = fit.select(F.inline(F.array(level(ALL, "a"), level(LANG, "l"), level(GROUP, "g"))), *parts)
+    found = estimates(rows, parts, half, steps, few).select(*OF, "n", *_columns(parts))
+    of_all, of_lang, of_group = (found.filter(F.col("level") == k).drop("level").withColumnRenamed("key", name) for k, name in ((ALL, "a"), (LANG, "l"), (GROUP, "g")))
+    of_lang = _drawn(of_lang.join(_small(levels.select("l", "a").distinct(), few), "l"), of_all, "a", parts, prior_rows, few)
+    of_group = _drawn(of_group.join(_small(levels.select("g", "l"), few), "g"), of_lang, "l", parts, prior_rows, few)
+    judged = stats.join(_small(_factored(of_group, parts).drop("l", "n", "log_det"), few), "g", "left").withColumn("distance", _distance(parts))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
         (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"),
