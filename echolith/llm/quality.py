@@ -109,6 +109,12 @@ def _covariance(product, parts: list[str], factor: float = CONSISTENT) -> list[C
     return [(F.coalesce(product(i, j), F.lit(0.0)) * factor + (FLOORS[x] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i, x in enumerate(parts) for j in range(i + 1)]
 
 
+def _sums(parts: list[str]) -> list[Column]:
+    """Sums of the parts and of their products: a third of the buffers that averages and covariances would need. The parts are distances from a centre, so no digits are lost."""
+    products = [F.sum(F.col(parts[i]) * F.col(parts[j])).alias(f"sum_{i}_{j}") for i in range(len(parts)) for j in range(i + 1)]
+    return [F.sum(x).alias(f"sum_{i}") for i, x in enumerate(parts)] + products
+
+
 def _starts(rows: DataFrame, parts: list[str], few: bool) -> DataFrame:
     """level, key, n, start and four estimates of every group: medians with median deviations, mean and covariance, and medians with the covariance of signs in space and of hyperbolic tangents, on the scale of the deviations."""
     p = range(len(parts))
@@ -117,18 +123,20 @@ def _starts(rows: DataFrame, parts: list[str], few: bool) -> DataFrame:
     spread = saved(spread)
     scaled = rows.join(_small(spread, few), OF).withColumns({f"u_{i}": (F.col(x) - F.col(f"m_{i}")) / F.col(f"s_{i}") for i, x in enumerate(parts)})
     norm = F.sqrt(reduce(lambda a, b: a + b, [F.col(f"u_{i}") * F.col(f"u_{i}") for i in p]))
-    scaled = scaled.withColumn("norm", F.when(norm > 0, norm).otherwise(F.lit(1.0))).select(*OF, *parts, *[(F.col(f"u_{i}") / F.col("norm")).alias(f"sign_{i}") for i in p], *[F.tanh(f"u_{i}").alias(f"tanh_{i}") for i in p])
-    mean = lambda kind, i, j: F.avg(F.col(f"{kind}_{i}") * F.col(f"{kind}_{j}")).alias(f"{kind}_{i}_{j}")
+    scaled = scaled.withColumn("norm", F.when(norm > 0, norm).otherwise(F.lit(1.0))).select(*OF, *[F.col(f"u_{i}").alias(x) for i, x in enumerate(parts)], *[(F.col(f"u_{i}") / F.col("norm")).alias(f"sign_{i}") for i in p], *[F.tanh(f"u_{i}").alias(f"tanh_{i}") for i in p])
+    both = lambda kind, i, j: F.sum(F.col(f"{kind}_{i}") * F.col(f"{kind}_{j}")).alias(f"{kind}_{i}_{j}")
     two = [(i, j) for i in p for j in range(i + 1)]
-    sums = scaled.groupBy(*OF).agg(*[F.avg(x).alias(f"mean_{i}") for i, x in enumerate(parts)], *[F.covar_pop(parts[i], parts[j]).alias(f"cov_{i}_{j}") for i, j in two], *[mean(kind, i, j) for kind in ("sign", "tanh") for i, j in two])
+    sums = scaled.groupBy(*OF).agg(*_sums(parts), *[both(kind, i, j) for kind in ("sign", "tanh") for i, j in two])
     scale = lambda i, j: F.col(f"s_{i}") * F.col(f"s_{j}")
+    share = lambda name: F.col(name) / F.col("n")
+    mean = lambda i: F.col(f"m_{i}") + F.col(f"s_{i}") * share(f"sum_{i}")
     products = [
         lambda i, j: scale(i, j) if i == j else F.lit(0.0),
-        lambda i, j: F.col(f"cov_{i}_{j}"),
-        lambda i, j: scale(i, j) * F.col(f"sign_{i}_{j}"),
-        lambda i, j: scale(i, j) * F.col(f"tanh_{i}_{j}"),
+        lambda i, j: scale(i, j) * (share(f"sum_{i}_{j}") - share(f"sum_{i}") * share(f"sum_{j}")),
+        lambda i, j: scale(i, j) * share(f"sign_{i}_{j}"),
+        lambda i, j: scale(i, j) * share(f"tanh_{i}_{j}"),
     ]
-    kinds = [F.struct(F.lit(k).alias("start"), *[F.col(f"mean_{i}" if k == 1 else f"m_{i}").alias(f"m_{i}") for i in p], *_covariance(f, parts, 1.0)) for k, f in enumerate(products)]
+    kinds = [F.struct(F.lit(k).alias("start"), *[(mean(i) if k == 1 else F.col(f"m_{i}")).alias(f"m_{i}") for i in p], *_covariance(f, parts, 1.0)) for k, f in enumerate(products)]
     return saved(_factored(spread.join(_small(sums, few), OF).select(*OF, "n", F.inline(F.array(*kinds))), parts))
 
 
@@ -136,12 +144,16 @@ def _concentrated(rows: DataFrame, estimate: DataFrame, parts: list[str], half:
     """One step: every estimate anew from the share half of its group that lies nearest to it."""
     of = [*OF, "start"]
     lower = [c for c in estimate.columns if c.startswith(("m_", "l_")) and c != "log_det"]
-    far = rows.join(_small(estimate.select(*of, *lower), few), OF).withColumn("d", _distance(parts)).select(*of, *parts, "d")
+    away = [(F.col(x) - F.col(f"m_{i}")).alias(x) for i, x in enumerate(parts)]
+    far = rows.join(_small(estimate.select(*of, *lower), few), OF).withColumn("d", _distance(parts)).select(*of, *away, "d")
     edge = saved(far.groupBy(*of).agg(F.percentile_approx("d", half, 1000).alias("edge")))
     near = far.join(_small(edge, few), of).filter("d <= edge")
-    moments = near.groupBy(*of).agg(*[F.avg(x).alias(f"m_{i}") for i, x in enumerate(parts)], *_covariance(lambda i, j: F.covar_pop(parts[i], parts[j]), parts))
-    sizes = estimate.select(*of, "n")
-    return saved(_factored(moments, parts).join(_small(sizes, few), of))
+    sums = near.groupBy(*of).agg(F.count("*").alias("taken"), *_sums(parts))
+    known = sums.join(_small(estimate.select(*of, "n", *[F.col(f"m_{i}").alias(f"old_{i}") for i in range(len(parts))]), few), of)
+    share = lambda name: F.col(name) / F.col("taken")
+    moved = [(F.col(f"old_{i}") + share(f"sum_{i}")).alias(f"m_{i}") for i in range(len(parts))]
+    cov = _covariance(lambda i, j: share(f"sum_{i}_{j}") - share(f"sum_{i}") * share(f"sum_{j}"), parts)
+    return saved(_factored(known.select(*of, "n", *moved, *cov), parts))
 
 
 def estimates(rows: DataFrame, parts: list[str], half: float = HALF, steps: int = STEPS, few: bool = True) -> DataFrame:
