@@ -16,6 +16,7 @@ from echolith import constants, sql
 from echolith.functions import codec, containers, dsp, grid, hashing, scoring, statistics
 from echolith.operators import segments
 from echolith.operators import signatures as ops
+from echolith.operators.bit_index import CheckpointIndex
 from echolith.operators.chunks import chunk_blocks
 from echolith.operators.matcher import Matcher
 from echolith.operators.store import CheckpointStore
@@ -88,18 +89,52 @@ def _checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CHECKPOINTS = "c AS (SELECT user_id AS ckpt_seq, (user_id % 7)::FLOAT AS timestamp, list((event_id * 2654435761) % 4294967296 ORDER BY event_id) AS hashes FROM events GROUP BY user_id)"
 
 
-@query("checkpoint_topk", f"""WITH {_CHECKPOINTS},
+_TOP = f"""WITH {_CHECKPOINTS},
 e AS (SELECT q.ckpt_seq AS query_id, c.ckpt_seq, c.timestamp, d, q.hashes[1 + greatest(d, 0):] AS x, c.hashes[1 + greatest(-d, 0):] AS y FROM c AS q, c, (SELECT unnest(range(-2, 3)) AS d) WHERE q.ckpt_seq % 20 = 0 AND abs(d) <= least(len(q.hashes), len(c.hashes))),
 s AS (SELECT query_id, ckpt_seq, timestamp, d, CASE WHEN least(len(x), len(y)) = 0 THEN 0 ELSE list_sum(list_transform(range(1, least(len(x), len(y)) + 1), lambda i: 32 - bit_count(xor(x[i], y[i])))) / (least(len(x), len(y)) * 32)::DOUBLE END::FLOAT AS score FROM e),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id, ckpt_seq ORDER BY score DESC, CASE WHEN d > 0 THEN 2 * d - 1 ELSE -2 * d END) AS k FROM s),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, timestamp, ckpt_seq) AS rank FROM b WHERE k = 1)
-SELECT query_id, rank::INTEGER AS rank, timestamp, score, d::INTEGER AS best_offset FROM r WHERE rank <= 10""")
+SELECT query_id, rank::INTEGER AS rank, timestamp, score, d::INTEGER AS best_offset FROM r WHERE rank <= 10"""
+
+
+@query("checkpoint_topk", _TOP)
 def checkpoint_topk(spark, sf_dir):
     """The ten checkpoints that agree best with every twentieth user's, over drifts of up to two."""
     c = _checkpoints(spark, sf_dir)
     return Matcher(c).with_drift(2).top(c.filter("ckpt_seq % 20 = 0").select(F.col("ckpt_seq").alias("query_id"), "hashes"), 10)
 
 
+@query("sql_top_matches", _TOP)
+def sql_top_matches(spark, sf_dir):
+    """checkpoint_topk by the table function: every query in each of 32 packs of checkpoints, and the packs' lists ranked together."""
+    sql.register(spark)
+    _checkpoints(spark, sf_dir).createOrReplaceTempView("echolith_checkpoints")
+    return spark.sql("""
+        WITH rows AS (
+            SELECT pmod(xxhash64(ckpt_seq), 32) AS pack, CAST(NULL AS BIGINT) AS query_id, ckpt_seq, timestamp, hashes FROM echolith_checkpoints
+            UNION ALL SELECT explode(sequence(0, 31)), ckpt_seq, NULL, NULL, hashes FROM echolith_checkpoints WHERE ckpt_seq % 20 = 0),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, order_key, ckpt_seq) AS rank
+            FROM sig_top_matches(TABLE(SELECT * FROM rows), 10, 2))
+        SELECT query_id, rank, timestamp, score, best_offset FROM ranked WHERE rank <= 10""")
+
+
+@query("index_topk", f"""WITH {_CHECKPOINTS},
+f AS (SELECT ckpt_seq AS query_id, list_transform(hashes, lambda h: xor(h, CASE WHEN ckpt_seq % 60 = 0 THEN 252645135 ELSE 1 END)) AS hashes FROM c WHERE ckpt_seq % 20 = 0),
+e AS (SELECT q.query_id, c.ckpt_seq, c.timestamp, d, q.hashes[1 + greatest(d, 0):] AS x, c.hashes[1 + greatest(-d, 0):] AS y FROM f AS q, c, (SELECT unnest(range(-1, 2)) AS d) WHERE abs(d) <= least(len(q.hashes), len(c.hashes))),
+s AS (SELECT query_id, ckpt_seq, timestamp, d, CASE WHEN least(len(x), len(y)) = 0 THEN 0 ELSE list_sum(list_transform(range(1, least(len(x), len(y)) + 1), lambda i: 32 - bit_count(xor(x[i], y[i])))) / (least(len(x), len(y)) * 32)::DOUBLE END::FLOAT AS score FROM e),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id, ckpt_seq ORDER BY score DESC, CASE WHEN d > 0 THEN 2 * d - 1 ELSE -2 * d END) AS k FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, timestamp, ckpt_seq) AS rank FROM b WHERE k = 1)
+SELECT query_id, rank::INTEGER AS rank, timestamp, score, d::INTEGER AS best_offset FROM r WHERE rank <= 1""")
+def index_topk(spark, sf_dir):
+    """The best checkpoint of every twentieth user's sequence with a bit of each hash changed, or half of them, by the index: the first are proven by it, the others compared with all."""
+    c = _checkpoints(spark, sf_dir)
+    index = CheckpointIndex.build(c, f"{shared_folder(spark)}/index-{uuid.uuid4()}")
+    change = F.when(F.col("ckpt_seq") % 60 == 0, F.lit(252645135)).otherwise(F.lit(1)).cast("long")
+    changed = c.filter("ckpt_seq % 20 = 0").select(F.col("ckpt_seq").alias("query_id"), F.transform("hashes", lambda h: h.bitwiseXOR(change)).alias("hashes"))
+    return index.top(changed, 1, max_drift=1)
+
+
 @query("matcher_add_count", """SELECT 'added' AS step, 2 * count(DISTINCT user_id) AS n FROM events UNION ALL SELECT 'cleared', 0""")
 def matcher_add_count(spark, sf_dir):
     c = _checkpoints(spark, sf_dir)
