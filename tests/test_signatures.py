@@ -172,7 +172,7 @@ def test_sql_names(spark):
     from echolith import sql
     from echolith.sources.wave import encode_wave
 
-    assert set(sql.__all__) == {"register", "sig_to_bytes", "sig_from_bytes", "sig_similarity", "sig_similarity_drift", "DecodeAudio", "SigWindows"} and all(hasattr(sql, n) for n in sql.__all__)
+    assert set(sql.__all__) == {"register", "sig_to_bytes", "sig_from_bytes", "sig_similarity", "sig_similarity_drift", "DecodeAudio", "SigWindows", "SigTopMatches"} and all(hasattr(sql, n) for n in sql.__all__)
     sql.register(spark)
     rng = np.random.default_rng(3)
     blobs = spark.createDataFrame([("a", encode_wave((rng.standard_normal(60_000) * 3000).astype(np.int16), 8_000, 2)), ("b", b"RIFF"), ("c", b"")], "id string, content binary")
