@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +32,9 @@ DIM = 12
 STEP = 40.0
 LENGTHS = (3, 4, 5)
 MEMO = 60_000
+#: Texts are scored together until they have so many words, and their n-grams and passages so many code points or words at a time.
+TOGETHER = 1 << 17
+RUN = 1 << 15
 
 #: A word begins and ends with neither white space nor a common mark; digits and symbols inside or in place of letters belong to it.
 _word = re.compile(r"[^\s.,;:!?\"'()|]+(?:[.,:;!?|()\"']+[^\s.,;:!?\"'()|]+)*")
@@ -50,6 +53,55 @@ def passages_of(text: str) -> Iterator[set[str]]:
         yield set(found[at : at + PASSAGE])
 
 
+#: CRC32 registers after one byte, from an empty register.
+_CRC = np.array([zlib.crc32(bytes([b]), 0xFFFFFFFF) ^ 0xFFFFFFFF for b in range(256)], np.uint32)
+#: What the first byte of a code point of so many UTF-8 bytes is marked with.
+_LEADS = np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint32)
+
+
+def gram_registers(points: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
+    """n and the CRC32 of the n code points from each place on, as UTF-8, for n up to length; the last length - 1 places begin none."""
+    size = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+    leads = _LEADS[size] | (points >> (6 * (size - 1)).astype(np.uint32))
+    more = []  # places of code points with a second, third, fourth byte, and that byte
+    for k in range(1, 4):
+        at = np.flatnonzero(size > k)
+        more.append((at, 0x80 | ((points[at] >> (6 * (size[at] - 1 - k)).astype(np.uint32)) & 0x3F)))
+    places = len(points) - length + 1
+    register = np.full(places, 0xFFFFFFFF, np.uint32)
+    for n in range(length):
+        register = _CRC[(register ^ leads[n : n + places]).astype(np.uint8)] ^ (register >> 8)
+        for at, byte in more:
+            begin, end = np.searchsorted(at, (n, n + places))
+            if begin < end:
+                some = at[begin:end] - n
+                register[some] = _CRC[(register[some] ^ byte[begin:end]).astype(np.uint8)] ^ (register[some] >> 8)
+        yield n + 1, ~register
+
+
+def word_pulls(found: list[str], pull: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of pull over subwords(word), and how many these are, for every word, computed for all words at once."""
+    longest = max(LENGTHS)
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) + 2
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    marked = f"<{'><'.join(found)}>" + "\0" * (longest - 1)
+    points = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), "<u4")
+    sums = np.zeros(len(found))
+    for at in range(0, int(edges[-1]), RUN):
+        end = min(at + RUN, int(edges[-1]))
+        first, last = int(np.searchsorted(edges, at, "right")) - 1, int(np.searchsorted(edges, end, "left"))
+        of = np.repeat(np.arange(first, last), np.diff(np.clip(edges[first : last + 1], at, end)))
+        left = edges[of + 1] - np.arange(at, end)
+        moved = np.zeros(end - at)
+        for n, register in gram_registers(points[at : end + longest - 1], longest):
+            if n in LENGTHS:
+                # A word that is shorter than a length counts for it as a whole.
+                times = (left >= n) + sum(m > n for m in LENGTHS) * ((left == n) & (sizes[of] == n))
+                moved += pull[register % BUCKETS] * times
+        sums[first:last] += np.bincount(of - first, moved, last - first)
+    return sums, sum(np.maximum(sizes - n + 1, 1) for n in LENGTHS)
+
+
 @dataclass
 class Model:
     """pull holds, for every row of the table, how far its embedding moves the softmax towards toxic; bias what it starts from."""
@@ -57,30 +109,50 @@ class Model:
     pull: np.ndarray
     bias: float
 
+    def scores(self, texts: Iterable[str]) -> np.ndarray:
+        """The score of every text. Pulls are rounded to a binary fraction whose sums are exact, so a score doesn't depend on the texts beside it."""
+        pull = np.rint(self.pull.astype(np.float64) * 2**24) / 2**24
+        worst: list[np.ndarray] = []
+        found: list[str] = []
+        ends: list[int] = []
+        for text in texts:
+            found += _word.findall(text.lower())
+            ends.append(len(found))
+            if len(found) >= TOGETHER:
+                worst.append(_worst(found, ends, pull))
+                found, ends = [], []
+        worst.append(_worst(found, ends, pull))
+        return 1 / (1 + np.exp(-np.clip(np.concatenate(worst) + self.bias, -60, 60)))
+
     def scorer(self):
-        memo: dict[str, tuple[float, int]] = {}
-        pull, bias = self.pull, self.bias
-
-        def of_word(word: str) -> tuple[float, int]:
-            if (got := memo.get(word)) is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                rows = subwords(word)
-                got = memo[word] = (float(pull[rows].sum()), len(rows))
-            return got
-
-        def score(text: str) -> float:
-            worst = -np.inf
-            for passage in passages_of(text):
-                total = count = 0
-                for word in passage:
-                    got = memo.get(word) or of_word(word)
-                    total += got[0]
-                    count += got[1]
-                worst = max(worst, total / max(count, LEAST))
-            return float(1 / (1 + np.exp(-np.clip(worst + bias, -60, 60))))
-
-        return score
+        return lambda text: float(self.scores([text])[0])
+
+
+def _worst(found: list[str], ends: list[int], pull: np.ndarray) -> np.ndarray:
+    """What moves the softmax most in each text: the highest average of its passages. ends holds where each text ends in found."""
+    if not ends:
+        return np.zeros(0)
+    number = {word: i for i, word in enumerate(dict.fromkeys(found))}
+    pulls, counts = word_pulls(list(number), pull) if number else (np.zeros(0), np.zeros(0, np.int64))
+    none = len(number)
+    pulls, counts = np.append(pulls, 0), np.append(counts, 0)
+    ids = np.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)), np.int32(none))
+    end = np.array(ends)
+    begin = np.concatenate([[0], end[:-1]])
+    half = PASSAGE // 2
+    n_passages = np.maximum(1, -((begin - end + half) // half))
+    first = np.concatenate([[0], np.cumsum(n_passages)])
+    text = np.repeat(np.arange(len(ends)), n_passages)
+    start = begin[text] + half * (np.arange(first[-1]) - first[text])
+    mean = np.zeros(first[-1])
+    for at in range(0, len(mean), RUN // PASSAGE):
+        some = slice(at, at + RUN // PASSAGE)
+        places = start[some, None] + np.arange(PASSAGE)
+        rows = ids[np.where(places < end[text[some], None], places, len(found))]
+        rows.sort(axis=1)
+        rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = none  # the right side is computed before any is changed
+        mean[some] = pulls[rows].sum(axis=1) / np.maximum(counts[rows].sum(axis=1), LEAST)
+    return np.maximum.reduceat(mean, first[:-1])
 
 
 def train(texts: list[str], labels: list[int], epochs: int = 15, rate: float = 0.5, seed: int = 7) -> Model:
@@ -160,9 +232,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model.pull, model.bias))
 
     def run(batches):
-        of_text = Model(*shared.value).scorer()
+        of_texts = Model(*shared.value).scores
         for batch in batches:
-            scores = [of_text(t or "") for part in slices(batch) for t in part.column("text").to_pylist()]
+            scores = of_texts(t or "" for part in slices(batch) for t in part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
@@ -176,10 +248,10 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
     names = docs.columns
 
     def run(batches):
-        of_text = Model(*shared.value).scorer()
+        of_texts = Model(*shared.value).scores
         for batch in batches:
             for part in slices(batch):
-                yield part.filter(pa.array([of_text(t or "") < 0.5 for t in part.column(names.index("text")).to_pylist()], pa.bool_()))
+                yield part.filter(pa.array(of_texts(t or "" for t in part.column(names.index("text")).to_pylist()) < 0.5, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

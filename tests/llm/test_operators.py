@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -173,6 +174,45 @@ def test_toxicity_held_out_and_misspelt():
     assert toxicity.train(["a"], [1]).scorer()("") > 0.5 and toxicity.train([], []).scorer()("x") == 0.5
 
 
+def plain_toxicity(model, text):
+    worst = -float("inf")
+    for passage in toxicity.passages_of(text):
+        rows = [row for word in passage for row in toxicity.subwords(word)]
+        worst = max(worst, math.fsum(model.pull[rows].tolist()) / max(len(rows), toxicity.LEAST))
+    return 1 / (1 + math.exp(-(worst + model.bias)))
+
+
+def test_toxicity_scores_of_batches(monkeypatch):
+    rng = random.Random(8)
+    model = toxicity.Model(np.random.default_rng(8).standard_normal(toxicity.BUCKETS).astype(np.float32) * 9, -0.5)
+    texts = ["", " \n", "a", "ab", "abc", "abcd", "<a>", "a.b", "...", "日", "\U0001f600", "é\U0001f600", "x" * 70_000, "日" * 40_000, LONG]
+    texts += ["".join(rng.choice("abXY 0.,'|é\u0130жЯ日\U0001f600\t\n\u0085#$") for _ in range(rng.choice([5, 50, 2_000]))) for _ in range(60)]
+    texts += [" ".join(f"w{rng.randrange(30)}" for _ in range(n)) for n in range(125)]
+    got = model.scores(texts)
+    assert np.abs(got - [plain_toxicity(model, t) for t in texts]).max() < 1e-6
+    assert got.tolist() == [model.scorer()(t) for t in texts] and len(model.scores([])) == 0
+    monkeypatch.setattr(toxicity, "TOGETHER", 7)
+    monkeypatch.setattr(toxicity, "RUN", toxicity.PASSAGE)
+    assert model.scores(texts[::-1][60:]).tolist() == got[::-1][60:].tolist()
+
+
+def test_toxicity_cost_of_new_words():
+    """Texts of words never seen before cost a small multiple of their splitting, not a Python step for each of their n-grams."""
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choices("abcdefghijklmnoprstuvz", k=9)) for _ in range(60_000))
+    model = toxicity.Model(np.ones(toxicity.BUCKETS, np.float32), 0.0)
+
+    def seconds(run):
+        taken = []
+        for _ in range(3):
+            begin = time.process_time()
+            run(text)
+            taken.append(time.process_time() - begin)
+        return min(taken)
+
+    assert seconds(lambda t: model.scorer()(t)) < 20 * seconds(toxicity._word.findall)
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(4, 1), (6, 0), (7, 0), (None, 1), (8, None)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
