@@ -58,18 +58,28 @@ def _ids(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *arrays])))
 
 
-def _encode_text(rows: DataFrame, keys: list[str], path: str, pattern: str) -> DataFrame:
-    """keys and ids of rows of keys and text."""
+def _encoded(batches: Iterator[pa.RecordBatch], keys: list[str], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """keys and ids of batches of keys and text."""
+    encode = _encoder(path, pattern)
+    for batch in batches:
+        for part in _slices(batch):
+            ids = [encode(t or "") for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], _ids(ids)], names=[*keys, "ids"])
 
-    def run(batches):
-        encode = _encoder(path, pattern)
-        for batch in batches:
-            for part in _slices(batch):
-                ids = [encode(t or "") for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], _ids(ids)], names=[*keys, "ids"])
 
+def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """doc_id, ids and bytes of batches of doc_id and ids."""
+    tokens = load_tokens(path)
+    for batch in batches:
+        for part in _slices(batch):
+            raw = [b"".join(map(tokens.__getitem__, x or ())) for x in part.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(raw, pa.binary())], names=["doc_id", "ids", "bytes"])
+
+
+def _encode_text(rows: DataFrame, keys: list[str], path: str, pattern: str) -> DataFrame:
+    """keys and ids of rows of keys and text."""
     types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.select(*keys, "text").mapInArrow(run, f"{types}, ids array<int>")
+    return rows.select(*keys, "text").mapInArrow(lambda batches: _encoded(batches, keys, path, pattern), f"{types}, ids array<int>")
 
 
 def _chunked(rows: DataFrame, chunk: int, overlap: int) -> DataFrame:
@@ -129,30 +139,43 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
     empty texts have no ids. Texts up to a chunk are encoded where they lie; longer ones as pieces. Repeated rows each get
     their ids; other columns are ignored; an empty table gives an empty result.
     """
+    short, long = _divided(docs, chunk)
+    return _encode_text(short, ["doc_id"], path, pattern).unionByName(_encode_long(long, path, pattern, chunk, overlap))
+
+
+def _divided(docs: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id and text (empty for null) of the rows of up to a chunk, and of the longer ones."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     long = F.length("text") > chunk
-    short = _encode_text(rows.filter(~long), ["doc_id"], path, pattern)
-    named = rows.filter(long).withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.col("text").cast("binary"))))
+    return rows.filter(~long), rows.filter(long)
+
+
+def _encode_long(rows: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """doc_id and ids of rows of doc_id and text, encoded as pieces."""
+    named = rows.withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.col("text").cast("binary"))))
     named = named.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").cast("int").alias("n"))
     parts = _encode_text(pieces(named, pattern, chunk, overlap).repartition("key", "piece"), ["key", "piece"], path, pattern)
     whole = parts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("p"))
     whole = whole.select("key", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
     again = named.select("key", "doc_id", F.explode(F.sequence(F.lit(1), "n")).alias("i")).join(whole, "key")
-    return short.unionByName(again.select("doc_id", "ids"))
+    return again.select("doc_id", "ids")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and bytes of every row of encoded (doc_id, ids): the tokens' bytes one after another. Null ids are none."""
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(batches, path), f"doc_id {kind}, ids array<int>, bytes binary")
 
-    def run(batches):
-        tokens = load_tokens(path)
-        for batch in batches:
-            for part in _slices(batch):
-                raw = [b"".join(map(tokens.__getitem__, x or ())) for x in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(raw, pa.binary())], names=["doc_id", "ids", "bytes"])
 
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, bytes binary")
+def round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """What decode(encode(docs)) has, with texts up to a chunk encoded and decoded by one Python worker.
+
+    Chained in one task the two take a worker each, and Spark keeps idle workers in turn: every later job of the session would hold four to two cores.
+    """
+    short, long = _divided(docs, chunk)
+    kind = short.schema["doc_id"].dataType.simpleString()
+    both = short.mapInArrow(lambda batches: _decoded(_encoded(batches, ["doc_id"], path, pattern), path), f"doc_id {kind}, ids array<int>, bytes binary")
+    return both.unionByName(decode(_encode_long(long, path, pattern, chunk, overlap), path))
 
 
 def digests(decoded: DataFrame) -> DataFrame:
@@ -166,4 +189,4 @@ def op10_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return digests(decode(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path))
+    return digests(round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))

@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -166,10 +168,11 @@ def train(texts: list[str], labels: list[int], epochs: int = 15, rate: float = 0
     rng = np.random.default_rng(seed)
     y = np.array(labels)
     bags: dict[str, np.ndarray] = {}
-    passages: list[tuple[np.ndarray, np.ndarray]] = []  # rows of the table and how often each
+    # Rows of the table and how often each, of all passages one after another: a large block goes back to the system when training ends, many small ones stay with the driver.
+    all_rows, all_times, edges = array("H"), array("H"), [0]
     of_text: list[range] = []
     for text in texts:
-        begin = len(passages)
+        begin = len(edges) - 1
         for words in passages_of(text):
             rows = []
             for w in sorted(words):
@@ -179,17 +182,20 @@ def train(texts: list[str], labels: list[int], epochs: int = 15, rate: float = 0
                     bags[w] = np.array(subwords(w), np.uint16)
                 rows.append(bags[w])
             rows, times = np.unique(np.concatenate([np.zeros(0, np.uint16), *rows]), return_counts=True)
-            passages.append((rows, np.minimum(times, 65_535).astype(np.uint16)))
-        of_text.append(range(begin, len(passages)))
+            all_rows.frombytes(rows.tobytes())
+            all_times.frombytes(np.minimum(times, 65_535).astype(np.uint16).tobytes())
+            edges.append(len(all_rows))
+        of_text.append(range(begin, len(edges) - 1))
     del bags
-    weight = np.array([1 / max(int(times.sum(dtype=np.int64)), LEAST) for _, times in passages])
+    flat_rows, flat_times = np.asarray(all_rows), np.asarray(all_times)
+    weight = np.array([1 / max(int(flat_times[a:b].sum(dtype=np.int64)), LEAST) for a, b in pairwise(edges)])
     again = max(1, round((np.sum(y == 0) / np.sum(y == 1)) ** 0.5))  # the rarer label is shown more often
     table_ = (rng.standard_normal((BUCKETS, DIM)) / DIM).astype(np.float32)
     soft, bias = (rng.standard_normal((DIM, 2)) / DIM).astype(np.float32), np.log([1 - share, share]).astype(np.float32)
     for epoch in range(epochs):
         # A toxic text teaches by the passage that looks worst so far, a clean one by its worst and another.
         pull = table_ @ (soft[:, 1] - soft[:, 0])
-        logits = np.array([times @ pull[rows] for rows, times in passages]) * weight
+        logits = np.array([flat_times[a:b] @ pull[flat_rows[a:b]] for a, b in pairwise(edges)]) * weight
         chosen: list[tuple[int, int]] = []
         for own, label in zip(of_text, labels, strict=True):
             worst = own[int(np.argmax(logits[own.start : own.stop]))]
@@ -197,7 +203,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 15, rate: float = 0
         slow = rate * (1 - epoch / epochs)
         for at in rng.permutation(len(chosen)):
             p, label = chosen[at]
-            rows, times = passages[p]
+            rows, times = (x[edges[p] : edges[p + 1]] for x in (flat_rows, flat_times))
             mean = times @ table_[rows] * weight[p]
             z = mean @ soft + bias
             e = np.exp(z - z.max())
