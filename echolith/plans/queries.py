@@ -344,7 +344,7 @@ def wave_files(spark, sf_dir):
     files.write_blobs(_waves(spark, sf_dir), folder).write.format("noop").mode("overwrite").save()
     read = read_chunks(spark, folder, 1 << 14, 2_048).withColumn("id", F.element_at(F.split("id", "/"), -1))
     found = read.groupBy("id").agg(F.max("n_source").alias("n_source"), F.count("*").alias("n_chunks"))
-    blocks = chunk_blocks(read).groupBy("id").agg(F.max("n_samples").alias("n_samples"))
+    blocks = chunk_blocks(read, one_shape=True).groupBy("id").agg(F.max("n_samples").alias("n_samples"))
     return found.join(blocks, "id")
 
 

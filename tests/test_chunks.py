@@ -114,3 +114,40 @@ def test_beyond_two_gigabytes(tmp_path):
     last = list(wave_files.read_range(str(path), size, size - 1_000_000, size, 1 << 16))
     row = last[-1].to_pylist()[0]
     assert row["n_source"] == n and row["first_sample"] == n // (1 << 16) * (1 << 16) and np.frombuffer(row["pcm"], "<f4")[-3:].tolist() == [0.5, -0.5, 0.25]
+
+
+def test_many_ranges_are_read_together(spark, tmp_path):
+    """More ranges than MOST_RANGES go to few tasks, each file opened once by a task, and nothing is read twice or left out."""
+    files = [(f"f{i}", 1_000 + 900 * (i % 4)) for i in range(1_000)]
+    parts = wave_files.split_files(files, 1_000)
+    tasks = wave_files.tasks_of(parts, 256, 100_000)
+    assert len(parts) > 1_000 and len(tasks) < 30
+    spans = sorted((path, begin, end) for task in tasks for path, _, begin, end in task)
+    assert len(spans) < 1_030 and [s for path, size in sorted(files) for s in [(path, 0, size)]] == sorted({(p, min(b for q, b, _ in spans if q == p), max(e for q, _, e in spans if q == p)) for p, _, _ in spans})
+    assert all(x[0] != y[0] or x[2] == y[1] for x, y in zip(spans[:-1], spans[1:], strict=True))
+    rng = np.random.default_rng(4)
+    for i in range(150):
+        (tmp_path / f"{i}.wav").write_bytes(encode_wave(rng.integers(-9_000, 9_000, 40 * i).astype(np.int16), 1_000, 1))
+    (tmp_path / "none.wav").write_bytes(b"no audio")
+    read = wave_files.read_chunks(spark, str(tmp_path), 1_500, 300).withColumn("id", F.element_at(F.split("id", "/"), -1))
+    assert read.rdd.getNumPartitions() == 1
+    want = samples(ch.chunk_blocks(read, 40))
+    once = samples(ch.chunk_blocks(read, 40, one_shape=True))
+    assert want.keys() == once.keys() and len(want) == 151 and once["none.wav"] == want["none.wav"] == "unsupported"
+    for i in range(150):
+        x = np.frombuffer((tmp_path / f"{i}.wav").read_bytes()[44:], "<i2").astype(np.float32) / 32_768
+        whole = dsp.resample(x, 1_000)
+        for got in (once[f"{i}.wav"], want[f"{i}.wav"]):  # blocks end with the last whole frame
+            assert len(whole) - len(got) < 1_024 and (got.view(np.int32) == whole[: len(got)].view(np.int32)).all()
+
+
+def test_periods_equal_single_outputs():
+    """Outputs made by whole periods are those made one by one, bit by bit, at every usual rate and wherever the signal begins."""
+    rng = np.random.default_rng(5)
+    for rate in (1_000, 8_000, 11_024, 16_000, 22_050, 44_100, 48_000, 96_000, 384_000):
+        bank, x = dsp.Resampler(rate), rng.standard_normal(9_000).astype(np.float32)
+        for start in (0, 12_345, 99_999_999):
+            first = max(0, int((start - 50) / bank.ratio) + 7)
+            for n in (100, 4 * min(bank.period, 2_048) + 13, 9_000):
+                got, want = bank.outputs(x, start, first, first + n), bank._singly(x, start, np.arange(first, first + n))
+                assert (got.view(np.int32) == want.view(np.int32)).all(), (rate, start, n)
