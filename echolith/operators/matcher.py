@@ -53,51 +53,107 @@ def _packed(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
     return rows.select(*keys, "hashes").filter(scoring.words_sound(F.col("hashes"))).mapInArrow(run, f"{kinds}, sizes array<int>, flat array<bigint>")
 
 
-def _padded(flat: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
-    """One row for each sequence, filled up with zeros."""
-    out = np.zeros((len(sizes), width), np.uint32)
-    out[np.arange(width) < sizes[:, None]] = flat
-    return out
-
-
 def _blocks(sizes: np.ndarray, cells: int) -> Iterator[np.ndarray]:
-    """Sequences of like length (twice as long at most), so many together that they fill no more cells than that."""
+    """Sequences of like length (twice as long at most), the shortest first, so many together that they fill no more cells of two hashes than that."""
     order = np.argsort(sizes, kind="stable")
-    at = 0
+    sizes, at = sizes[order].astype(np.int64), 0
     while at < len(order):
-        width = max(1, 2 * int(sizes[order[at]]))
-        end = int(np.searchsorted(sizes[order], width, "right"))
-        end = max(at + 1, min(end, at + cells // width))
+        end = int(np.searchsorted(sizes, max(1, 2 * sizes[at]), "right"))
+        full = (np.arange(1, end - at + 1) * ((sizes[at:end] + 1) // 2)) > cells
+        end = at + max(1, int(full.argmax()) if full.any() else end - at)
         yield order[at:end]
         at = end
 
 
+def _paired(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A column for each sequence, a row for every two positions (the earlier one in the low half), filled up with zeros."""
+    width = (int(sizes.max(initial=0)) + 1) // 2 * 2
+    out = np.zeros((len(sizes), width), np.uint32)
+    out[np.arange(width) < sizes[:, None]] = flat
+    return np.ascontiguousarray(out.view(np.uint64).T)
+
+
+class _Block:
+    """Checkpoints that a query is compared with at once."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.sizes, self.rows = sizes, _paired(flat.astype(np.uint32), sizes)
+        self.least, self.width = int(sizes.min(initial=0)), int(sizes.max(initial=0))
+        self.xor, self.ones = np.empty_like(self.rows), np.empty(self.rows.shape, np.uint8)
+        self.shapes = {}
+
+    def shape(self, n: int, o: int) -> tuple:
+        """How many positions a query of n hashes shares with each at an offset, the bits in them, where in the query each ends, and those without any."""
+        if (n, o) not in self.shapes:
+            if len(self.shapes) >= 1_024:
+                self.shapes.clear()
+            counts = np.maximum(np.minimum(n - max(o, 0), self.sizes - max(-o, 0)), 0)
+            none = np.flatnonzero(counts == 0)
+            self.shapes[n, o] = counts, np.maximum(counts, 1) * 32.0, max(o, 0) + counts, none if len(none) else None
+        return self.shapes[n, o]
+
+    def scores(self, own: np.ndarray, ones: np.ndarray, o: int) -> np.ndarray:
+        """The scores at an offset; ones tells how many bits are set in the query before each of its positions, and in all."""
+        n = len(own)
+        counts, bits, ends, none = self.shape(n, o)
+        low, high = max(0, -o), min(self.width, n - o)
+        if high <= low:
+            return np.zeros(len(counts), np.float32)
+        first, end = low // 2, (high + 1) // 2
+        # The query at the checkpoint's positions, and which of the first and last two it has.
+        mine = np.zeros(2 * (end - first), np.uint32)
+        mine[low - 2 * first : high - 2 * first] = own[low + o : high + o]
+        xor, found = self.xor[: end - first], self.ones[: end - first]
+        np.bitwise_xor(self.rows[first:end], mine.view(np.uint64)[:, None], out=xor)
+        if low % 2:
+            xor[0] &= np.uint64(0xFFFFFFFF00000000)
+        if high % 2:
+            xor[-1] &= np.uint64(0xFFFFFFFF)
+        # Behind a checkpoint's end stand zeros, so the query's own bits were counted there.
+        agree = ones[high + o] - ones[ends]
+        agree -= np.bitwise_count(xor, out=found).sum(axis=0, dtype=np.uint16 if end - first < 1024 else np.int64)
+        if self.width >= 524_288:
+            return scoring.scores_of(32 * counts + agree, counts)
+        score = ((bits + agree) / bits).astype(np.float32)
+        if none is not None:
+            score[none] = 0
+        return score
+
+
+#: Cells of two hashes (17 bytes each while they are compared) in a block: they stay in a core's cache.
+BLOCK_CELLS = 1 << 16
+
+
 def compare_all(q: np.ndarray, q_sizes: np.ndarray, c: np.ndarray, c_sizes: np.ndarray, drift: int, k: int, order: np.ndarray, best) -> None:
-    """Give best(query, checkpoints, scores, offsets) the k best checkpoints of every query, by score and then order (a rank of the checkpoints), block by block.
+    """Give best(query, checkpoints, scores, offsets) the k best checkpoints of every query, by score and then order (a rank of the checkpoints), block by block, and some more.
 
-    A block of checkpoints lies in a matrix of padded rows; for each query and offset all its rows are compared at once.
+    A block of checkpoints lies in a matrix of padded columns; for each query and offset all its columns are compared at once. What scores less than k that were given before is left out.
     """
     q_starts, c_starts = np.cumsum(q_sizes) - q_sizes, np.cumsum(c_sizes) - c_sizes
-    for block in _blocks(c_sizes, 1 << 20):
-        sizes = c_sizes[block].astype(np.int64)
-        width = int(sizes.max(initial=0))
-        flat = np.concatenate([np.zeros(0, np.int64), *[c[c_starts[i] : c_starts[i] + c_sizes[i]] for i in block]])
-        rows = _padded(flat.astype(np.uint32), sizes, width)
+    kept = np.full((len(q_sizes), max(k, 0)), -1, np.float32)
+    q = q.astype(np.uint32)
+    q_ones = np.append(0, np.cumsum(np.bitwise_count(q), dtype=np.int64))
+    for picked in _blocks(c_sizes, BLOCK_CELLS):
+        sizes = c_sizes[picked].astype(np.int64)
+        block = _Block(np.concatenate([np.zeros(0, np.int64), *[c[c_starts[i] : c_starts[i] + c_sizes[i]] for i in picked]]), sizes)
         for i in range(len(q_sizes)):
-            own = q[q_starts[i] : q_starts[i] + q_sizes[i]].astype(np.uint32)
-            limit = np.minimum(np.minimum(sizes, len(own)), drift)
-            score, offset = np.full(len(block), -1, np.float32), np.zeros(len(block), np.int32)
-            for o in scoring.offsets(int(limit.max(initial=0))):
-                skip_q, skip_c = max(o, 0), max(-o, 0)
-                counts = np.maximum(np.minimum(len(own) - skip_q, sizes - skip_c), 0)
-                m = int(counts.max(initial=0))
-                differ = np.bitwise_count(rows[:, skip_c : skip_c + m] ^ own[skip_q : skip_q + m])
-                differ[np.arange(m) >= counts[:, None]] = 0
-                new = scoring.scores_of(32 * counts - differ.sum(axis=1, dtype=np.int64), counts)
-                better = (new > score) & (limit >= abs(o))
-                score[better], offset[better] = new[better], o
-            take = np.lexsort((order[block], -score))[:k] if len(block) > k else np.arange(len(block))
-            best(i, block[take], score[take], offset[take])
+            own, ones = q[q_starts[i] : q_starts[i] + q_sizes[i]], q_ones[q_starts[i] : q_starts[i] + q_sizes[i] + 1]
+            score, offset = block.scores(own, ones, 0), np.zeros(len(picked), np.int32)
+            for o in scoring.offsets(min(drift, len(own), block.width))[1:]:
+                new = block.scores(own, ones, o)
+                better = new > score
+                if block.least < abs(o):
+                    better &= sizes >= abs(o)
+                np.copyto(score, new, where=better)
+                np.copyto(offset, o, where=better)
+            if not k:
+                continue
+            take = np.flatnonzero(score >= kept[i].min())
+            if len(take) > k:
+                take = take[np.lexsort((order[picked[take]], -score[take]))[:k]]
+            if len(take):
+                kept[i] = np.sort(np.append(kept[i], score[take]))[-k:]
+                best(i, picked[take], score[take], offset[take])
 
 
 def total_order(timestamps: np.ndarray) -> np.ndarray:

@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.errors import AnalysisException
 
 from echolith import sql
+from echolith.functions import scoring
 from echolith.operators import bit_index, matcher
 from echolith.operators.bit_index import CheckpointIndex
 from echolith.operators.matcher import Matcher
@@ -111,3 +113,23 @@ def test_table_function_arguments(spark, call, says):
     sql.register(spark)
     with pytest.raises(AnalysisException, match=says):
         spark.sql(f"SELECT * FROM sig_top_matches({call})")
+
+
+def test_two_hashes_are_compared_at_once(monkeypatch):
+    """Scores and offsets are those of single comparisons, at even and odd offsets and lengths; and half as many cells as hashes are looked at."""
+    rng, cells, count = np.random.default_rng(2), [], np.bitwise_count
+    sizes = rng.integers(40, 60, 80).astype(np.int32)
+    c, q_sizes = rng.integers(0, 1 << 32, sizes.sum()), np.array([0, 1, 45, 58], np.int32)
+    q = np.concatenate([c[:1], c[60:105], c[:58]])
+    found = {i: [] for i in range(4)}
+    monkeypatch.setattr(np, "bitwise_count", lambda x, **how: cells.append(x.size) or count(x, **how))
+    matcher.compare_all(q, q_sizes, c, sizes, 3, 5, np.arange(80)[::-1].copy(), lambda i, *x: found[i].extend(zip(*x, strict=True)))
+    monkeypatch.undo()
+    assert sum(cells) < 0.75 * 7 * sum(int(np.minimum(sizes, n).sum()) for n in q_sizes) + 200
+    starts, q_starts = np.cumsum(sizes) - sizes, np.cumsum(q_sizes) - q_sizes
+    for i, n in enumerate(q_sizes):
+        of = [q[q_starts[i] : q_starts[i] + n]] * 80, [c[a : a + m] for a, m in zip(starts, sizes, strict=True)]
+        score, offset, *_ = scoring.compare_flat(np.concatenate(of[0]), np.full(80, n), np.concatenate(of[1]), sizes.astype(np.int64), np.full(80, 3))
+        best = np.lexsort((-np.arange(80), -score))[:5]
+        got = sorted(found[i], key=lambda x: (-x[1], -x[0]))[:5]
+        assert [(int(j), float(s), int(o)) for j, s, o in got] == [(int(j), float(score[j]), int(offset[j])) for j in best]
