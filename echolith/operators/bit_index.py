@@ -5,6 +5,9 @@ position. Two hashes that share m of b parts differ in b - m bits at least, so t
 agree in a share of 1 - b / 32 + M / (32 n) of their bits at most. By this bound the search knows which checkpoints it must compare
 and, where the k-th best score lies above 1 - b / 32, that none is missing: a checkpoint that shares no part can't come so far.
 Queries of which this is not so are held against all checkpoints, so the result is that of Matcher.top.
+
+Checkpoints lie in packs, each with postings of its own. Every pack meets the queries, counts the parts that they share with each of its checkpoints, and gives only those
+whose bound is high enough: pairs that share a part by chance, which grow with the square of the table, stay within a task and are never written or sent.
 """
 
 from __future__ import annotations
@@ -13,17 +16,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echolith.functions import scoring
-from echolith.operators.matcher import Matcher, total_order
+from echolith.operators.matcher import Matcher, packed, total_order, with_queries
 from echolith.sources.shared import kept
 
-#: Up to so many keys of queries (some 100 bytes each) are broadcast; more meet the postings by shuffle, frequent keys dealt into lots of so many postings.
+#: The counts of up to so many keys (some 100 bytes each) are broadcast; more meet the keys of queries by shuffle.
 BROADCAST_KEYS = 1 << 19
+#: So many pairs of a pack are put out together, about.
 LOT = 1 << 20
+#: A pack has so many hashes (or one longer sequence), with 4 bytes for each posting and 12 for each different key.
+INDEX_HASHES = 1 << 19
 #: A posting that is read costs as much as so many hashes that are compared without the index.
 POSTING_COST = 64
 #: Scores are rounded to single precision; bounds are held against them with this margin.
@@ -46,9 +53,52 @@ def _ranked(rows: DataFrame, k: int, *best: Column | str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).filter(F.col("rank") <= k)
 
 
+def _keys_of(position: np.ndarray, word: np.ndarray, parts: int) -> np.ndarray:
+    """The same keys as _keys() makes, one row for each hash."""
+    edges = [32 * i // parts for i in range(parts + 1)]
+    values = np.stack([(word >> low) & ((1 << (high - low)) - 1) for low, high in zip(edges[:-1], edges[1:], strict=True)], axis=-1)
+    return ((position[..., None] * parts + np.arange(parts)) << 32) + values
+
+
+def _filed(packs: DataFrame, parts: int) -> DataFrame:
+    """ckpt_seq, sizes, and the postings of each pack: its keys in order, where those of each end, and the number in the pack of each checkpoint that has them."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                sizes, flat = (batch.column(c)[at].values.to_numpy().astype(np.int64) for c in ("sizes", "flat"))
+                place = np.repeat(np.arange(len(sizes)), sizes)
+                all_keys = _keys_of(np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), flat, parts).ravel()
+                order = np.argsort(all_keys, kind="stable")
+                keys, counts = np.unique(all_keys, return_counts=True)
+                columns = [keys.astype("<i8"), np.cumsum(counts).astype("<i4"), np.repeat(place, parts)[order].astype("<i4")]
+                yield pa.RecordBatch.from_arrays([batch.column("ckpt_seq").slice(at, 1), batch.column("sizes").slice(at, 1), *[pa.array([x.tobytes()], pa.binary()) for x in columns]], names=["ckpt_seq", "sizes", "keys", "ends", "places"])
+
+    return packs.mapInArrow(run, "ckpt_seq array<bigint>, sizes array<int>, keys binary, ends binary, places binary")
+
+
+def _bounds(own: np.ndarray, drift: int, parts: int, sizes: np.ndarray, keys: np.ndarray, ends: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which checkpoints of a pack share a part with a query at an offset, and by how much the best of their bounds is above that of others."""
+    offset = np.arange(-drift, drift + 1)
+    position = np.arange(len(own)) - offset[:, None]
+    mine, there = _keys_of(position, np.broadcast_to(own, position.shape), parts), position >= 0
+    wanted, at_offset = mine[there].ravel(), np.repeat(np.nonzero(there)[0], parts)
+    at = np.searchsorted(keys, wanted)
+    held = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == wanted) if len(keys) else np.zeros(0, np.int64)
+    at, at_offset = at[held], at_offset[held]
+    begin = np.where(at > 0, ends[at - 1], 0).astype(np.int64)
+    counts = ends[at] - begin
+    index = np.arange(counts.sum()) + np.repeat(begin - (np.cumsum(counts) - counts), counts)
+    cell = np.repeat(at_offset * len(sizes), counts) + places[index]
+    shared = np.bincount(cell, minlength=len(offset) * len(sizes)).reshape(len(offset), len(sizes))
+    some = np.flatnonzero(shared.any(axis=0))
+    n = np.minimum(len(own) - np.maximum(offset, 0)[:, None], sizes[some] - np.maximum(-offset, 0)[:, None])
+    return some, (shared[:, some] / (32 * np.maximum(n, 1))).max(axis=0, initial=0)
+
+
 @dataclass(frozen=True)
 class CheckpointIndex:
-    """Three tables in a folder: checkpoints, postings (key, ckpt_seq, c_size) in the order of keys, and counts (key, n)."""
+    """Three tables in a folder: checkpoints, packs of these with their postings, and counts (key, n)."""
 
     spark: SparkSession
     folder: str
@@ -64,11 +114,9 @@ class CheckpointIndex:
             raise ValueError("a hash has 1 to 32 parts")
         index = cls(checkpoints.sparkSession, folder.rstrip("/"), parts)
         checkpoints.select("ckpt_seq", F.coalesce(F.col("timestamp").cast("float"), F.lit(float("nan")).cast("float")).alias("timestamp"), "hashes").filter(scoring.words_sound(F.col("hashes"))).write.parquet(f"{index.folder}/checkpoints")
-        words = index.checkpoints.select("ckpt_seq", F.size("hashes").alias("c_size"), F.posexplode("hashes").alias("position", "word"))
-        postings = words.select(F.explode(_keys(F.col("position"), F.col("word"), parts)).alias("key"), "ckpt_seq", "c_size")
-        # Ranges of both columns, so that a part which many checkpoints share at a position is no large task.
-        postings.repartitionByRange("key", "ckpt_seq").sortWithinPartitions("key", "ckpt_seq").write.parquet(f"{index.folder}/postings")
-        index.postings.groupBy("key").agg(F.count("*").alias("n")).write.parquet(f"{index.folder}/counts")
+        _filed(packed(index.checkpoints, ["ckpt_seq"], INDEX_HASHES), parts).write.parquet(f"{index.folder}/packs")
+        words = index.checkpoints.select(F.posexplode("hashes").alias("position", "word"))
+        words.select(F.explode(_keys(F.col("position"), F.col("word"), parts)).alias("key")).groupBy("key").agg(F.count("*").alias("n")).write.parquet(f"{index.folder}/counts")
         return index
 
     @property
@@ -76,8 +124,8 @@ class CheckpointIndex:
         return self.spark.read.parquet(f"{self.folder}/checkpoints")
 
     @property
-    def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/postings")
+    def packs(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/packs")
 
     @property
     def counts(self) -> DataFrame:
@@ -97,22 +145,45 @@ class CheckpointIndex:
     def _costly(self, keys: DataFrame, drift: int) -> DataFrame:
         """query_id of those whose postings would cost more than comparing them with all checkpoints."""
         words = self.checkpoints.agg(F.coalesce(F.sum(F.size("hashes").cast("long")), F.lit(0))).first()[0]
-        reads = keys.groupBy("query_id", "key").agg(F.count("*").alias("uses")).join(self.counts, "key")
-        return reads.groupBy("query_id").agg(F.sum(F.col("n") * F.col("uses")).alias("reads")).filter(F.col("reads") * POSTING_COST > words * (2 * drift + 1)).select("query_id")
-
-    def _shared(self, keys: DataFrame) -> DataFrame:
-        """query_id, ckpt_seq, bound of every two that share a part at an offset."""
-        if keys.count() <= BROADCAST_KEYS:
-            met = self.postings.join(F.broadcast(keys), "key")
+        if self.counts.count() <= BROADCAST_KEYS:
+            reads = keys.join(F.broadcast(self.counts), "key")
         else:
-            lots = self.counts.select("key", F.ceil(F.col("n") / LOT).cast("int").alias("lots"))
-            dealt = keys.join(lots, "key").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
-            of_lot = self.postings.join(lots, "key").withColumn("lot", F.pmod(F.xxhash64("ckpt_seq"), F.col("lots")).cast("int")).drop("lots")
-            met = of_lot.join(dealt.drop("lots"), ["key", "lot"])
-        at_offset = met.groupBy("query_id", "ckpt_seq", "offset").agg(F.count("*").alias("shared"), F.first("q_size").alias("q_size"), F.first("c_size").alias("c_size"))
-        zero = F.lit(0)
-        n = F.least(F.col("q_size") - F.greatest(F.col("offset"), zero), F.col("c_size") - F.greatest(-F.col("offset"), zero))
-        return at_offset.groupBy("query_id", "ckpt_seq").agg(F.max(F.lit(self.blind) + F.col("shared") / (32 * n)).alias("bound"))
+            uses = keys.groupBy("query_id", "key").agg(F.count("*").alias("uses"))
+            reads = uses.join(self.counts, "key").withColumn("n", F.col("n") * F.col("uses"))
+        return reads.groupBy("query_id").agg(F.sum("n").alias("reads")).filter(F.col("reads") * POSTING_COST > words * (2 * drift + 1)).select("query_id")
+
+    def _shared(self, queries: DataFrame, drift: int, k: int | None = None) -> DataFrame:
+        """query_id, ckpt_seq, bound of every two that share a part at an offset: of each pack the k of the highest bounds, or without k all whose bound comes up to the query's `least`.
+
+        queries: query_id, hashes, least.
+        """
+        parts, blind = self.parts, self.blind
+        met = with_queries(self.packs, queries.withColumn("least", F.col("least").cast("double")), ["query_id", "least"])
+
+        def run(batches):
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    seq, sizes, q_sizes, q_flat, least = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("ckpt_seq", "sizes", "q_sizes", "q_flat", "least"))
+                    keys, ends, places = (np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in (("keys", "<i8"), ("ends", "<i4"), ("places", "<i4")))
+                    ids, held, n, q_ends = batch.column("query_id")[row].values, [], 0, np.cumsum(q_sizes, dtype=np.int64)
+                    for i in range(len(q_sizes)):
+                        some, above = _bounds(q_flat[q_ends[i] - q_sizes[i] : q_ends[i]], drift, parts, sizes.astype(np.int64), keys, ends, places)
+                        if k is None:
+                            keep = np.flatnonzero(blind + above >= least[i] - MARGIN)
+                        elif len(some) > k:
+                            keep = np.flatnonzero(above >= np.partition(above, len(some) - k)[len(some) - k])
+                            keep = keep[np.lexsort((seq[some[keep]], -above[keep]))[:k]]
+                        else:
+                            keep = np.arange(len(some))
+                        held.append((np.full(len(keep), i), seq[some[keep]], blind + above[keep]))
+                        n += len(keep)
+                        if n >= LOT or i == len(q_sizes) - 1:
+                            of, found, bound = (np.concatenate(x) for x in zip(*held, strict=True))
+                            yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(found), pa.array(bound)], names=["query_id", "ckpt_seq", "bound"])
+                            held, n = [], 0
+
+        kind = queries.schema["query_id"].dataType.simpleString()
+        return met.mapInArrow(run, f"query_id {kind}, ckpt_seq long, bound double")
 
     def _compared(self, pairs: DataFrame, queries: DataFrame, drift: int) -> DataFrame:
         c = self.checkpoints.withColumnRenamed("hashes", "c_hashes")
@@ -129,17 +200,17 @@ class CheckpointIndex:
         """
         drift = max(0, max_drift)
         queries = kept(queries.select("query_id", "hashes").filter(scoring.words_sound(F.col("hashes"))))
-        keys = self._query_keys(queries, drift)
-        costly = kept(self._costly(keys, drift))
-        shared = kept(self._shared(kept(keys.join(costly, "query_id", "left_anti"))))
-        first = self._compared(_ranked(shared, k, F.desc("bound"), "ckpt_seq").select("query_id", "ckpt_seq"), queries, drift)
+        costly = kept(self._costly(self._query_keys(queries, drift), drift))
+        cheap = queries.join(costly, "query_id", "left_anti")
+        best = _ranked(self._shared(cheap.withColumn("least", F.lit(0.0)), drift, k), k, F.desc("bound"), "ckpt_seq")
+        first = self._compared(best.select("query_id", "ckpt_seq"), queries, drift)
         least = kept(first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") == k).select("query_id", "least"))
         proven = least.filter(F.col("least") > self.blind + MARGIN)
         if exact:
-            candidates, rest = shared.join(proven, "query_id"), queries.join(proven, "query_id", "left_anti")
+            known, rest = cheap.join(proven, "query_id"), queries.join(proven, "query_id", "left_anti")
         else:
-            candidates, rest = shared.join(least, "query_id", "left"), queries.join(costly, "query_id", "left_semi")
-        near = self._compared(candidates.filter(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - MARGIN).select("query_id", "ckpt_seq"), queries, drift)
+            known, rest = cheap.join(least, "query_id", "left"), queries.join(costly, "query_id", "left_semi")
+        near = self._compared(self._shared(known.withColumn("least", F.coalesce("least", F.lit(0.0))), drift).select("query_id", "ckpt_seq"), queries, drift)
         found = _ranked(near.withColumn("order_key", _order_key(F.col("timestamp"))), k, F.desc("score"), "order_key", "ckpt_seq")
         columns = ["query_id", "rank", "timestamp", "score", "best_offset"]
         return found.select(*columns).unionByName(Matcher(self.checkpoints, drift).top(kept(rest), k).select(*columns))

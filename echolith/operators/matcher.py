@@ -20,7 +20,7 @@ BROADCAST_HASHES = 1 << 21
 FAN_IN = 16
 
 
-def _packed(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+def packed(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
     """Rows put together, up to most hashes: lists of the keys, the sizes of the sequences and their hashes one after another. Rows without hashes (null), or with anything but unsigned 32-bit words among them, take no part."""
     names = [*keys, "sizes", "flat"]
 
@@ -53,6 +53,14 @@ def _packed(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
     return rows.select(*keys, "hashes").filter(scoring.words_sound(F.col("hashes"))).mapInArrow(run, f"{kinds}, sizes array<int>, flat array<bigint>")
 
 
+def with_queries(packs: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
+    """Each of packs with each pack of the queries: lists of the keys, q_sizes and q_flat. Either side has packs of bounded bytes; the queries are the stated set that all checkpoints are held against."""
+    size = queries.agg(F.coalesce(F.sum(F.size("hashes").cast("long")), F.lit(0)).alias("n"), F.count("*").alias("m")).first()
+    parts = max(1, math.ceil((size["n"] + size["m"]) / BROADCAST_HASHES))
+    q = packed(queries.select(*keys, "hashes").repartition(parts), keys, BROADCAST_HASHES).select(*keys, F.col("sizes").alias("q_sizes"), F.col("flat").alias("q_flat"))
+    return packs.crossJoin(F.broadcast(q)) if parts == 1 else packs.crossJoin(q)
+
+
 def _blocks(sizes: np.ndarray, cells: int) -> Iterator[np.ndarray]:
     """Sequences of like length (twice as long at most), the shortest first, so many together that they fill no more cells of two hashes than that."""
     order = np.argsort(sizes, kind="stable")
@@ -188,12 +196,8 @@ class Matcher:
         Every query is compared with every checkpoint. Checkpoints are packed by bytes where they lie, and each pack meets the queries, in packs too; of their lists the first k are taken in two steps.
         """
         drift = self.max_drift
-        c = _packed(self.checkpoints.select("ckpt_seq", "timestamp", "hashes"), ["ckpt_seq", "timestamp"], PACK_HASHES).withColumn("pack", F.monotonically_increasing_id())
-        size = queries.agg(F.coalesce(F.sum(F.size("hashes").cast("long")), F.lit(0)).alias("n"), F.count("*").alias("m")).first()
-        parts = max(1, math.ceil((size["n"] + size["m"]) / BROADCAST_HASHES))
-        q = _packed(queries.select("query_id", "hashes").repartition(parts), ["query_id"], BROADCAST_HASHES).select("query_id", F.col("sizes").alias("q_sizes"), F.col("flat").alias("q_flat"))
-        # Each side comes in packs of bounded bytes; the queries are the stated set that all checkpoints are held against.
-        pairs = c.crossJoin(F.broadcast(q)) if parts == 1 else c.crossJoin(q)
+        c = packed(self.checkpoints.select("ckpt_seq", "timestamp", "hashes"), ["ckpt_seq", "timestamp"], PACK_HASHES).withColumn("pack", F.monotonically_increasing_id())
+        pairs = with_queries(c, queries, ["query_id"])
 
         def run(batches):
             for batch in batches:

@@ -133,3 +133,19 @@ def test_two_hashes_are_compared_at_once(monkeypatch):
         best = np.lexsort((-np.arange(80), -score))[:5]
         got = sorted(found[i], key=lambda x: (-x[1], -x[0]))[:5]
         assert [(int(j), float(s), int(o)) for j, s, o in got] == [(int(j), float(score[j]), int(offset[j])) for j in best]
+
+
+def test_chance_matches_are_not_written(spark, tmp_path, monkeypatch):
+    """Pairs that share a part by chance, most of all pairs here, stay in their tasks: what is kept grows with the queries only."""
+    rng, rows = random.Random(6), []
+    c = [(i, 0.0, [rng.randrange(1 << 32) for _ in range(60)]) for i in range(300)]
+    q = [(f"q{i}", [h ^ 1 for h in c[5 * i][2]]) for i in range(60)]
+    write = bit_index.kept
+    monkeypatch.setattr(bit_index, "kept", lambda df: (lambda out: rows.append(out.count()) or out)(write(df)))
+    monkeypatch.setattr(bit_index, "INDEX_HASHES", 2_000)
+    monkeypatch.setattr(bit_index, "POSTING_COST", 0)
+    c, q = spark.createDataFrame(c, CKPT), spark.createDataFrame(q, QUERY)
+    index = CheckpointIndex.build(c, str(tmp_path / "index"))
+    got = rows_of(index.top(q, 1, 1))
+    assert max(rows) <= 60 and got == rows_of(Matcher(c, 1).top(q, 1)) and len(got) == 60
+    assert index.packs.count() >= 9
