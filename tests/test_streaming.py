@@ -168,6 +168,20 @@ def test_missing_chunks_are_given_up():
     assert faults == [(1, "chunks 1 to 1 are missing")] and [r.hash for r in got] == [r.hash for r in driven([(0, "push", "f32", 11025, 1, LOUD)])[0]]
 
 
+def test_a_closed_stream_keeps_numbers_only():
+    """What a close row makes due is what a flush does; the samples and frames go, repeated chunks are still dropped, and a later push starts anew."""
+    for processor in (signal.HashProcessor, lambda: signal.WindowProcessor(1_000, 500)):
+        rows = [(0, "push", "f32", 8_000, 1, LOUD), (1, "push", "f32", 8_000, 1, LOUD[:4_000])]
+        want, held = driven([*rows, (2, "flush", None, None, None, None)], processor())[0], Held()
+        got, faults = driven([*rows, (2, "close", None, None, None, None)], processor(), held)
+        assert faults == [] and [tuple(map(str, r)) for r in got] == [tuple(map(str, r)) for r in want]
+        assert sum(len(x) for x in held.values["signal"] if isinstance(x, bytes)) == 0
+        assert driven(rows, processor(), held) == ([], [])
+        again, faults = driven([(3, "push", "f32", 8_000, 1, LOUD), (4, "close", None, None, None, None), (5, "close", None, None, None, None)], processor(), held)
+        fresh = driven([(0, "push", "f32", 8_000, 1, LOUD), (1, "flush", None, None, None, None)], processor())[0]
+        assert faults == [] and {r.epoch for r in again} == {1} and [str(r[2:]) for r in again] == [str(r[2:]) for r in fresh]
+
+
 def test_idle_streams_leave_no_state():
     class Now:
         def getCurrentProcessingTimeInMs(self):
